@@ -160,7 +160,8 @@ def histogram(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     width = (c("hi") - c("lo")) / F.lit(float(bins))
-    grid = spread.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint"))
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))
+    grid = spread.withColumn("bin", F.explode(numbers))
     return grid.join(counts, [by, "bin"], "left").select(
         by,
         "bin",

@@ -72,66 +72,73 @@ def fit_scaler(train: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> SQL
 
 @dataclass(frozen=True)
 class Prepared:
-    """The prepared tables and the fitted transformations that made them."""
+    """The split feature table and the fitted transformations of its model inputs."""
 
-    full: DataFrame
-    matrix: DataFrame
+    rows: DataFrame
     encoder: StringIndexerModel
     scaler: SQLTransformer
     features: tuple[str, ...]
-    weights: dict[int, float]
+    class_counts: dict[int, int]
+    class_weight: dict[int, float]
     imbalance: float
 
+    @property
+    def assembler(self) -> VectorAssembler:
+        inputs = [f"{name}_scaled" for name in self.features]
+        return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+
     def part(self, name: str) -> DataFrame:
-        """Rows of one split; the table is stored by split, so only its files are read."""
-        return self.matrix.filter(c("split") == name)
+        """Model matrix of one split. The table is stored by split: only its files are read."""
+        rows = self.rows.filter(c("split") == name)
+        is_one = c(LABEL) == 1
+        return self.assembler.transform(self.scaler.transform(rows)).select(
+            KEY,
+            c(LABEL).cast("double").alias("label"),
+            "features",
+            F.when(is_one, self.class_weight[1]).otherwise(self.class_weight[0]).alias("balanced"),
+            F.when(is_one, self.imbalance).otherwise(1.0).alias("positive"),
+        )
 
     @property
     def segments(self) -> DataFrame:
-        return user_segments(self.full)
+        """The feature table with risk and value segments."""
+        return user_segments(self.rows)
 
     @property
     def stages(self) -> list[Transformer]:
-        inputs = [f"{name}_scaled" for name in self.features]
-        return [self.encoder, self.scaler, VectorAssembler(inputCols=inputs, outputCol="features")]
+        return [self.encoder, self.scaler, self.assembler]
 
 
 def prepare(features: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> Prepared:
-    """Feature table to weighted, scaled and split model matrix.
+    """Split the feature table and fit encoder, scaler and class weights.
 
-    The wide table and the matrix are written once each: the fits pass over the matrix
-    hundreds of times, and a lost executor must not send them back to the joins.
+    Two tables are written: the features, which the split reads twice, and the split rows,
+    which the fits pass over many times. A lost executor sends neither back to the joins.
+    Everything after the second table is a projection.
     """
     full = materialize(interaction_features(features), "features")
     encoder = fit_encoder(full)
     split = encoder.transform(stratified_split(full, KEY, LABEL))
-    train = split.filter(c("split") == "train")
-    scaler = fit_scaler(train, columns)
+    rows = materialize(split, "split", partition_by="split")
+    train = rows.filter(c("split") == "train")
     # Two rows.
     classes = {row["label"]: row for row in class_weights(train, LABEL).collect()}
     if set(classes) != {0, 1}:
         raise ValueError("training rows of both classes are needed")
-    weights = {label: row["balanced_weight"] for label, row in classes.items()}
-    imbalance = classes[0]["scale_pos_weight"]
-
-    inputs = [f"{name}_scaled" for name in columns]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
-    matrix = assembler.transform(scaler.transform(split)).select(
-        KEY,
-        c(LABEL).cast("double").alias("label"),
-        "features",
-        F.when(c(LABEL) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0])).alias("balanced"),
-        F.when(c(LABEL) == 1, F.lit(imbalance)).otherwise(F.lit(1.0)).alias("positive"),
-        "split",
+    return Prepared(
+        rows=rows,
+        encoder=encoder,
+        scaler=fit_scaler(train, columns),
+        features=tuple(columns),
+        class_counts={label: row["n"] for label, row in classes.items()},
+        class_weight={label: row["balanced_weight"] for label, row in classes.items()},
+        imbalance=classes[0]["scale_pos_weight"],
     )
-    stored = materialize(matrix, "matrix", partition_by="split")
-    return Prepared(full, stored, encoder, scaler, tuple(columns), weights, imbalance)
 
 
 def fit_logistic(data: Prepared) -> Transformer:
     """L2 logistic regression. Balanced weights sum to the row count, hence the penalty."""
-    train = data.part("train")
-    n = train.count()
+    n = sum(data.class_counts.values())
     return LogisticRegression(
         labelCol="label",
         weightCol="balanced",
@@ -139,8 +146,8 @@ def fit_logistic(data: Prepared) -> Transformer:
         regParam=1.0 / (INVERSE_REGULARIZATION * n),
         elasticNetParam=0.0,
         standardization=False,
-        tol=1e-9,
-    ).fit(train)
+        tol=1e-7,
+    ).fit(data.part("train"))
 
 
 def fit_forest(data: Prepared) -> Transformer:
@@ -214,6 +221,7 @@ class Training:
 
     data: Prepared
     _models: dict[str, Transformer] = field(default_factory=dict)
+    _best: str | None = None
 
     def model(self, name: str) -> Transformer:
         if name not in self._models:
@@ -241,7 +249,9 @@ class Training:
         return table.orderBy(F.desc(metric), order).limit(1).select("model", metric)
 
     def best_name(self) -> str:
-        return self.best().first()["model"]
+        if self._best is None:
+            self._best = self.best().first()["model"]
+        return self._best
 
     def test_evaluation(self, name: str | None = None) -> DataFrame:
         """Metrics and classification report of one model on the held-out rows, long form."""

@@ -291,7 +291,7 @@ FROM (SELECT unnest(generate_series({AS_OF} - 89, {AS_OF}, INTERVAL 1 DAY)) AS d
 LEFT JOIN events ON CAST(ts AS DATE) = CAST(day AS DATE) GROUP BY 1"""
 
     sql["format_user_id"] = """
-SELECT user_id, 'user_' || lpad(CAST(user_id AS VARCHAR), greatest(6, length(CAST(user_id AS VARCHAR))), '0')
+SELECT user_id, 'user_' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(6, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0')
   AS user_label FROM users"""
     sql["round_and_cast"] = f"""
 SELECT user_id, {r('round_even(CAST(portfolio_value / 10 AS DECIMAL(18, 4)), 1)', 'rounded')},

@@ -9,8 +9,8 @@ DAY_BEFORE = "DATE '2024-01-30'"
 
 
 def r(expr: str, name: str) -> str:
-    """A DOUBLE output column, rounded as the Spark side rounds it."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    """A DOUBLE output column, rounded as the Spark side rounds it: to 10 places, then to 6."""
+    return f"CAST(round(CAST(CAST({expr} AS DOUBLE) AS DECIMAL(38, 10)), 6) AS DOUBLE) AS {name}"
 
 
 def activity_view(as_of: str) -> str:
