@@ -25,12 +25,15 @@ def _bucket_bits(spark: SparkSession) -> int:
     return min(12, max(4, math.ceil(math.log2(2 * partitions))))
 
 
-def _with_value_bucket(distinct: DataFrame, value: str) -> DataFrame:
+def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     """Number the value range in order, with about as many distinct rows under each number.
 
     The edges are approximate quantiles of the distinct rows, one array of at most 4095
     numbers held as a scalar subquery; a binary search places each row. All users of the
     edges must see the same array, which subquery reuse guarantees within a query.
+
+    The subquery reads the sums too, though it needs only the values: its plan below the
+    quantiles is then the same as the caller's, and the source is scanned and shuffled once.
     """
     spark = distinct.sparkSession
     if spark.conf.get("spark.sql.execution.reuseSubquery", "true") != "true":
@@ -38,7 +41,8 @@ def _with_value_bucket(distinct: DataFrame, value: str) -> DataFrame:
     bits = _bucket_bits(spark)
     shares = [i / 2**bits for i in range(1, 2**bits)]
     position = c(value).cast("double")
-    edges = distinct.agg(F.percentile_approx(position, shares)).scalar()
+    counted = F.when(F.coalesce(*names).isNotNull(), position)
+    edges = distinct.agg(F.percentile_approx(counted, shares)).scalar()
     placed = distinct.withColumn(_BUCKET, F.lit(0))
     for bit in reversed(range(bits)):
         step = 2**bit
@@ -70,7 +74,7 @@ def running_totals(
         .groupBy(*by, value)
         .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
     )
-    placed = _with_value_bucket(distinct, value)
+    placed = _with_value_bucket(distinct, value, names)
 
     def directed(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)

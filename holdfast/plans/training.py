@@ -39,7 +39,7 @@ BOOSTING_COLUMN_SHARE = "0.8"
 PATIENCE = 10
 
 # Trees are grown level by level; a larger buffer means fewer passes over the data per level.
-TREE_BUFFER_MB = 1024
+TREE_BUFFER_MB = 512
 
 
 def fit_encoder(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> StringIndexerModel:
