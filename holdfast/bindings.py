@@ -12,12 +12,21 @@ from __future__ import annotations
 
 import os
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from holdfast.config import AS_OF
 from holdfast.functions import features as f
-from holdfast.operators.activity import activity_features
+from holdfast.operators.activity import (
+    ADVANCED,
+    LOGIN,
+    TRADE,
+    YIELD,
+    activity_columns,
+    summarize_activity,
+)
 from holdfast.plans.scoring import daily_scores
 
 c = F.col
@@ -72,42 +81,50 @@ class Tables:
         path = os.path.join(self.folder, f"{name}.parquet")
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
 
-    def _events(self, kind: str, above: float | None = None) -> DataFrame:
-        rows = self.raw("events").filter(c("event_type") == kind)
-        return rows if above is None else rows.filter(c("value") > above)
+    def _events(self, *conditions: Column) -> DataFrame:
+        rows = self.raw("events")
+        for condition in conditions:
+            rows = rows.filter(condition)
+        return rows
 
     def _days_back(self, days: Column) -> Column:
         return F.date_sub(F.lit(self.as_of), days.cast("int"))
 
+    def _user_columns(self) -> dict[str, Column]:
+        """User attributes from a customer row and the day the user was last ``seen``."""
+        key = c("user_id")
+        churned = key % 7 == 0
+        created = self._days_back(F.lit(1) + key * 37 % 730)
+        return {
+            "email": c("c_name"),
+            "segment": c("c_mktsegment"),
+            "account_created_date": created,
+            "portfolio_value": c("c_acctbal") * F.lit(10.0),
+            "n_assets": (F.lit(1) + c("c_nationkey") % 10).cast("int"),
+            "last_login_date": F.coalesce("seen", self._days_back(key % 60)),
+            "status": F.when(churned, "churned").otherwise("active"),
+            "churned_date": F.when(churned, F.greatest(created, self._days_back(key % 45))),
+        }
+
+    def _customers(self) -> DataFrame:
+        return self.raw("customer").withColumnRenamed("c_custkey", "user_id")
+
     def users(self) -> DataFrame:
         """One row per user. The login join vanishes from plans that do not read the column."""
         login = (
-            self._events("view", above=50.0)
+            self._events(c("event_type") == "view", c("value") > 50.0)
             .groupBy("user_id")
             .agg(F.max(F.to_date("ts")).alias("seen"))
         )
-        key = c("user_id")
-        churned = key % 7 == 0
-        created = self._days_back(F.lit(1) + key * 37 % 730)
+        columns = self._user_columns()
         return (
-            self.raw("customer")
-            .withColumnRenamed("c_custkey", "user_id")
+            self._customers()
             .join(login, "user_id", "left")
-            .select(
-                "user_id",
-                c("c_name").alias("email"),
-                c("c_mktsegment").alias("segment"),
-                created.alias("account_created_date"),
-                (c("c_acctbal") * F.lit(10.0)).alias("portfolio_value"),
-                (F.lit(1) + c("c_nationkey") % 10).cast("int").alias("n_assets"),
-                F.coalesce("seen", self._days_back(key % 60)).alias("last_login_date"),
-                F.when(churned, "churned").otherwise("active").alias("status"),
-                F.when(churned, F.greatest(created, self._days_back(key % 45))).alias("churned_date"),
-            )
+            .select("user_id", *[column.alias(name) for name, column in columns.items()])
         )
 
     def trades(self) -> DataFrame:
-        return self._events("purchase").select(
+        return self._events(c("event_type") == "purchase").select(
             c("event_id").alias("trade_id"),
             "user_id",
             c("value").alias("trade_amount"),
@@ -116,13 +133,13 @@ class Tables:
 
     def yield_products(self) -> DataFrame:
         """User × product: a user may appear many times."""
-        return self._events("signup", above=100.0).select("user_id")
+        return self._events(c("event_type") == "signup", c("value") > 100.0).select("user_id")
 
     def advanced_trading_users(self) -> DataFrame:
-        return self._events("click", above=150.0).select("user_id").distinct()
+        return self._events(c("event_type") == "click", c("value") > 150.0).select("user_id").distinct()
 
     def interventions(self) -> DataFrame:
-        return self._events("click", above=100.0).select(
+        return self._events(c("event_type") == "click", c("value") > 100.0).select(
             "user_id", F.to_date("ts").alias("intervention_date")
         )
 
@@ -167,32 +184,43 @@ class Tables:
 
     def logged_scores(self) -> DataFrame:
         """Old scores, for monitoring them against the outcome."""
-        return self._events("error").select(
+        return self._events(c("event_type") == "error").select(
             "user_id",
             F.least(c("value") / F.lit(200.0), F.lit(1.0)).alias("churn_probability"),
             F.when(c("value") > 70, "high").when(c("value") > 30, "medium").otherwise("low").alias("risk_tier"),
             (c("ts") - F.expr(f"INTERVAL '{SCORE_SHIFT_DAYS}' DAY")).alias("scored_at"),
         )
 
-    def scores_on(self, as_of: date) -> DataFrame:
-        return daily_scores(
-            self.users(), self.trades(), self.yield_products(), self.advanced_trading_users(), as_of
+    def activity_log(self) -> DataFrame:
+        """Trades, product rows and logins as one log, read in a single scan of the events."""
+        value = c("value")
+        kinds = {
+            TRADE: c("event_type") == "purchase",
+            YIELD: (c("event_type") == "signup") & (value > 100.0),
+            ADVANCED: (c("event_type") == "click") & (value > 150.0),
+            LOGIN: (c("event_type") == "view") & (value > 50.0),
+        }
+        kind = F.coalesce(*[F.when(condition, name) for name, condition in kinds.items()])
+        return self._events(reduce(or_, kinds.values())).select(
+            "user_id", kind.alias("kind"), F.to_date("ts").alias("day"), value.alias("amount")
         )
 
+    def activity(self, status: str | None = "active", as_of: date | None = None) -> DataFrame:
+        """Activity features on ``as_of``: one scan, shuffle and join of the events."""
+        as_of = as_of or self.as_of
+        summary = summarize_activity(self.activity_log(), as_of)
+        users = self._customers().join(summary, "user_id", "left").withColumns(self._user_columns())
+        if status is not None:
+            users = users.filter(c("status") == status)
+        return users.select(*activity_columns(as_of))
+
+    def scores_on(self, as_of: date, null_trend: float | None = None) -> DataFrame:
+        return daily_scores(self.activity(as_of=as_of), as_of, null_trend=null_trend)
+
     def recent_scores(self) -> DataFrame:
         """The scoring runs of the reference date and the day before, stacked."""
         return self.scores_on(self.as_of - timedelta(days=1)).unionByName(self.scores_on(self.as_of))
 
-    def activity(self, status: str | None = "active") -> DataFrame:
-        return activity_features(
-            self.users(),
-            self.trades(),
-            self.yield_products(),
-            self.advanced_trading_users(),
-            self.as_of,
-            status=status,
-        )
-
     def user_features(self) -> DataFrame:
         """The wide feature table: 14 base and 5 derived columns, one row per user."""
         key = c("user_id")

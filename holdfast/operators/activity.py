@@ -4,81 +4,87 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from holdfast.config import THRESHOLDS, Thresholds
 from holdfast.functions import features as f
 
 c = F.col
 
+TRADE, YIELD, ADVANCED, LOGIN = "trade", "yield", "advanced", "login"
 
-def trade_activity(trades: DataFrame, as_of: date, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """One row per user with trades in the window.
 
-    The trend compares the last two weeks with the two before; day 14 counts in both.
+def activity_log(trades: DataFrame, yields: DataFrame, advanced: DataFrame) -> DataFrame:
+    """Trades and product rows as one tagged log: (user_id, kind, day, amount)."""
+    day, amount = F.lit(None).cast("date"), F.lit(None).cast("double")
+    traded = trades.select(
+        "user_id", F.lit(TRADE).alias("kind"), c("trade_date").alias("day"), c("trade_amount").alias("amount")
+    )
+    for rows, kind in ((yields, YIELD), (advanced, ADVANCED)):
+        traded = traded.unionByName(
+            rows.select("user_id", F.lit(kind).alias("kind"), day.alias("day"), amount.alias("amount"))
+        )
+    return traded
+
+
+def summarize_activity(log: DataFrame, as_of: date, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """One row per user of the log: trade window, product flags, last login.
+
+    All tables meet in one aggregation, so a user with many product rows cannot multiply the
+    trades, and everything a very active user did shrinks to one row per map task before the
+    only shuffle. The trend compares the last two weeks with the two before; day 14 counts in
+    both.
     """
     window_start = F.date_sub(F.lit(as_of), t.trade_window_days)
     recent_start = F.date_sub(F.lit(as_of), t.recent_days)
     prior_start = F.date_sub(F.lit(as_of), t.prior_days)
-    day = c("trade_date")
+    day, kind = c("day"), c("kind")
+    traded = (kind == TRADE) & (day >= window_start)
+    recent = F.count_if(traded & (day >= recent_start))
+    prior = F.count_if(traded & day.between(prior_start, recent_start))
     return (
-        trades.filter(day >= window_start)
+        log.filter((kind != TRADE) | (day >= window_start))
         .groupBy("user_id")
         .agg(
-            F.count("trade_id").alias("trades_30d"),
-            F.avg("trade_amount").alias("avg_trade_size"),
-            F.count_if(day >= recent_start).alias("recent"),
-            F.count_if(day.between(prior_start, recent_start)).alias("prior"),
-        )
-        .select(
-            "user_id",
-            "trades_30d",
-            "avg_trade_size",
-            f.trade_freq_trend(c("recent"), c("prior")).alias("trade_freq_trend"),
+            F.count_if(traded).alias("trades_30d"),
+            F.avg(F.when(traded, c("amount"))).alias("avg_trade_size"),
+            f.trade_freq_trend(recent, prior).alias("trade_freq_trend"),
+            F.max(f.flag(kind == YIELD)).alias("yield_adoption"),
+            F.max(f.flag(kind == ADVANCED)).alias("advanced_trading"),
+            F.max(F.when(kind == LOGIN, day)).alias("seen"),
         )
     )
 
 
-def adopters(rows: DataFrame, name: str) -> DataFrame:
-    """Each user that occurs in ``rows`` once, with a flag column ``name``."""
-    return rows.select("user_id").distinct().withColumn(name, F.lit(1))
+def activity_columns(as_of: date) -> list[str | Column]:
+    """Features of a user row joined with its activity summary, which may be absent."""
+    return [
+        "user_id",
+        "segment",
+        f.days_until(as_of, "account_created_date").alias("account_age_days"),
+        "portfolio_value",
+        "n_assets",
+        F.coalesce("trades_30d", F.lit(0).cast("bigint")).alias("trades_30d"),
+        "avg_trade_size",
+        f.days_until(as_of, "last_login_date").alias("days_since_login"),
+        "trade_freq_trend",
+        F.coalesce("yield_adoption", F.lit(0)).alias("yield_adoption"),
+        F.coalesce("advanced_trading", F.lit(0)).alias("advanced_trading"),
+    ]
 
 
 def activity_features(
-    users: DataFrame,
-    trades: DataFrame,
-    yields: DataFrame,
-    advanced: DataFrame,
-    as_of: date,
-    status: str | None = "active",
-    t: Thresholds = THRESHOLDS,
+    users: DataFrame, log: DataFrame, as_of: date, status: str | None = "active"
 ) -> DataFrame:
     """Users with their trade window, login recency and product flags: one row per user.
 
-    Every child table is reduced to one row per user before it is joined. That keeps counts
-    right (joining products first would multiply the trades), makes the aggregation's shuffle
-    on ``user_id`` serve the join as well, and bounds what a very active user adds.
+    Users without activity stay, with no trades and no trend. The aggregation's shuffle on
+    ``user_id`` serves the join as well.
     """
     if status is not None:
         users = users.filter(c("status") == status)
-    return (
-        users.join(trade_activity(trades, as_of, t), "user_id", "left")
-        .join(adopters(yields, "yield_adoption"), "user_id", "left")
-        .join(adopters(advanced, "advanced_trading"), "user_id", "left")
-        .select(
-            "user_id",
-            "segment",
-            f.days_until(as_of, "account_created_date").alias("account_age_days"),
-            "portfolio_value",
-            "n_assets",
-            F.coalesce("trades_30d", F.lit(0).cast("bigint")).alias("trades_30d"),
-            "avg_trade_size",
-            f.days_until(as_of, "last_login_date").alias("days_since_login"),
-            "trade_freq_trend",
-            F.coalesce("yield_adoption", F.lit(0)).alias("yield_adoption"),
-            F.coalesce("advanced_trading", F.lit(0)).alias("advanced_trading"),
-        )
-    )
+    summary = summarize_activity(log, as_of)
+    return users.join(summary, "user_id", "left").select(*activity_columns(as_of))
 
 
 def portfolio_return(snapshots: DataFrame, lag_rows: int = 30) -> DataFrame:

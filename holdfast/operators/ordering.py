@@ -42,7 +42,7 @@ def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) ->
     shares = [i / 2**bits for i in range(1, 2**bits)]
     position = c(value).cast("double")
     counted = F.when(F.coalesce(*names).isNotNull(), position)
-    edges = distinct.agg(F.percentile_approx(counted, shares)).scalar()
+    edges = distinct.agg(F.percentile_approx(counted, shares, 16 * 2**bits)).scalar()
     placed = distinct.withColumn(_BUCKET, F.lit(0))
     for bit in reversed(range(bits)):
         step = 2**bit

@@ -18,7 +18,7 @@ from holdfast.config import (
 from holdfast.functions import features as f
 from holdfast.functions.bins import right_closed
 from holdfast.operators import market, metrics, profile
-from holdfast.operators.activity import portfolio_return
+from holdfast.operators.activity import activity_features, activity_log, portfolio_return
 from holdfast.operators.ordering import hashed_sample
 from holdfast.operators.sampling import class_weights, stratified_split
 from holdfast.plans import campaigns, training
@@ -72,9 +72,15 @@ def _(t: Tables) -> DataFrame:
     return scoring_report(t.scores_on(t.as_of))
 
 
+@query("churn_daily_scoring_zero_trend")
+def _(t: Tables) -> DataFrame:
+    return scoring_report(t.scores_on(t.as_of, null_trend=0.0))
+
+
 @query("activity_features")
 def _(t: Tables) -> DataFrame:
-    return t.activity()
+    log = activity_log(t.trades(), t.yield_products(), t.advanced_trading_users())
+    return activity_features(t.users(), log, t.as_of)
 
 
 @query("portfolio_return_lag30")

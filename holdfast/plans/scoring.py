@@ -8,26 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from holdfast.config import LOGISTIC, LogisticWeights
 from holdfast.functions import features as f
-from holdfast.operators.activity import activity_features
 
 c = F.col
 
 
 def daily_scores(
-    users: DataFrame,
-    trades: DataFrame,
-    yields: DataFrame,
-    advanced: DataFrame,
+    features: DataFrame,
     as_of: date,
     weights: LogisticWeights = LOGISTIC,
     null_trend: float | None = None,
 ) -> DataFrame:
-    """The score row of every active user, unsorted, as the score store keeps it.
+    """The score row of every user in the activity features, as the score store keeps it.
 
     A user without trades in the prior window has no trend and so no probability, but does
     get a tier. ``null_trend`` replaces the missing trend in the probability only.
     """
-    features = activity_features(users, trades, yields, advanced, as_of)
     flagged = features.withColumns(
         {
             "engagement_score": f.engagement_score(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.views import AS_OF, DAY_BEFORE, SCALED, engagement, r, tier, with_views
+from oracles.views import AS_OF, DAY_BEFORE, SCALED, probability, r, with_views
 
 FEATURE_COLUMNS = (
     "user_id, segment, account_age_days, portfolio_value, n_assets, trades_30d, avg_trade_size,"
@@ -73,6 +73,12 @@ SELECT user_id, {r('churn_probability', 'churn_probability')}, risk_tier, days_s
        engagement_score, scored_at
 FROM scores ORDER BY churn_probability DESC NULLS LAST, user_id"""
 
+    trendless = "coalesce(trade_freq_trend, 0)"
+    sql["churn_daily_scoring_zero_trend"] = f"""
+SELECT user_id, {r(probability(trendless), 'churn_probability')}, risk_tier, days_since_login,
+       engagement_score, scored_at
+FROM scores"""
+
     sql["activity_features"] = f"""
 SELECT user_id, segment, account_age_days, {r('portfolio_value', 'portfolio_value')}, n_assets,
        trades_30d, {r('avg_trade_size', 'avg_trade_size')}, days_since_login,

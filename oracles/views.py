@@ -51,11 +51,16 @@ def tier(high: str, medium: str, low: str) -> str:
     )
 
 
+def probability(trend: str) -> str:
+    return (
+        f"1 / (1 + exp(-(-2.5 + 0.15 * days_since_login - 0.8 * {trend} - 0.5 * engagement_score"
+        f" + 1.2 * {RISKY} + 0.3 / n_assets - 0.4 * yield_adoption)))"
+    )
+
+
 def scores_view(activity: str, as_of: str) -> str:
     return f"""
-SELECT *, 1 / (1 + exp(-(-2.5 + 0.15 * days_since_login - 0.8 * trade_freq_trend
-         - 0.5 * engagement_score + 1.2 * {RISKY} + 0.3 / n_assets - 0.4 * yield_adoption)))
-         AS churn_probability,
+SELECT *, {probability('trade_freq_trend')} AS churn_probability,
        {tier('high', 'medium', 'low')} AS risk_tier,
        CAST({as_of} AS TIMESTAMP) AS scored_at
 FROM (SELECT *, {engagement()} AS engagement_score FROM {activity} WHERE status = 'active')"""

@@ -9,7 +9,7 @@ from holdfast.bindings import add_derived_features
 from holdfast.config import ACCOUNT_STAGE, VALUE_SEGMENT, LogisticWeights
 from holdfast.functions import features as f
 from holdfast.functions.bins import right_closed
-from holdfast.operators.activity import activity_features, portfolio_return
+from holdfast.operators.activity import activity_features, activity_log, portfolio_return
 from holdfast.plans import campaigns
 from holdfast.plans.scoring import daily_scores, interaction_features, user_segments
 
@@ -48,6 +48,10 @@ def ids(spark, values):
     return spark.createDataFrame([(v,) for v in values], "user_id BIGINT")
 
 
+def features(u, traded, yields, advanced, status="active"):
+    return activity_features(u, activity_log(traded, yields, advanced), D, status)
+
+
 def only(df):
     rows = df.collect()
     assert len(rows) == 1
@@ -76,9 +80,7 @@ def test_bins_close_on_the_right(spark, value, bins, label):
 
 def test_products_do_not_multiply_trades(spark):
     u = users(spark, [(1, 100, 500, 2, 3, None)])
-    row = only(
-        activity_features(u, trades(spark, [(1, 2), (1, 20)]), ids(spark, [1, 1, 1]), ids(spark, [1]), D)
-    )
+    row = only(features(u, trades(spark, [(1, 2), (1, 20)]), ids(spark, [1, 1, 1]), ids(spark, [1])))
     assert row.trades_30d == 2
     assert (row.yield_adoption, row.advanced_trading) == (1, 1)
     assert row.account_age_days == 100
@@ -87,25 +89,27 @@ def test_products_do_not_multiply_trades(spark):
 def test_day_fourteen_counts_in_both_windows(spark):
     u = users(spark, [(1, 100, 500, 2, 3, None)])
     none = ids(spark, [])
-    assert only(activity_features(u, trades(spark, [(1, 14)]), none, none, D)).trade_freq_trend == 0.0
+    assert only(features(u, trades(spark, [(1, 14)]), none, none)).trade_freq_trend == 0.0
 
 
 def test_no_prior_trades_means_no_trend_and_no_probability(spark):
     u = users(spark, [(1, 100, 500, 2, 3, None)])
     none = ids(spark, [])
-    row = only(daily_scores(u, trades(spark, [(1, 5), (1, 13)]), none, ids(spark, [1]), D))
+    row = only(daily_scores(features(u, trades(spark, [(1, 5), (1, 13)]), none, ids(spark, [1])), D))
     assert row.trade_freq_trend is None and row.churn_probability is None
     assert row.engagement_score == 3 and row.risk_tier == "low"
-    filled = only(daily_scores(u, trades(spark, [(1, 5)]), none, ids(spark, [1]), D, null_trend=0.0))
+    filled = only(
+        daily_scores(features(u, trades(spark, [(1, 5)]), none, ids(spark, [1])), D, null_trend=0.0)
+    )
     assert filled.churn_probability is not None and filled.trade_freq_trend is None
 
 
 def test_users_without_activity_stay_and_churned_users_go(spark):
     u = users(spark, [(1, 100, 500, 2, 3, None), (2, 100, 500, 2, 3, 10)])
     none = ids(spark, [])
-    row = only(activity_features(u, trades(spark, []), none, none, D))
+    row = only(features(u, trades(spark, []), none, none))
     assert (row.user_id, row.trades_30d, row.avg_trade_size, row.yield_adoption) == (1, 0, None, 0)
-    assert activity_features(u, trades(spark, []), none, none, D, status=None).count() == 2
+    assert features(u, trades(spark, []), none, none, status=None).count() == 2
 
 
 def test_logistic_score(spark):

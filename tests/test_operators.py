@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from holdfast.__main__ import run
 from holdfast.operators import market, metrics, profile
 from holdfast.operators.ordering import exact_quantiles, hashed_rank, hashed_sample, running_totals
 from holdfast.operators.sampling import class_weights, stratified_split
@@ -255,3 +256,11 @@ def test_rerun_replaces_only_its_day(spark, tmp_path):
     pruned = stores.read_scores(spark, path, since=date(2024, 1, 31))
     assert [r.user_id for r in pruned.collect()] == [3]
     assert "PartitionFilters: [isnotnull(score_date" in pruned._jdf.queryExecution().toString()
+
+
+def test_reports_are_stored_by_name(spark, small_dir, tmp_path):
+    run(spark, small_dir, str(tmp_path), ["churn_by_risk", "auc_roc"])
+    assert spark.read.parquet(str(tmp_path / "churn_by_risk")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "auc_roc")).count() == 1
+    with pytest.raises(SystemExit):
+        run(spark, small_dir, str(tmp_path), ["no such report"])
