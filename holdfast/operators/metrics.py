@@ -6,65 +6,66 @@ tell several models apart and are evaluated side by side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from holdfast.functions.features import ratio
-from holdfast.operators.ordering import covers, running_totals
+from holdfast.functions.features import flag, ratio
+from holdfast.operators.ordering import covers, per_value, running_totals
 
 c = F.col
 
 CLASS_NAMES = {0: "Retained", 1: "Churned"}
 
 
-def score_steps(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score, highest first, with running and total class counts."""
-    sums = {"pos": c("label").cast("bigint"), "neg": (F.lit(1) - c("label")).cast("bigint")}
-    return running_totals(scored, "score", sums, by=by, descending=True)
+def score_steps(
+    scored: DataFrame, by: Sequence[str] = (), extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One row per distinct score, highest first, with running and total class counts.
+
+    ``extra`` sums are carried along without running totals.
+    """
+    sums = {
+        "pos": c("label").cast("bigint"),
+        "neg": (F.lit(1) - c("label")).cast("bigint"),
+        **(extra or {}),
+    }
+    steps = per_value(scored, "score", sums, by)
+    return running_totals(steps, "score", ["pos", "neg"], by, descending=True)
+
+
+def _with_end_point(point: Column, end: Column) -> Column:
+    """Rows of a curve: each step's point, and before the highest score's the ``end``."""
+    is_first = (c("cum_pos") == c("pos")) & (c("cum_neg") == c("neg"))
+    return F.inline(F.when(is_first, F.array(end, point)).otherwise(F.array(point)))
+
+
+def _no_threshold() -> Column:
+    return F.lit(None).cast("double").alias("threshold")
 
 
 def roc_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every ROC point, from the origin (no threshold) to (1, 1)."""
-    steps = score_steps(scored, by)
-    points = steps.select(
-        *by,
+    point = F.struct(
         c("score").alias("threshold"),
         ratio(c("cum_neg"), c("total_neg")).alias("fpr"),
         ratio(c("cum_pos"), c("total_pos")).alias("tpr"),
     )
-    return points.unionByName(_extra_point(scored, by, {"fpr": 0.0, "tpr": 0.0}))
+    origin = F.struct(_no_threshold(), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return score_steps(scored, by).select(*by, _with_end_point(point, origin))
 
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every precision-recall point and the end point (1, 0), with the base rate."""
-    steps = score_steps(scored, by)
-    base = ratio(c("total_pos"), c("total_pos") + c("total_neg"))
-    points = steps.select(
-        *by,
+    base = ratio(c("total_pos"), c("total_pos") + c("total_neg")).alias("baseline")
+    point = F.struct(
         c("score").alias("threshold"),
         ratio(c("cum_pos"), c("cum_pos") + c("cum_neg")).alias("precision"),
         ratio(c("cum_pos"), c("total_pos")).alias("recall"),
-        base.alias("baseline"),
-    )
-    rates = scored.filter(c("score").isNotNull()).groupBy(*by).agg(F.avg("label").alias("baseline"))
-    end = rates.select(
-        *by,
-        F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
-        "baseline",
-    )
-    return points.unionByName(end)
-
-
-def _extra_point(scored: DataFrame, by: Sequence[str], values: dict[str, float]) -> DataFrame:
-    groups = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return groups.select(
-        *by,
-        F.lit(None).cast("double").alias("threshold"),
-        *[F.lit(number).alias(name) for name, number in values.items()],
+        base,
     )
+    end = F.struct(_no_threshold(), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), base)
+    return score_steps(scored, by).select(*by, _with_end_point(point, end))
 
 
 def _area() -> Column:
@@ -157,20 +158,23 @@ def _class_rates(hits: Column, guessed: Column, actual: Column) -> tuple[Column,
     return precision, recall, f1
 
 
-def _counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("n")]
+def _decisions() -> dict[str, Column]:
+    """0/1 columns whose sums are right, predicted and actual rows of each class."""
+    columns = {}
     for k in CLASS_NAMES:
-        aggregates += [
-            F.count_if((c("label") == k) & (c("prediction") == k)).alias(f"hits{k}"),
-            F.count_if(c("prediction") == k).alias(f"guessed{k}"),
-            F.count_if(c("label") == k).alias(f"actual{k}"),
-        ]
-    return scored.groupBy(*by).agg(*aggregates)
+        actual, guessed = c("label") == k, c("prediction") == k
+        columns[f"hits{k}"] = flag(actual & guessed)
+        columns[f"guessed{k}"] = flag(guessed)
+        columns[f"actual{k}"] = flag(actual)
+    return columns
 
 
 def classification_report(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per-class rates, accuracy, and plain and support-weighted means, one row each."""
-    counts = _counts(scored, by)
+    counts = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(column).alias(name) for name, column in _decisions().items()],
+    )
     rates = {
         k: _class_rates(c(f"hits{k}"), c(f"guessed{k}"), c(f"actual{k}")) for k in CLASS_NAMES
     }
@@ -207,18 +211,25 @@ def classification_report(scored: DataFrame, by: Sequence[str] = ()) -> DataFram
 
 
 def summary(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """The six headline metrics, one row per ``by`` group."""
-    by = list(by)
-    ranked = (
-        score_steps(scored, by)
-        .groupBy(*by)
-        .agg(_area().alias("auc_roc"), _average_precision().alias("auc_pr"), *_top_share(0.1))
-        .select(*by, "auc_roc", "auc_pr", _or_zero(ratio(c("n_hits"), c("n_selected"))).alias("precision_at_10pct"))
-    )
+    """The six headline metrics, one row per ``by`` group, from one pass over the scores."""
+    kept = {name: column for name, column in _decisions().items() if name.endswith("1")}
     precision, recall, f1 = _class_rates(c("hits1"), c("guessed1"), c("actual1"))
-    decided = _counts(scored, by).select(
-        *by, precision.alias("precision"), recall.alias("recall"), f1.alias("f1")
-    )
-    return ranked.join(decided, by).select(
-        *by, "auc_roc", "auc_pr", "precision", "recall", "f1", "precision_at_10pct"
+    return (
+        score_steps(scored, by, kept)
+        .groupBy(*by)
+        .agg(
+            _area().alias("auc_roc"),
+            _average_precision().alias("auc_pr"),
+            *_top_share(0.1),
+            *[F.sum(name).alias(name) for name in kept],
+        )
+        .select(
+            *by,
+            "auc_roc",
+            "auc_pr",
+            precision.alias("precision"),
+            recall.alias("recall"),
+            f1.alias("f1"),
+            _or_zero(ratio(c("n_hits"), c("n_selected"))).alias("precision_at_10pct"),
+        )
     )

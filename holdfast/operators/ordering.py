@@ -19,30 +19,40 @@ _BUCKET = "__bucket"
 _HASH = "__hash"
 
 
+def _wanted_buckets(spark: SparkSession) -> int:
+    """Two buckets per shuffle partition, so that each task gets some."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bucket_bits(spark: SparkSession) -> int:
-    """Two buckets per shuffle partition, as a power of two between 16 and 4096."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(12, max(4, math.ceil(math.log2(2 * partitions))))
+    """The wanted number of buckets as a power of two between 16 and 16384."""
+    return min(14, max(4, math.ceil(math.log2(_wanted_buckets(spark)))))
+
+
+def _hash_digits(spark: SparkSession) -> int:
+    """Leading hex digits that give the wanted number of buckets: three (4096) or more."""
+    return max(3, math.ceil(math.log(_wanted_buckets(spark), 16)))
 
 
 def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     """Number the value range in order, with about as many distinct rows under each number.
 
-    The edges are approximate quantiles of the distinct rows, one array of at most 4095
+    The edges are approximate quantiles of the distinct rows, one array of at most 16383
     numbers held as a scalar subquery; a binary search places each row. All users of the
     edges must see the same array, which subquery reuse guarantees within a query.
 
-    The subquery reads the sums too, though it needs only the values: its plan below the
-    quantiles is then the same as the caller's, and the source is scanned and shuffled once.
+    Values whose sums are all NULL are left out. That filter makes every branch of the query
+    read all the sums, so that all branches share one aggregation, and the source is scanned
+    and shuffled once.
     """
+    distinct = distinct.filter(F.coalesce(*names).isNotNull())
     spark = distinct.sparkSession
     if spark.conf.get("spark.sql.execution.reuseSubquery", "true") != "true":
         raise RuntimeError("needs spark.sql.execution.reuseSubquery")
     bits = _bucket_bits(spark)
     shares = [i / 2**bits for i in range(1, 2**bits)]
     position = c(value).cast("double")
-    counted = F.when(F.coalesce(*names).isNotNull(), position)
-    edges = distinct.agg(F.percentile_approx(counted, shares, 16 * 2**bits)).scalar()
+    edges = distinct.agg(F.percentile_approx(position, shares, 16 * 2**bits)).scalar()
     placed = distinct.withColumn(_BUCKET, F.lit(0))
     for bit in reversed(range(bits)):
         step = 2**bit
@@ -53,28 +63,35 @@ def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) ->
     return placed
 
 
-def running_totals(
-    df: DataFrame,
-    value: str,
-    sums: Mapping[str, Column],
-    by: Sequence[str] = (),
-    descending: bool = False,
+def per_value(
+    df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Per distinct ``value`` (within ``by``): each sum, its running total and its grand total.
+    """The sums of each distinct ``value`` within ``by``; rows without value or group are left out.
 
-    Yields columns ``name``, ``cum_name`` (this value included) and ``total_name`` for each
-    entry of ``sums``. Rows without a value are left out. Equal values are summed before
-    anything is ordered, map side first, so a value shared by a third of all rows is one row.
-    ``by`` must hold few distinct groups, such as models, classes or column names.
+    Equal values merge map side, so a value shared by a third of all rows is one row.
     """
-    by = list(by)
-    names = list(sums)
-    distinct = (
-        df.filter(c(value).isNotNull())
+    known = c(value).isNotNull()
+    for name in by:
+        known = known & c(name).isNotNull()
+    return (
+        df.filter(known)
         .groupBy(*by, value)
         .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
     )
-    placed = _with_value_bucket(distinct, value, names)
+
+
+def running_totals(
+    distinct: DataFrame, value: str, names: Sequence[str], by: Sequence[str] = (),
+    descending: bool = False,
+) -> DataFrame:
+    """Add running and grand totals of the ``names`` to a table made by :func:`per_value`.
+
+    ``cum_name`` includes the row's own value; ``total_name`` covers the ``by`` group. ``by``
+    must hold few distinct groups, such as models, classes or column names.
+    """
+    by = list(by)
+    rest = [name for name in distinct.columns if name not in by]
+    placed = _with_value_bucket(distinct, value, [name for name in rest if name != value])
 
     def directed(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
@@ -99,8 +116,7 @@ def running_totals(
     )
     return placed.join(buckets, [*by, _BUCKET]).select(
         *by,
-        value,
-        *names,
+        *rest,
         *[
             (F.sum(name).over(inside) + F.coalesce(f"before_{name}", F.lit(0))).alias(f"cum_{name}")
             for name in names
@@ -122,7 +138,14 @@ def exact_quantiles(
     The built-in exact ``percentile`` gathers all distinct values of a group in one task; here
     the order positions are found with :func:`running_totals` instead.
     """
-    counted = running_totals(df, value, {"n": F.lit(1)}, by=by)
+    return quantiles_of(per_value(df, value, {"n": F.lit(1)}, by), value, shares, by)
+
+
+def quantiles_of(
+    distinct: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`exact_quantiles` from the count ``n`` of each distinct value."""
+    counted = running_totals(distinct, value, ["n"], by)
     ends = []
     for name, share in shares.items():
         position = F.lit(share) * (c("total_n") - F.lit(1))
@@ -140,17 +163,17 @@ def exact_quantiles(
 
 
 def hashed_rank(
-    df: DataFrame, key: str, by: Sequence[str] = (), rank: str = "rank", size: str = "size",
-    digits: int = 3,
+    df: DataFrame, key: str, by: Sequence[str] = (), rank: str = "rank", size: str = "size"
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1..n in the order of the key's md5.
 
     The order is random-looking but the same on every run. The leading hex digits of the hash
-    are even buckets of that order (4096 with three digits), so a class with nearly all rows
-    is numbered by as many tasks as the table has. ``key`` must be unique and ``by`` not NULL.
+    are even buckets of that order (4096 or more), so a class with nearly all rows is numbered
+    by as many tasks as the table has. ``key`` must be unique and ``by`` not NULL.
     """
     by = list(by)
     keyed = df.withColumn(_HASH, F.md5(c(key).cast("string")))
+    digits = _hash_digits(df.sparkSession)
     keyed = keyed.withColumn(_BUCKET, F.substring(_HASH, 1, digits))
     of_group = W.partitionBy(*by)
     earlier = of_group.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)

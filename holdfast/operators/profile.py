@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 
 from holdfast.functions.bins import ordinal
 from holdfast.functions.features import ratio
-from holdfast.operators.ordering import exact_quantiles
+from holdfast.operators.ordering import exact_quantiles, per_value, quantiles_of
 
 c = F.col
 
@@ -174,14 +174,15 @@ def histogram(
 def boxplot(df: DataFrame, value: str, by: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 quartile ranges) and outlier count per class.
 
+    Everything is read off the counts of the distinct values, so the rows are scanned once.
     The quartile table has one row per entry of ``classes``, so broadcasting it is bounded.
     """
-    rows = _per_class(df, by, classes, value)
-    quartiles = exact_quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+    counts = per_value(_per_class(df, by, classes, value), "value", {"n": F.lit(1)}, [by])
+    quartiles = quantiles_of(counts, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
     reach = F.lit(1.5) * (c("q3") - c("q1"))
     inside = c("value").between(c("q1") - reach, c("q3") + reach)
     return (
-        rows.join(F.broadcast(quartiles), by)
+        counts.join(F.broadcast(quartiles), by)
         .groupBy(by)
         .agg(
             F.max("q1").alias("q1"),
@@ -189,6 +190,6 @@ def boxplot(df: DataFrame, value: str, by: str, classes: Sequence[int] = (0, 1))
             F.max("q3").alias("q3"),
             F.min(F.when(inside, c("value"))).alias("whisker_lo"),
             F.max(F.when(inside, c("value"))).alias("whisker_hi"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.sum(F.when(inside, F.lit(0)).otherwise(c("n"))).alias("n_outliers"),
         )
     )

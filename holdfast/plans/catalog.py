@@ -245,11 +245,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("standard_scale")
 def _(t: Tables) -> DataFrame:
-    features = t.user_features()
-    split = stratified_split(features, "user_id", "churned")
-    encoded = training.fit_encoder(features).transform(split)
-    scaler = training.fit_scaler(encoded.filter(c("split") == "train"))
-    return scaler.transform(encoded).select(
+    prepared = training.prepare(t.user_features())
+    return prepared.scaler.transform(prepared.rows).select(
         "user_id", "split", *[f"{name}_scaled" for name in MODEL_FEATURES]
     )
 

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from holdfast.config import CATEGORICAL, MODEL_FEATURES
 from holdfast.operators import metrics
@@ -296,14 +296,17 @@ def linear_attribution(
     Over a reproducible sample of at most ``n`` rows, whose mean is the reference point.
     """
     sample = hashed_sample(rows.select(KEY, vector_to_array("features").alias("x")), KEY, n)
-    means = sample.agg(F.array(*[F.avg(c("x")[i]) for i in range(len(features))])).scalar()
+    # The sample is one partition of at most n rows already.
+    all_rows = W.partitionBy()
+    means = F.array(*[F.avg(c("x")[i]).over(all_rows) for i in range(len(features))])
+    sample = sample.withColumn("mean", means)
     weights = model.coefficients.toArray()
     parts = F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"),
                 c("x")[i].alias("value"),
-                (F.lit(float(weights[i])) * (c("x")[i] - means[i])).alias("attribution"),
+                (F.lit(float(weights[i])) * (c("x")[i] - c("mean")[i])).alias("attribution"),
             )
             for i, name in enumerate(features)
         ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from holdfast.__main__ import run
 from holdfast.operators import market, metrics, profile
-from holdfast.operators.ordering import exact_quantiles, hashed_rank, hashed_sample, running_totals
+from holdfast.operators.ordering import exact_quantiles, hashed_rank, hashed_sample, per_value, running_totals
 from holdfast.operators.sampling import class_weights, stratified_split
 from holdfast.plans import training
 from holdfast.sources import stores
@@ -33,9 +33,8 @@ def test_running_totals_match_a_sort(spark, descending):
     rows = [("a", 5.0) for _ in range(400)]
     rows += [("a", round(rng.expovariate(0.01), 2)) for _ in range(500)]
     rows += [("b", float(rng.randrange(10**6))) for _ in range(300)] + [("b", None)]
-    result = running_totals(
-        numbers(spark, rows), "x", {"n": F.lit(1), "s": F.col("x")}, by=["g"], descending=descending
-    )
+    distinct = per_value(numbers(spark, rows), "x", {"n": F.lit(1), "s": F.col("x")}, by=["g"])
+    result = running_totals(distinct, "x", ["n", "s"], by=["g"], descending=descending)
     got = {(r.g, r.x): (r.n, r.cum_n, r.total_n, r.cum_s) for r in result.collect()}
     for g in "ab":
         values = sorted((x for h, x in rows if h == g and x is not None), reverse=descending)
