@@ -85,6 +85,8 @@ def test_permutation_uses_every_value_once(spark, models):
     rows = table.collect()
     assert {r.feature for r in rows} == set(models.data.features)
     assert rows[0].importance > 0.01
+    plain = metrics.auc_roc(models.scored("logistic_regression", "test")).collect()[0].auc_roc
+    assert all(r.auc_roc == pytest.approx(plain) for r in rows)
 
 
 def test_saved_model_scores_the_wide_table(spark, models, tmp_path):
