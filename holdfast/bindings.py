@@ -265,7 +265,7 @@ class Tables:
             self.raw("events")
             .groupBy(F.to_date("ts").alias("date"))
             .agg(((F.avg("value") - F.lit(50.0)) / F.lit(1000.0)).alias("daily_return"))
-            .select(F.lit("BTC").alias("asset"), "date", "daily_return")
+            .select(F.lit("market").alias("asset"), "date", "daily_return")
         )
 
 
