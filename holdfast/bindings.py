@@ -144,6 +144,7 @@ class Tables:
         )
 
     def enrollments(self) -> DataFrame:
+        """User × test. Who takes part, in which arm and since when is derived from the id."""
         key = c("c_custkey")
         return (
             self.raw("customer")

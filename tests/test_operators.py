@@ -221,6 +221,14 @@ def test_scaler_uses_population_deviation(spark):
     assert [r.k_scaled for r in rows] == [0.0, 0.0, 0.0]
 
 
+def test_scaler_writes_tiny_and_negative_numbers(spark):
+    values = [-3e-17, 1e-9, -2.5e-8]
+    df = spark.createDataFrame([(v,) for v in values], "a DOUBLE")
+    rows = training.fit_scaler(df, ["a"]).transform(df).collect()
+    expected = (np.array(values) - np.mean(values)) / np.std(values)
+    assert [r.a_scaled for r in rows] == pytest.approx(list(expected))
+
+
 def test_volatility_needs_a_full_window(spark):
     rows = [("X", date(2024, 1, 1) + timedelta(days=i), 0.01 * (i % 3)) for i in range(9)]
     df = spark.createDataFrame(rows, "asset STRING, date DATE, daily_return DOUBLE")
