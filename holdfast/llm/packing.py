@@ -18,6 +18,7 @@ no rows. Loss-bearing tokens are the last ones of an example.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,6 +147,11 @@ class Packer:
         return bin_
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 SCHEMA = pa.schema(
     [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
      ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -167,7 +173,6 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``path`` is a byte-level BPE file of the ``tokenizers`` library; every token bears loss.
     """
     spark = docs.sparkSession
-    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
     table = frequent_table(frequent_stretches(docs, text_col, id_col), path, as_bytes)
     shared = spark.sparkContext.broadcast(table)
     narrow = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))

@@ -3,7 +3,9 @@
 The unit is a stretch of text cut before single spaces that stand between two characters that
 are not white space. The vocabulary's own pre-tokens never reach across such a place and its
 merges never leave a pre-token, so encoding the stretches one by one gives the ids of the whole
-text. Stretches cost one hash lookup each; only unknown ones meet the tokenizer.
+text. Stretches cost one hash lookup each; only unknown ones meet the tokenizer. Of those, plain
+ones (words, ASCII marks but the apostrophe, single line ends) are cut into their pre-tokens here,
+which are looked up or go to the tokenizer's model directly; it encodes all others whole.
 """
 
 from __future__ import annotations
@@ -20,10 +22,23 @@ from pyspark.sql import DataFrame, functions as F
 # Documents from which the frequent stretches are taken, and how many of these are broadcast.
 TABLE_DOCS, TABLE_SIZE = 2_000, 65_536
 # Stretches a worker remembers beside the table, and the longest it remembers.
-CACHE_SIZE, LONGEST = 300_000, 64
+CACHE_SIZE, LONGEST = 600_000, 64
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Words, runs of ASCII marks, single line ends: each is a pre-token.
+_PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself if
+    it is printable and no space, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
 
 
 @lru_cache(maxsize=4)
@@ -49,17 +64,51 @@ def stretches(text: str) -> list[str]:
 
 
 class Pieces(dict):
-    """Value of `` stretch`` (with its space), from the table, the cache or the tokenizer."""
+    """Value of `` stretch`` (with its space), from the table, the cache or the tokenizer.
+
+    Values of neighbours add up to the value of both, as lengths and bytes do.
+    """
 
     def __init__(self, path: str, value: Callable[[list[int]], object], table: dict[str, object]):
         super().__init__(table)
         self.path, self.value, self.table = path, value, table
+        self.model = tokenizer(path).model
+        self.special = [token.content for token in tokenizer(path).get_added_tokens_decoder().values()]
+        self.inner: dict[str, object] = {}
 
     def encode(self, text: str) -> object:
         return self.value(tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
+    def pre_token(self, text: str) -> object:
+        letters = text.encode().decode("latin-1").translate(LETTERS)
+        return self.value([token.id for token in self.model.tokenize(letters)])
+
+    def without_space(self, part: str) -> object:
+        """Of a pre-token inside a stretch."""
+        found = self.inner.get(part)
+        if found is None:
+            found = self.pre_token(part)
+            if len(self.inner) >= CACHE_SIZE // 8:
+                self.inner.clear()
+            self.inner[part] = found
+        return found
+
     def __missing__(self, stretch: str) -> object:
-        found = self.encode(" " + stretch)
+        if stretch.isalpha():
+            found = self.pre_token(" " + stretch)
+        else:
+            parts = _PARTS.findall(stretch) if len(stretch) <= LONGEST else []
+            plain = (
+                "".join(parts) == stretch
+                and all(x.isalpha() or x.isascii() for x in parts)
+                and not any(x in stretch for x in self.special)
+            )
+            if plain and len(parts) > 1:
+                found = self[parts[0]]
+                for part in parts[1:]:
+                    found = found + self.without_space(part)
+                return found
+            found = self.pre_token(" " + stretch) if plain else self.encode(" " + stretch)
         if len(stretch) <= LONGEST:
             if len(self) >= CACHE_SIZE + len(self.table):
                 self.clear()
