@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 Voters look at a text and say toxic, clean or nothing. Some are lexicons (a fixed one of insults,
-and one per stem that labelled rows of the learning folds show to go with toxicity), others are
-patterns. A generative label model sees only the votes: by expectation maximisation it estimates
+and one per word or stem that labelled rows of the learning folds show to go with toxicity),
+others are patterns. An entry counts by the different words it follows, at most three in a text,
+so neither copies of a text nor one text that repeats itself make a word toxic. A generative label model sees only the votes: by expectation maximisation it estimates
 how often each voter speaks in either class, and from what agreement is left within a class how
 strongly voters repeat each other, so that correlated voters share one voice. Its posteriors are
 the labels on which a linear classifier over words and stems is trained; that classifier scores
@@ -18,8 +19,10 @@ the patterns still vote, over the unlabelled documents; an empty table gives no
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,11 @@ from holdfast.llm.tables import stored, whole_text
 TRAIN_ROWS = 8_000
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
-# Lengths of word beginnings that stand as stems beside the words.
-STEMS = (4, 5, 6)
-LEXICON_SIZE, VOCABULARY = 60, 2_000
+# Lengths of the beginnings of longer words that stand as stems beside the words.
+STEMS = (3, 4, 5, 6, 7)
+LEXICON_SIZE, VOCABULARY, CANDIDATES = 60, 1_000, 5_000
+# Words it follows that count for an entry in one text.
+CONTEXTS = 3
 ROUNDS = 100
 
 # Words of abuse that a lexicon of English would hold.
@@ -58,7 +63,7 @@ def entries_of(text: str) -> set[str]:
     words = set(_WORDS.findall(text.lower()))
     found = set(words)
     for size in STEMS:
-        found.update(w[:size] + "-" for w in words if len(w) >= size)
+        found.update(w[:size] + "-" for w in words if len(w) > size)
     return found
 
 
@@ -68,21 +73,27 @@ def entries_of(text: str) -> set[str]:
 class Voters:
     """The fixed lexicon, one voter for each learned entry, and patterns."""
 
-    def __init__(self, learned: list[str]):
+    def __init__(self, learned: list[str], insults: tuple[str, ...] = INSULTS):
         self.learned = learned
-        self.insults = frozenset(INSULTS)
+        self.insults = frozenset(insults)
+
+        self.stems = tuple(x[:-1] for x in learned if x.endswith("-"))
 
     def __len__(self) -> int:
-        return len(self.learned) + 5
+        return len(self.learned) + 6
 
     def votes(self, text: str, entries: set[str]) -> list[int]:
         """1 for toxic, -1 for clean, 0 for nothing, of each voter."""
         insults = len(entries & self.insults)
         learned = [1 if x in entries else 0 for x in self.learned]
+        whole = self.insults.union(self.learned)
+        hits = sum(x in whole or (x[-1:] != "-" and x not in self.stems and x.startswith(self.stems)) for x in entries)
+        hits -= sum(x[:-1] in self.stems for x in entries if x[-1:] == "-")
         return [
             *learned,
             1 if insults else 0,
-            1 if insults + sum(learned) > 1 else 0,
+            1 if hits > 1 else 0,
+            1 if hits > 2 else 0,
             1 if _MASKED.search(text) else 0,
             1 if _SHOUT.search(text) and insults else 0,
             -1 if not insults and not any(learned) else 0,
@@ -138,12 +149,12 @@ class LabelModel:
         return self.prior * self.speaks[1] / said
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Chance of toxic given the votes. A silent lexicon says next to nothing, so silence
-        counts for the clean voter only."""
-        spoken = votes != 0
-        speaks = self.speaks.clip(1e-6, 1 - 1e-6)
-        odds = self.weight * np.log(speaks[1] / speaks[0])
-        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + spoken @ odds).clip(-30, 30)))
+        """Chance of toxic given who speaks and who is silent, each by the voter's weight."""
+        speaks = self.speaks.clip(1e-4, 1 - 1e-4)
+        says = self.weight * np.log(speaks[1] / speaks[0])
+        silent = self.weight * np.log((1 - speaks[1]) / (1 - speaks[0]))
+        odds = (votes != 0) @ (says - silent) + silent.sum()
+        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + odds).clip(-30, 30)))
 
 
 # Learning
@@ -186,20 +197,111 @@ def _gain(toxic: Column, texts: Column, base: float) -> Column:
     return toxic * F.log(share / F.lit(base)) + (texts - toxic) * F.log((1 - share) / F.lit(1 - base))
 
 
-def learned_entries(counts: DataFrame, rows: int, toxic: int) -> tuple[list[str], list[str]]:
-    """Lexicon entries and the classifier's vocabulary, best first; both bounded."""
-    base = min(max(toxic / max(rows, 1), 1e-3), 0.5)
-    rated = stored(counts.where("texts >= 3").withColumn("gain", _gain(c("toxic"), c("texts"), base)), "toxicity-entries")
-    # Chance must not find as much among so many candidates.
-    needed = float(np.log(max(rated.count(), 1)) + 3)
-    best = rated.where(c("toxic") > base * c("texts")).orderBy(c("gain").desc(), F.length("entry"), "entry")
-    lexicon: list[str] = []
-    for row in best.where((c("gain") >= needed) & (c("toxic") >= c("texts") * 0.7)).limit(20 * LEXICON_SIZE).collect():
-        if not any(kept.endswith("-") and row.entry.startswith(kept[:-1]) for kept in lexicon):
-            lexicon.append(row.entry)
-    vocabulary = [row.entry for row in rated.orderBy(c("gain").desc(), F.length("entry"), "entry").limit(VOCABULARY).collect()]
-    lexicon = lexicon[:LEXICON_SIZE]
-    return lexicon, list(dict.fromkeys([*lexicon, *INSULTS, *vocabulary]))[:VOCABULARY]
+def context_counts(rows: DataFrame, candidates: list[str]) -> DataFrame:
+    """``entry, toxic, contexts``: the different words before a candidate, and those of them
+    that stand before it in a toxic text. ``candidates`` is bounded and broadcast."""
+    known = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries, before, labels = [], [], []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found: dict[str, set[str]] = {}
+                last = ""
+                for word in _WORDS.findall(text.lower()):
+                    for entry in (word, *[word[:n] + "-" for n in STEMS if len(word) > n]):
+                        if entry in known.value:
+                            contexts = found.setdefault(entry, set())
+                            if len(contexts) < CONTEXTS:
+                                contexts.add(last)
+                    last = word
+                for entry, contexts in found.items():
+                    entries += [entry] * len(contexts)
+                    before += sorted(contexts)
+                    labels += [label] * len(contexts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(entries, pa.string()), pa.array(before, pa.string()), pa.array(labels, pa.int32())],
+                names=["entry", "before", "label"],
+            )
+
+    found = rows.select("text", "label").mapInArrow(pairs, "entry string, before string, label int")
+    each = found.groupBy("entry", "before").agg(F.max("label").alias("label"))
+    return each.groupBy("entry").agg(F.sum("label").alias("toxic"), F.count("*").alias("contexts"))
+
+
+def _gain_of(toxic: int, contexts: int, base: float) -> float:
+    share = min(max((toxic + 0.01) / (contexts + 0.02), 1e-6), 1 - 1e-6) if contexts > 0 else base
+    return toxic * math.log(share / base) + (contexts - toxic) * math.log((1 - share) / (1 - base))
+
+
+@dataclass(frozen=True)
+class Found:
+    """An entry in the labelled texts: texts and words before it, toxic ones and all."""
+
+    entry: str
+    toxic_texts: int
+    texts: int
+    toxic_contexts: int
+    contexts: int
+
+    def gain(self, base: float) -> float:
+        """What both counts bear out: texts alone follow copies, contexts alone fixed phrases."""
+        return min(_gain_of(self.toxic_texts, self.texts, base), _gain_of(self.toxic_contexts, self.contexts, base))
+
+    def convinces(self, base: float, needed: float) -> bool:
+        """Contexts outdo chance among all entries, texts agree, and most of both are toxic."""
+        return (
+            min(self.texts, self.contexts) > 0
+            and min(self.toxic_texts / max(self.texts, 1), self.toxic_contexts / max(self.contexts, 1)) >= 0.6
+            and _gain_of(self.toxic_contexts, self.contexts, base) >= needed
+            and _gain_of(self.toxic_texts, self.texts, base) >= needed / 3
+        )
+
+    def without(self, others: list["Found"]) -> "Found":
+        return Found(
+            self.entry,
+            self.toxic_texts - sum(x.toxic_texts for x in others),
+            self.texts - sum(x.texts for x in others),
+            self.toxic_contexts - sum(x.toxic_contexts for x in others),
+            self.contexts - sum(x.contexts for x in others),
+        )
+
+
+def chosen_entries(found: list[Found], base: float, needed: float) -> list[str]:
+    """Lexicon entries, best first. A stem counts without the longer entries chosen before it,
+    and nothing counts under a chosen stem."""
+    # Of equal ones the longest, a word before a stem: what is narrower harms less.
+    order = sorted(found, key=lambda x: (-x.gain(base), -len(x.entry.rstrip("-")), x.entry))
+    chosen: dict[str, Found] = {}
+    for one in order:
+        if any(kept.endswith("-") and one.entry.startswith(kept[:-1]) for kept in chosen):
+            continue
+        left = one
+        if one.entry.endswith("-"):
+            left = one.without([x for kept, x in chosen.items() if kept.startswith(one.entry[:-1])])
+        if left.convinces(base, needed):
+            chosen[one.entry] = one
+    return list(chosen)[:LEXICON_SIZE]
+
+
+def learned_entries(rows: DataFrame, n: int, toxic: int) -> tuple[list[str], tuple[str, ...], list[str]]:
+    """Lexicon, the insults that labelled texts don't contradict, and the classifier's
+    vocabulary; all bounded."""
+    base = min(max(toxic / max(n, 1), 1e-3), 0.5)
+    counted = stored(entry_counts(rows), "toxicity-entries")
+    contradicted = counted.where(c("entry").isin(*INSULTS) & (c("toxic") < 0.5 * c("texts"))).collect()
+    insults = tuple(x for x in INSULTS if not n or x not in {r.entry for r in contradicted})
+    rated = counted.where("texts >= 2").withColumn("gain", _gain(c("toxic"), c("texts"), base))
+    best = rated.where(c("toxic") >= 0.5 * c("texts")).orderBy(c("gain").desc(), F.length("entry"), "entry")
+    candidates = {r.entry: r for r in best.limit(CANDIDATES).collect()}
+    found = [
+        Found(r.entry, candidates[r.entry].toxic, candidates[r.entry].texts, r.toxic, r.contexts)
+        for r in context_counts(rows, list(candidates)).collect()
+    ]
+    # Chance must not find as much among all entries.
+    lexicon = chosen_entries(found, base, math.log(max(rated.count(), 2)))
+    order = sorted(found, key=lambda x: (-x.gain(base), x.entry))
+    return lexicon, insults, list(dict.fromkeys([*lexicon, *insults, *(x.entry for x in order)]))[:VOCABULARY]
 
 
 def _examined(rows: DataFrame, voters: Voters, vocabulary: list[str]) -> list[tuple[list[int], list[int]]]:
@@ -245,8 +347,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[flo
     if not seen[0]:
         some = docs.select(whole_text().alias("text"), F.lit(0).alias("label"))
         rows = stored(some.orderBy(F.xxhash64("text")).limit(TRAIN_ROWS), "toxicity-unlabelled")
-    lexicon, vocabulary = learned_entries(entry_counts(rows), seen[0], seen[1] or 0)
-    voters = Voters(lexicon)
+    lexicon, insults, vocabulary = learned_entries(rows, seen[0], seen[1] or 0)
+    voters = Voters(lexicon, insults)
     examined = _examined(rows, voters, vocabulary)
     if not examined:
         return -30.0, {}
