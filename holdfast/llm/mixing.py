@@ -6,9 +6,9 @@ summed up from the left, one random offset per source is added, and a document i
 for each integer its stretch of that line crosses.
 
 Nothing needs a source in one task. Documents fall into small groups (source, size class, hash
-of the id); groups are counted, one running sum over a source's groups gives each group's first
-rank, and ranks inside a group come from a window over that group only. A source has at most
-32 x 62 classes x 256 hashes of groups however many documents it holds.
+of the id); groups are counted, running sums over a source's classes and over a class's hashes
+give each group's first rank, and ranks inside a group come from a window over that group only.
+A source has at most 32 x 62 classes and a class 256 hashes, however many documents they hold.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
 repeated rows are documents of their own; a source without words gets target 0 and no copies;
@@ -94,8 +94,14 @@ def with_copies(docs: DataFrame, targets: DataFrame, sizes: DataFrame, id_col: s
     ``sizes`` has the same ids, sources and sizes; it may be a narrower table.
     """
     groups = _placed(sizes, id_col).groupBy(KEY, *ORDER).agg(F.count("*").alias("_mix_n"))
-    so_far = Window.partitionBy(KEY).orderBy(*ORDER)
-    first = groups.select(KEY, *ORDER, (F.sum("_mix_n").over(so_far) - c("_mix_n")).alias("_mix_before"))
+    # Rows before a group: those of smaller size classes, and of smaller hashes in its class.
+    in_source, in_class = Window.partitionBy(KEY).orderBy(ORDER[0]), Window.partitionBy(KEY, ORDER[0]).orderBy(ORDER[1])
+    classes = groups.groupBy(KEY, ORDER[0]).agg(F.sum("_mix_n").alias("_mix_n")).select(
+        KEY, ORDER[0], (F.sum("_mix_n").over(in_source) - c("_mix_n")).alias("_mix_smaller")
+    )
+    first = groups.withColumn("_mix_inside", F.sum("_mix_n").over(in_class) - c("_mix_n")).join(
+        classes, [KEY, ORDER[0]]
+    ).select(KEY, *ORDER, (c("_mix_smaller") + c("_mix_inside")).alias("_mix_before"))
     rates = targets.select(
         F.coalesce(F.concat(F.lit("="), c("source")), F.lit("")).alias(KEY),
         "source_size",
