@@ -17,7 +17,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from holdfast.config import AS_OF
+from holdfast.config import AS_OF, LOGISTIC
 from holdfast.functions import features as f
 from holdfast.operators.activity import (
     ADVANCED,
@@ -27,6 +27,7 @@ from holdfast.operators.activity import (
     activity_columns,
     summarize_activity,
 )
+from holdfast.plans.feature_table import add_derived_features
 from holdfast.plans.scoring import daily_scores
 
 c = F.col
@@ -112,7 +113,7 @@ class Tables:
     def users(self) -> DataFrame:
         """One row per user. The login join vanishes from plans that do not read the column."""
         login = (
-            self._events(c("event_type") == "view", c("value") > 50.0)
+            self._events(c("event_type") == "view", c("value") > 50.0, F.to_date("ts") <= F.lit(self.as_of))
             .groupBy("user_id")
             .agg(F.max(F.to_date("ts")).alias("seen"))
         )
@@ -161,11 +162,12 @@ class Tables:
         """User × day portfolio values, gap-free, for every user with events.
 
         The running window holds one row per day of the snapshot range, however many events a
-        user has: they are summed per day first.
+        user has: they are summed per day first. Gains before the first snapshot day count on it.
         """
+        day = F.greatest(F.to_date("ts"), F.lit(SNAPSHOTS_FROM))
         daily = (
-            self.raw("events")
-            .groupBy("user_id", F.to_date("ts").alias("snapshot_date"))
+            self._events(F.to_date("ts") <= F.lit(self.as_of))
+            .groupBy("user_id", day.alias("snapshot_date"))
             .agg(F.sum("value").alias("gain"))
         )
         days = F.sequence(F.lit(SNAPSHOTS_FROM), F.lit(self.as_of))
@@ -211,6 +213,7 @@ class Tables:
         as_of = as_of or self.as_of
         summary = summarize_activity(self.activity_log(), as_of)
         users = self._customers().join(summary, "user_id", "left").withColumns(self._user_columns())
+        users = users.filter(c("account_created_date") <= F.lit(as_of))
         if status is not None:
             users = users.filter(c("status") == status)
         return users.select(*activity_columns(as_of))
@@ -251,6 +254,23 @@ class Tables:
         label = f.flag(f.rule_churn_prior() > uniform_from("user_id"))
         return self.user_features().withColumn("churned", label)
 
+    def scorers(self) -> DataFrame:
+        """The published logit and the rule prior as two models of the feature table's label.
+
+        Scores are rounded, so that equal inputs tie whatever the last bits of an exponential.
+        """
+        rows = self.user_features()
+        each = F.inline(
+            F.array(
+                F.struct(F.lit("published_logit").alias("model"), f.churn_probability(LOGISTIC, None).alias("raw")),
+                F.struct(F.lit("rule_prior").alias("model"), f.rule_churn_prior().alias("raw")),
+            )
+        )
+        score = F.round(F.round("raw", 10), 6)
+        return rows.select("user_id", c("churned").alias("label"), each).select(
+            "model", "user_id", "label", score.alias("score"), f.flag(score >= 0.5).alias("prediction")
+        )
+
     def scored(self) -> DataFrame:
         """Labelled scores with heavy ties, for the metric reports."""
         score = F.round(c("l_discount") * F.lit(5.0) + c("l_quantity") / F.lit(100.0), 2)
@@ -269,15 +289,3 @@ class Tables:
             .select(F.lit("market").alias("asset"), "date", "daily_return")
         )
 
-
-def add_derived_features(base: DataFrame) -> DataFrame:
-    """Append the five derived columns of the feature table."""
-    return base.withColumns(
-        {
-            "trading_intensity": f.trading_intensity(),
-            "portfolio_concentration": f.portfolio_concentration(),
-            "engagement_score": f.engagement_score(),
-            "high_risk_profile": f.high_risk_profile(),
-            "account_stage": f.account_stage(),
-        }
-    )

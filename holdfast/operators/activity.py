@@ -34,16 +34,20 @@ def summarize_activity(log: DataFrame, as_of: date, t: Thresholds = THRESHOLDS)
     trades, and everything a very active user did shrinks to one row per map task before the
     only shuffle. The trend compares the last two weeks with the two before; day 14 counts in
     both.
+
+    Nothing after ``as_of`` counts. Product rows have no date in the logical tables, so a product
+    counts on any day.
     """
     window_start = F.date_sub(F.lit(as_of), t.trade_window_days)
     recent_start = F.date_sub(F.lit(as_of), t.recent_days)
     prior_start = F.date_sub(F.lit(as_of), t.prior_days)
     day, kind = c("day"), c("kind")
-    traded = (kind == TRADE) & (day >= window_start)
+    traded = (kind == TRADE) & day.between(window_start, F.lit(as_of))
+    seen = (kind == LOGIN) & (day <= F.lit(as_of))
     recent = F.count_if(traded & (day >= recent_start))
     prior = F.count_if(traded & day.between(prior_start, recent_start))
     return (
-        log.filter((kind != TRADE) | (day >= window_start))
+        log.filter(kind.isin(YIELD, ADVANCED) | traded | seen)
         .groupBy("user_id")
         .agg(
             F.count_if(traded).alias("trades_30d"),
@@ -51,13 +55,17 @@ def summarize_activity(log: DataFrame, as_of: date, t: Thresholds = THRESHOLDS)
             f.trade_freq_trend(recent, prior).alias("trade_freq_trend"),
             F.max(f.flag(kind == YIELD)).alias("yield_adoption"),
             F.max(f.flag(kind == ADVANCED)).alias("advanced_trading"),
-            F.max(F.when(kind == LOGIN, day)).alias("seen"),
+            F.max(F.when(seen, day)).alias("seen"),
         )
     )
 
 
 def activity_columns(as_of: date) -> list[str | Column]:
-    """Features of a user row joined with its activity summary, which may be absent."""
+    """Features of a user row joined with its activity summary, which may be absent.
+
+    A login after ``as_of`` is not known on that day.
+    """
+    login = F.when(c("last_login_date") <= F.lit(as_of), c("last_login_date"))
     return [
         "user_id",
         "segment",
@@ -66,7 +74,7 @@ def activity_columns(as_of: date) -> list[str | Column]:
         "n_assets",
         F.coalesce("trades_30d", F.lit(0).cast("bigint")).alias("trades_30d"),
         "avg_trade_size",
-        f.days_until(as_of, "last_login_date").alias("days_since_login"),
+        f.days_until(as_of, login).alias("days_since_login"),
         "trade_freq_trend",
         F.coalesce("yield_adoption", F.lit(0)).alias("yield_adoption"),
         F.coalesce("advanced_trading", F.lit(0)).alias("advanced_trading"),
@@ -78,9 +86,11 @@ def activity_features(
 ) -> DataFrame:
     """Users with their trade window, login recency and product flags: one row per user.
 
-    Users without activity stay, with no trades and no trend. The aggregation's shuffle on
-    ``user_id`` serves the join as well.
+    Users without activity stay, with no trades and no trend; users who signed up after
+    ``as_of`` are left out. The aggregation's shuffle on ``user_id`` serves the join as well.
+    ``status`` is the present one: the users table keeps no history of it.
     """
+    users = users.filter(c("account_created_date") <= F.lit(as_of))
     if status is not None:
         users = users.filter(c("status") == status)
     summary = summarize_activity(log, as_of)

@@ -15,6 +15,7 @@ from holdfast.operators.ordering import covers, per_value, running_totals
 
 c = F.col
 
+# Names of the two classes.
 CLASS_NAMES = {0: "Retained", 1: "Churned"}
 
 
@@ -71,7 +72,8 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _area() -> Column:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
     half_tied = c("cum_pos") - c("pos") / F.lit(2.0)
-    return ratio(F.sum(c("neg") * half_tied), F.max("total_pos") * F.max("total_neg"))
+    # As DOUBLE: the product of two counts soon leaves BIGINT.
+    return ratio(F.sum(c("neg") * half_tied), F.max("total_pos").cast("double") * F.max("total_neg"))
 
 
 def _average_precision() -> Column:

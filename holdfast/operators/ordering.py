@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 c = F.col
 
+# The most edges a plan carries; more partitions than this share buckets' work by size only.
+_MOST_BUCKETS = 16_384
+
 _BUCKET = "__bucket"
 _HASH = "__hash"
 
@@ -24,9 +29,9 @@ def _wanted_buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bucket_bits(spark: SparkSession) -> int:
-    """The wanted number of buckets as a power of two between 16 and 16384."""
-    return min(14, max(4, math.ceil(math.log2(_wanted_buckets(spark)))))
+def _literal(numbers: Sequence[float]) -> Column:
+    """An array of numbers as one literal: folded from text, so the plan names it once."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
 
 
 def _hash_digits(spark: SparkSession) -> int:
@@ -37,30 +42,31 @@ def _hash_digits(spark: SparkSession) -> int:
 def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     """Number the value range in order, with about as many distinct rows under each number.
 
-    The edges are approximate quantiles of the distinct rows, one array of at most 16383
-    numbers held as a scalar subquery; a binary search places each row. All users of the
-    edges must see the same array, which subquery reuse guarantees within a query.
+    The edges are approximate quantiles of the distinct values, taken by one job of their own:
+    a few thousand numbers, which every branch of the query gets as the same literal. A row
+    finds its bucket in two steps, among the first edges of all stretches and then inside one.
 
     Values whose sums are all NULL are left out. That filter makes every branch of the query
     read all the sums, so that all branches share one aggregation, and the source is scanned
     and shuffled once.
     """
     distinct = distinct.filter(F.coalesce(*names).isNotNull())
-    spark = distinct.sparkSession
-    if spark.conf.get("spark.sql.execution.reuseSubquery", "true") != "true":
-        raise RuntimeError("needs spark.sql.execution.reuseSubquery")
-    bits = _bucket_bits(spark)
-    shares = [i / 2**bits for i in range(1, 2**bits)]
+    buckets = min(_MOST_BUCKETS, max(16, _wanted_buckets(distinct.sparkSession)))
     position = c(value).cast("double")
-    edges = distinct.agg(F.percentile_approx(position, shares, 16 * 2**bits)).scalar()
-    placed = distinct.withColumn(_BUCKET, F.lit(0))
-    for bit in reversed(range(bits)):
-        step = 2**bit
-        beyond = edges[c(_BUCKET) + F.lit(step - 1)] <= position
-        placed = placed.withColumn(
-            _BUCKET, c(_BUCKET) + F.when(beyond, F.lit(step)).otherwise(F.lit(0))
-        )
-    return placed
+    shares = _literal([i / buckets for i in range(1, buckets)])
+    found = distinct.agg(F.percentile_approx(position, shares, F.lit(4 * buckets))).first()[0]
+    edges = sorted({x for x in found or ()})
+    if not edges:
+        return distinct.withColumn(_BUCKET, F.lit(0))
+    stride = math.ceil(math.sqrt(len(edges)))
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.lit((len(edges) - 1) // stride)),
+        lambda i: F.slice(_literal(edges), i * stride + 1, F.lit(stride)),
+    )
+    reached = F.size(F.filter(_literal(edges[::stride]), lambda edge: edge <= position))
+    inside = F.size(F.filter(F.get(stretches, reached - 1), lambda edge: edge <= position))
+    place = F.when(reached == 0, F.lit(0)).otherwise((reached - 1) * stride + inside)
+    return distinct.withColumn(_BUCKET, place)
 
 
 def per_value(
@@ -169,7 +175,8 @@ def hashed_rank(
 
     The order is random-looking but the same on every run. The leading hex digits of the hash
     are even buckets of that order (4096 or more), so a class with nearly all rows is numbered
-    by as many tasks as the table has. ``key`` must be unique and ``by`` not NULL.
+    by as many tasks as the table has. ``key`` must be unique. Rows with a NULL in ``by`` are a
+    group of their own: every row comes back.
     """
     by = list(by)
     keyed = df.withColumn(_HASH, F.md5(c(key).cast("string")))
@@ -188,8 +195,10 @@ def hashed_rank(
         )
     )
     inside = W.partitionBy(*by, _BUCKET).orderBy(_HASH, key)
+    told = {name: f"__of_{name}" for name in (*by, _BUCKET)}
+    same = reduce(and_, [c(name).eqNullSafe(c(other)) for name, other in told.items()])
     return (
-        keyed.join(buckets, [*by, _BUCKET])
+        keyed.join(buckets.withColumnsRenamed(told), same)
         .withColumn(rank, F.row_number().over(inside) + F.coalesce("__before", F.lit(0)))
         .select(*df.columns, rank, size)
     )

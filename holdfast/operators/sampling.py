@@ -17,7 +17,7 @@ def stratified_split(
 
     Two stages, as usual: the test rows are cut off each class first, the validation rows then
     take their share of what is left. Rows are drawn by key hash, so the split is the same on
-    every run and in every partitioning.
+    every run and in every partitioning. Rows without a label are split like a class.
     """
     ranked = hashed_rank(df, key, by=[label])
     n_test = F.round(c("size") * F.lit(test_share))

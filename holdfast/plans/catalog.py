@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
 
 from holdfast.bindings import USER_FEATURES_SCHEMA, Tables
 from holdfast.config import (
@@ -22,7 +22,8 @@ from holdfast.operators.activity import activity_features, activity_log, portfol
 from holdfast.operators.ordering import hashed_sample
 from holdfast.operators.sampling import class_weights, stratified_split
 from holdfast.plans import campaigns, training
-from holdfast.plans.scoring import interaction_features, scoring_report, user_segments
+from holdfast.plans.feature_table import user_features
+from holdfast.plans.scoring import interaction_features, model_scores, scoring_report, user_segments
 from holdfast.session import fresh_path
 from holdfast.sources import stores
 
@@ -33,26 +34,10 @@ TEST_NAME = "yield_education_intervention"
 _QUERIES: dict[str, Query] = {}
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE: sums and exponentials differ in the last bits between engines.
-
-    Rounding to 10 places first puts values that differ in those bits only on the same side of
-    a tie. Adding 0.0 turns a rounded -0.0 into 0.0.
-    """
-    return df.select(
-        *[
-            (F.round(F.round(field.name, 10), digits) + F.lit(0.0)).alias(field.name)
-            if isinstance(field.dataType, DoubleType)
-            else c(field.name)
-            for field in df.schema.fields
-        ]
-    )
-
-
 def query(name: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return tidy(build(Tables(spark, folder)))
+            return build(Tables(spark, folder))
 
         _QUERIES[name] = run
         return build
@@ -72,6 +57,12 @@ def _(t: Tables) -> DataFrame:
     return scoring_report(t.scores_on(t.as_of))
 
 
+@query("churn_scoring_backfill")
+def _(t: Tables) -> DataFrame:
+    """The scores as they would have been 20 days before."""
+    return scoring_report(t.scores_on(t.as_of - timedelta(days=20)))
+
+
 @query("churn_daily_scoring_zero_trend")
 def _(t: Tables) -> DataFrame:
     return scoring_report(t.scores_on(t.as_of, null_trend=0.0))
@@ -130,6 +121,11 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("operational_features")
+def _(t: Tables) -> DataFrame:
+    return user_features(t.users(), t.activity_log(), t.snapshots(), t.as_of)
+
+
 @query("interaction_features")
 def _(t: Tables) -> DataFrame:
     return interaction_features(t.user_features()).select(
@@ -301,6 +297,34 @@ def _(t: Tables) -> DataFrame:
     return metrics.precision_at_top(t.scored())
 
 
+# The published logit and the rule prior, compared like trained models
+
+
+@query("scorer_comparison")
+def _(t: Tables) -> DataFrame:
+    return metrics.summary(t.scorers())
+
+
+@query("scorer_best")
+def _(t: Tables) -> DataFrame:
+    return metrics.summary(t.scorers()).orderBy(F.desc("auc_roc"), "model").limit(1).select("model", "auc_roc")
+
+
+@query("scorer_roc_curve")
+def _(t: Tables) -> DataFrame:
+    return metrics.roc_curve(t.scorers(), ["model"])
+
+
+@query("scorer_pr_curve")
+def _(t: Tables) -> DataFrame:
+    return metrics.pr_curve(t.scorers(), ["model"])
+
+
+@query("scorer_confusion")
+def _(t: Tables) -> DataFrame:
+    return metrics.confusion_matrix(t.scorers(), ["model"])
+
+
 # Market series
 
 
@@ -366,6 +390,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("store_targeting")
+def _(t: Tables) -> DataFrame:
+    """Targets from the stored runs: folders before the last two days are never opened."""
+    path = fresh_path(t.spark, "scores")
+    stores.write_scores(t.recent_scores(), path)
+    scores = stores.read_scores(t.spark, path, since=t.as_of - timedelta(days=1))
+    return campaigns.high_risk_targets(scores, t.users(), t.as_of)
+
+
+@query("store_calibration")
+def _(t: Tables) -> DataFrame:
+    path = fresh_path(t.spark, "scores")
+    stores.write_scores(t.logged_scores(), path)
+    return campaigns.model_calibration(stores.read_scores(t.spark, path), t.users(), t.as_of)
+
+
 # Models
 
 _TRAININGS: dict[tuple[str, str], training.Training] = {}
@@ -399,6 +439,32 @@ def _(t: Tables) -> DataFrame:
     return trained(t).scored("gradient_boosting", "val")
 
 
+@query("model_score_store")
+def _(t: Tables) -> DataFrame:
+    """Scores of all users by the trained linear model, stored and read again."""
+    models = trained(t)
+    path = fresh_path(t.spark, "scores")
+    full = models.full_model("logistic_regression")
+    stores.write_scores(model_scores(full, t.learnable_user_features(), t.as_of), path)
+    p = c("churn_probability")
+    return (
+        stores.read_scores(t.spark, path)
+        .groupBy("score_date")
+        .agg(F.count(F.lit(1)).alias("n_users"), F.count_if(p.between(0.0, 1.0)).alias("n_scored"))
+    )
+
+
+@query("model_roc_curves")
+def _(t: Tables) -> DataFrame:
+    """Every ROC point of every trained model on the held-out rows."""
+    return metrics.roc_curve(trained(t).all_scored("test"), ["model"])
+
+
+@query("model_confusion")
+def _(t: Tables) -> DataFrame:
+    return metrics.confusion_matrix(trained(t).all_scored("test"), ["model"])
+
+
 @query("model_comparison")
 def _(t: Tables) -> DataFrame:
     return trained(t).comparison()

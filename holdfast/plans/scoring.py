@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.ml import Transformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.config import LOGISTIC, LogisticWeights
@@ -45,6 +47,27 @@ def daily_scores(
     )
 
 
+def model_scores(model: Transformer, features: DataFrame, as_of: date) -> DataFrame:
+    """The score row of every user by a fitted model instead of the published weights.
+
+    ``model`` takes rows of the wide feature table, as :meth:`Training.full_model` does.
+    """
+    rows = model.transform(interaction_features(features))
+    return rows.select(
+        "user_id",
+        vector_to_array("probability")[1].alias("churn_probability"),
+        f.risk_tier().alias("risk_tier"),
+        c("days_since_login").cast("int").alias("days_since_login"),
+        "trade_freq_trend",
+        "engagement_score",
+        "trades_30d",
+        "yield_adoption",
+        "n_assets",
+        "portfolio_value",
+        F.lit(as_of).cast("timestamp_ntz").alias("scored_at"),
+    )
+
+
 def scoring_report(scores: DataFrame) -> DataFrame:
     """Scores, most at risk first, unknown ones last.
 

@@ -62,6 +62,9 @@ def fit_scaler(train: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> SQL
         *[F.avg(name).alias(f"mean_{name}") for name in columns],
         *[F.stddev_pop(name).alias(f"std_{name}") for name in columns],
     ).first()
+    unknown = [name for name in columns if fitted[f"mean_{name}"] is None]
+    if unknown:
+        raise ValueError(f"no training row has a value of: {', '.join(unknown)}")
     scaled = [
         f"(`{name}` - {fitted[f'mean_{name}']!r}D) / {(fitted[f'std_{name}'] or 1.0)!r}D"
         f" AS `{name}_scaled`"
@@ -81,6 +84,7 @@ class Prepared:
     class_counts: dict[int, int]
     class_weight: dict[int, float]
     imbalance: float
+    filled: dict[str, int] = field(default_factory=dict)
 
     @property
     def assembler(self) -> VectorAssembler:
@@ -109,14 +113,39 @@ class Prepared:
         return [self.encoder, self.scaler, self.assembler]
 
 
+def fill_unknown(
+    features: DataFrame, columns: Sequence[str], value: float = 0.0
+) -> tuple[DataFrame, dict[str, int]]:
+    """``features`` with NULL model inputs replaced, and how many each column had.
+
+    A column without any value is an error, as is a NULL label: a fill would hide that the
+    table is wrong. One pass.
+    """
+    counted = features.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(LABEL).alias("labelled"),
+        *[F.count(name).alias(f"known_{name}") for name in columns],
+    ).first()
+    if counted["labelled"] < counted["rows"]:
+        raise ValueError(f"{counted['rows'] - counted['labelled']} rows have no {LABEL}")
+    unknown = {name: counted["rows"] - counted[f"known_{name}"] for name in columns}
+    empty = [name for name, n in unknown.items() if n == counted["rows"]]
+    if empty:
+        raise ValueError(f"no row has a value of: {', '.join(empty)}")
+    filled = {name: n for name, n in unknown.items() if n}
+    return features.fillna(value, list(filled)) if filled else features, filled
+
+
 def prepare(features: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> Prepared:
     """Split the feature table and fit encoder, scaler and class weights.
 
     Two tables are written: the features, which the split reads twice, and the split rows,
     which the fits pass over many times. A lost executor sends neither back to the joins.
-    Everything after the second table is a projection.
+    Everything after the second table is a projection. NULL model inputs are filled with 0;
+    ``Prepared.filled`` tells how many.
     """
-    full = materialize(interaction_features(features), "features")
+    stored = materialize(interaction_features(features), "features")
+    full, filled = fill_unknown(stored, [name for name in columns if name in stored.columns])
     encoder = fit_encoder(full)
     split = encoder.transform(stratified_split(full, KEY, LABEL))
     rows = materialize(split, "split", partition_by="split")
@@ -133,6 +162,7 @@ def prepare(features: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> Pre
         class_counts={label: row["n"] for label, row in classes.items()},
         class_weight={label: row["balanced_weight"] for label, row in classes.items()},
         imbalance=classes[0]["scale_pos_weight"],
+        filled=filled,
     )
 
 
@@ -236,7 +266,7 @@ class Training:
     def scored(self, name: str, part: str) -> DataFrame:
         return score(self.model(name), self.data.part(part), name, KEY)
 
-    def _all_scored(self, part: str) -> DataFrame:
+    def all_scored(self, part: str) -> DataFrame:
         stacked = self.scored(MODEL_ORDER[0], part)
         for name in MODEL_ORDER[1:]:
             stacked = stacked.unionByName(self.scored(name, part))
@@ -244,12 +274,12 @@ class Training:
 
     def comparison(self, part: str = "val") -> DataFrame:
         """The six metrics of every model, rounded to 4 places."""
-        table = metrics.summary(self._all_scored(part))
+        table = metrics.summary(self.all_scored(part))
         return table.select("model", *[F.round(name, 4).alias(name) for name in table.columns[1:]])
 
     def best(self, metric: str = "auc_roc") -> DataFrame:
         """The model with the highest metric; the first one trained wins a tie."""
-        table = metrics.summary(self._all_scored("val"))
+        table = metrics.summary(self.all_scored("val"))
         order = F.array_position(F.array(*[F.lit(name) for name in MODEL_ORDER]), c("model"))
         return table.orderBy(F.desc(metric), order).limit(1).select("model", metric)
 
@@ -294,24 +324,26 @@ def feature_importance(
 
 
 def linear_attribution(
-    model: LogisticRegressionModel, rows: DataFrame, features: Sequence[str], n: int = 1000
+    model: LogisticRegressionModel, rows: DataFrame, features: Sequence[str], n: int | None = None
 ) -> DataFrame:
     """Exact per-row attribution of a linear model: weight times distance from the mean.
 
-    Over a reproducible sample of at most ``n`` rows, whose mean is the reference point.
+    Over all rows, or over a reproducible sample of ``n`` rows if asked for; the mean of the
+    rows explained is the reference point. One aggregate gives the means, one number per
+    feature; the rest is a projection.
     """
-    sample = hashed_sample(rows.select(KEY, vector_to_array("features").alias("x")), KEY, n)
-    # The sample is one partition of at most n rows already.
-    all_rows = W.partitionBy()
-    means = F.array(*[F.avg(c("x")[i]).over(all_rows) for i in range(len(features))])
-    sample = sample.withColumn("mean", means)
+    sample = rows.select(KEY, vector_to_array("features").alias("x"))
+    if n is not None:
+        sample = hashed_sample(sample, KEY, n)
+    found = sample.agg(*[F.avg(c("x")[i]).alias(f"mean_{i}") for i in range(len(features))]).first()
+    means = [value or 0.0 for value in found]
     weights = model.coefficients.toArray()
     parts = F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"),
                 c("x")[i].alias("value"),
-                (F.lit(float(weights[i])) * (c("x")[i] - c("mean")[i])).alias("attribution"),
+                (F.lit(float(weights[i])) * (c("x")[i] - F.lit(means[i]))).alias("attribution"),
             )
             for i, name in enumerate(features)
         ]

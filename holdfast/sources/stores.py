@@ -34,9 +34,22 @@ def write_scores(scores: DataFrame, path: str) -> None:
     )
 
 
-def read_scores(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:
-    """Stored scores; ``since`` prunes folders before any file is opened."""
-    scores = spark.read.parquet(path)
+# Columns of a stored score row.
+SCORE_SCHEMA = (
+    "user_id BIGINT, churn_probability DOUBLE, risk_tier STRING, days_since_login INT,"
+    " trade_freq_trend DOUBLE, engagement_score INT, trades_30d BIGINT, yield_adoption INT,"
+    " n_assets INT, portfolio_value DOUBLE, scored_at TIMESTAMP_NTZ, score_date DATE"
+)
+
+
+def read_scores(
+    spark: SparkSession, path: str, since: date | None = None, schema: str = SCORE_SCHEMA
+) -> DataFrame:
+    """Stored scores; ``since`` prunes folders before any file is opened.
+
+    The schema is given: no file is opened for it, and a store without a run is empty.
+    """
+    scores = spark.read.schema(schema).parquet(path)
     if since is None:
         return scores
     return scores.filter(F.col("score_date") >= F.lit(since))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.views import AS_OF, DAY_BEFORE, SCALED, probability, r, with_views
+from oracles.views import AS_OF, DAY_BEFORE, PRIOR, SCALED, probability, r, with_views
 
 FEATURE_COLUMNS = (
     "user_id, segment, account_age_days, portfolio_value, n_assets, trades_30d, avg_trade_size,"
@@ -73,6 +73,11 @@ SELECT user_id, {r('churn_probability', 'churn_probability')}, risk_tier, days_s
        engagement_score, scored_at
 FROM scores ORDER BY churn_probability DESC NULLS LAST, user_id"""
 
+    sql["churn_scoring_backfill"] = f"""
+SELECT user_id, {r('churn_probability', 'churn_probability')}, risk_tier, days_since_login,
+       engagement_score, scored_at
+FROM scores_past"""
+
     trendless = "coalesce(trade_freq_trend, 0)"
     sql["churn_daily_scoring_zero_trend"] = f"""
 SELECT user_id, {r(probability(trendless), 'churn_probability')}, risk_tier, days_since_login,
@@ -146,19 +151,25 @@ SELECT user_id, {r('trading_intensity', 'trading_intensity')},
        {r('portfolio_concentration', 'portfolio_concentration')}, engagement_score,
        high_risk_profile, account_stage
 FROM user_features"""
+    sql["operational_features"] = f"""
+SELECT user_id, segment, account_age_days, {r('portfolio_value', 'portfolio_value')}, n_assets, trades_30d,
+       {r('avg_trade_size', 'avg_trade_size')}, days_since_login, {r('trade_freq_trend', 'trade_freq_trend')},
+       yield_adoption, advanced_trading, {r('portfolio_return_30d', 'portfolio_return_30d')}, churned,
+       {r('trades_30d / 4.3 / nullif(ln(1 + account_age_days / 7.0), 0)', 'trading_intensity')},
+       {r('portfolio_concentration', 'portfolio_concentration')}, engagement_score, high_risk_profile,
+       CASE WHEN account_age_days BETWEEN 1 AND 30 THEN 'new'
+            WHEN account_age_days BETWEEN 31 AND 90 THEN 'growing'
+            WHEN account_age_days BETWEEN 91 AND 180 THEN 'established'
+            WHEN account_age_days BETWEEN 181 AND 365 THEN 'mature'
+            WHEN account_age_days BETWEEN 366 AND 730 THEN 'veteran' END AS account_stage
+FROM operational"""
     sql["interaction_features"] = f"""
 SELECT user_id, {r('portfolio_value / (engagement_score + 1)', 'value_engagement_ratio')},
        {r('days_since_login * greatest(-trade_freq_trend, 0)', 'inactivity_decline_risk')},
        {r('portfolio_concentration * greatest(-portfolio_return_30d, 0)', 'concentration_loss')}
 FROM user_features"""
     sql["user_segments"] = "SELECT user_id, risk_segment, value_segment FROM segmented"
-    prior = """least(0.95, CASE segment WHEN 'casual' THEN 0.35 WHEN 'active' THEN 0.15
-  WHEN 'power_user' THEN 0.05 WHEN 'whale' THEN 0.03 END
-  + CASE WHEN days_since_login > 14 THEN 0.4 WHEN days_since_login > 7 THEN 0.2 ELSE 0 END
-  + CASE WHEN trade_freq_trend < -0.3 THEN 0.15 ELSE 0 END
-  + CASE WHEN yield_adoption = 0 THEN 0.1 ELSE 0 END + CASE WHEN n_assets = 1 THEN 0.1 ELSE 0 END
-  + CASE WHEN portfolio_return_30d < -10 THEN 0.1 ELSE 0 END)"""
-    sql["rule_churn_prior"] = f"SELECT user_id, {r(prior, 'churn_prior')} FROM user_features"
+    sql["rule_churn_prior"] = f"SELECT user_id, {r(PRIOR, 'churn_prior')} FROM user_features"
 
     sql["churn_by_segment"] = rates("segment")
     sql["churn_by_yield"] = rates("yield_adoption")
@@ -282,6 +293,41 @@ SELECT {r('sum(pos / CAST(p AS DOUBLE) * tp / CAST(tp + fp AS DOUBLE))', 'averag
 SELECT {r('max(cut)', 'threshold')}, count(*) AS n_selected, {r('avg(label)', 'precision_at_10pct')}
 FROM scored, (SELECT quantile_cont(score, 0.9) AS cut FROM scored) WHERE score >= cut"""
 
+    decided = """(SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scorers)"""
+    area = "sum(neg * (tp - pos / 2.0)) / (CAST(max(p) AS DOUBLE) * max(q))"
+    sql["scorer_comparison"] = f"""
+SELECT a.model, {r('auc', 'auc_roc')}, {r('ap', 'auc_pr')}, {r('coalesce(prec, 0)', '"precision"')},
+       {r('coalesce(rec, 0)', 'recall')}, {r('coalesce(f, 0)', 'f1')}, {r('top', 'precision_at_10pct')}
+FROM (SELECT model, {area} AS auc, sum(pos / CAST(p AS DOUBLE) * tp / CAST(tp + fp AS DOUBLE)) AS ap
+      FROM model_steps GROUP BY model) a
+JOIN (SELECT model, count(*) FILTER (label = 1 AND prediction = 1) / nullif(CAST(sum(prediction) AS DOUBLE), 0) AS prec,
+             count(*) FILTER (label = 1 AND prediction = 1) / nullif(CAST(sum(label) AS DOUBLE), 0) AS rec,
+             2 * count(*) FILTER (label = 1 AND prediction = 1) / nullif(CAST(sum(prediction) + sum(label) AS DOUBLE), 0) AS f
+      FROM {decided} GROUP BY model) b ON b.model = a.model
+JOIN (SELECT s.model, avg(label) AS top FROM scorers s
+      JOIN (SELECT model, quantile_cont(score, 0.9) AS cut FROM scorers GROUP BY model) q ON q.model = s.model
+      WHERE score >= cut GROUP BY s.model) t ON t.model = a.model"""
+    sql["scorer_best"] = f"""
+SELECT model, {r(area, 'auc_roc')} FROM model_steps GROUP BY model ORDER BY {area} DESC, model LIMIT 1"""
+    sql["scorer_roc_curve"] = f"""
+SELECT model, {r('score', 'threshold')}, {r('fp / CAST(q AS DOUBLE)', 'fpr')}, {r('tp / CAST(p AS DOUBLE)', 'tpr')}
+FROM model_steps UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM scorers"""
+    sql["scorer_pr_curve"] = f"""
+SELECT model, {r('score', 'threshold')}, {r('tp / CAST(tp + fp AS DOUBLE)', '"precision"')},
+       {r('tp / CAST(p AS DOUBLE)', 'recall')}, {r('p / CAST(p + q AS DOUBLE)', 'baseline')}
+FROM model_steps UNION ALL
+SELECT model, CAST(NULL AS DOUBLE), 1.0, 0.0, {r('avg(label)', 'baseline')} FROM scorers GROUP BY model"""
+    sql["scorer_confusion"] = f"""
+SELECT m.model, l.label, p.prediction, count(s.label) AS n
+FROM (SELECT DISTINCT model FROM scorers) m CROSS JOIN (VALUES (0), (1)) l(label)
+CROSS JOIN (VALUES (0), (1)) p(prediction)
+LEFT JOIN {decided} s ON s.model = m.model AND s.label = l.label AND s.prediction = p.prediction
+GROUP BY m.model, l.label, p.prediction"""
+    sql["store_targeting"] = sql["high_risk_targeting"]
+    sql["store_calibration"] = sql["model_calibration"]
+    sql["model_score_store"] = f"""
+SELECT {AS_OF} AS score_date, count(*) AS n_users, count(*) AS n_scored FROM user_features"""
+
     sql["rolling_volatility"] = f"""
 SELECT date, {r('daily_return', 'daily_return')}, {r('v', 'raw_volatility')},
        {r('coalesce(v, avg(v) OVER ())', 'volatility')}

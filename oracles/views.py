@@ -6,6 +6,7 @@ import re
 
 AS_OF = "DATE '2024-01-31'"
 DAY_BEFORE = "DATE '2024-01-30'"
+BACKFILL = "DATE '2024-01-11'"
 
 
 def r(expr: str, name: str) -> str:
@@ -19,7 +20,7 @@ SELECT u.user_id, u.segment, u.status,
        CAST(date_diff('day', u.account_created_date, {as_of}) AS INTEGER) AS account_age_days,
        u.portfolio_value, u.n_assets,
        coalesce(t.trades_30d, 0) AS trades_30d, t.avg_trade_size,
-       CAST(date_diff('day', u.last_login_date, {as_of}) AS INTEGER) AS days_since_login,
+       CAST(CASE WHEN l.login <= {as_of} THEN date_diff('day', l.login, {as_of}) END AS INTEGER) AS days_since_login,
        (t.recent - t.prior) / nullif(CAST(t.prior AS DOUBLE), 0) AS trade_freq_trend,
        CASE WHEN u.user_id IN (SELECT user_id FROM yield_products) THEN 1 ELSE 0 END AS yield_adoption,
        CASE WHEN u.user_id IN (SELECT user_id FROM advanced_users) THEN 1 ELSE 0 END AS advanced_trading
@@ -28,8 +29,16 @@ LEFT JOIN (
   SELECT user_id, count(*) AS trades_30d, avg(trade_amount) AS avg_trade_size,
          count(*) FILTER (trade_date >= {as_of} - 14) AS recent,
          count(*) FILTER (trade_date BETWEEN {as_of} - 28 AND {as_of} - 14) AS prior
-  FROM trades WHERE trade_date >= {as_of} - 30 GROUP BY user_id
-) t ON t.user_id = u.user_id"""
+  FROM trades WHERE trade_date >= {as_of} - 30 AND trade_date <= {as_of} GROUP BY user_id
+) t ON t.user_id = u.user_id
+LEFT JOIN (
+  SELECT c_custkey AS user_id, coalesce(
+    (SELECT max(CAST(ts AS DATE)) FROM events e WHERE e.user_id = c_custkey AND event_type = 'view'
+       AND value > 50 AND CAST(ts AS DATE) <= {as_of}),
+    {AS_OF} - CAST(c_custkey % 60 AS INTEGER)) AS login
+  FROM customer
+) l ON l.user_id = u.user_id
+WHERE u.account_created_date <= {as_of}"""
 
 
 def engagement(alias: str = "") -> str:
@@ -66,6 +75,13 @@ SELECT *, {probability('trade_freq_trend')} AS churn_probability,
 FROM (SELECT *, {engagement()} AS engagement_score FROM {activity} WHERE status = 'active')"""
 
 
+PRIOR = """least(0.95, CASE segment WHEN 'casual' THEN 0.35 WHEN 'active' THEN 0.15
+  WHEN 'power_user' THEN 0.05 WHEN 'whale' THEN 0.03 END
+  + CASE WHEN days_since_login > 14 THEN 0.4 WHEN days_since_login > 7 THEN 0.2 ELSE 0 END
+  + CASE WHEN trade_freq_trend < -0.3 THEN 0.15 ELSE 0 END
+  + CASE WHEN yield_adoption = 0 THEN 0.1 ELSE 0 END + CASE WHEN n_assets = 1 THEN 0.1 ELSE 0 END
+  + CASE WHEN portfolio_return_30d < -10 THEN 0.1 ELSE 0 END)"""
+
 SCALED = (
     "trades_30d", "avg_trade_size", "trading_intensity", "trade_freq_trend", "account_age_days",
     "portfolio_value", "n_assets", "portfolio_concentration", "days_since_login",
@@ -109,7 +125,8 @@ FROM (SELECT e.user_id, CAST(s.day AS DATE) AS snapshot_date
       FROM (SELECT DISTINCT user_id FROM events) e,
            (SELECT unnest(generate_series(DATE '2023-12-01', {AS_OF}, INTERVAL 1 DAY)) AS day) s) d
 JOIN users u ON u.user_id = d.user_id
-LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS gain FROM events GROUP BY ALL) g
+LEFT JOIN (SELECT user_id, greatest(CAST(ts AS DATE), DATE '2023-12-01') AS day, sum(value) AS gain FROM events
+           WHERE CAST(ts AS DATE) <= {AS_OF} GROUP BY ALL) g
   ON g.user_id = d.user_id AND g.day = d.snapshot_date""",
     "logged_scores": """
 SELECT user_id, least(value / 200, 1) AS churn_probability,
@@ -118,8 +135,10 @@ SELECT user_id, least(value / 200, 1) AS churn_probability,
 FROM events WHERE event_type = 'error'""",
     "activity": activity_view(AS_OF),
     "activity_before": activity_view(DAY_BEFORE),
+    "activity_past": activity_view(BACKFILL),
     "scores": scores_view("activity", AS_OF),
     "scores_before": scores_view("activity_before", DAY_BEFORE),
+    "scores_past": scores_view("activity_past", BACKFILL),
     "recent_scores": "SELECT * FROM scores UNION ALL SELECT * FROM scores_before",
     "base_features": """
 SELECT user_id,
@@ -173,11 +192,38 @@ SELECT score, sum(label) AS pos, sum(1 - label) AS neg,
        sum(sum(1 - label)) OVER (ORDER BY score DESC) AS fp,
        sum(sum(label)) OVER () AS p, sum(sum(1 - label)) OVER () AS q
 FROM scored GROUP BY score""",
+    "scorers": f"""
+SELECT model, user_id, churned AS label,
+       CAST(round(CAST(CAST(raw AS DOUBLE) AS DECIMAL(38, 10)), 6) AS DOUBLE) AS score
+FROM (SELECT 'published_logit' AS model, user_id, churned, {probability('trade_freq_trend')} AS raw FROM user_features
+      UNION ALL SELECT 'rule_prior', user_id, churned, {PRIOR} FROM user_features)""",
+    "model_steps": """
+SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg,
+       sum(sum(label)) OVER (PARTITION BY model ORDER BY score DESC) AS tp,
+       sum(sum(1 - label)) OVER (PARTITION BY model ORDER BY score DESC) AS fp,
+       sum(sum(label)) OVER (PARTITION BY model) AS p, sum(sum(1 - label)) OVER (PARTITION BY model) AS q
+FROM scorers GROUP BY model, score""",
     "returns": """
 SELECT CAST(ts AS DATE) AS date, (avg(value) - 50) / 1000 AS daily_return FROM events GROUP BY 1""",
 }
 
 
+VIEWS["operational"] = f"""
+SELECT b.*, {RISKY} AS high_risk_profile, 1.0 / n_assets AS portfolio_concentration,
+       CAST({engagement()} AS INTEGER) AS engagement_score
+FROM (SELECT a.user_id, a.segment, a.account_age_days, a.portfolio_value, a.n_assets, a.trades_30d,
+             coalesce(a.avg_trade_size, 0) AS avg_trade_size,
+             CAST(coalesce(a.days_since_login, a.account_age_days) AS DOUBLE) AS days_since_login,
+             coalesce(a.trade_freq_trend, 0) AS trade_freq_trend, a.yield_adoption, a.advanced_trading,
+             coalesce(s.gain, 0) AS portfolio_return_30d,
+             CASE WHEN a.status = 'churned' THEN 1 ELSE 0 END AS churned
+      FROM activity a LEFT JOIN (
+        SELECT user_id, (portfolio_value - earlier) / nullif(earlier, 0) * 100 AS gain
+        FROM (SELECT *, lag(portfolio_value, 30) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS earlier
+              FROM snapshots)
+        WHERE snapshot_date = {AS_OF}) s ON s.user_id = a.user_id) b"""
+
+
 def with_views(body: str) -> str:
     """Prefix ``body`` with the views it uses, directly or through others, in order."""
     needed: set[str] = set()

@@ -5,9 +5,10 @@ import math
 import pytest
 
 import __spark_entry__ as contract
+from oracles.sql import oracle_sql
 from tests.conftest import duck
 
-ORACLES = contract.oracle_sql()
+ORACLES = oracle_sql()
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",

@@ -7,6 +7,7 @@ import __spark_entry__ as contract
 from holdfast.bindings import Tables
 from holdfast.operators import metrics, profile
 from holdfast.operators.sampling import stratified_split
+from holdfast.plans import catalog
 
 TRAINED = {
     "ml_logistic_regression", "ml_random_forest", "ml_gbt", "model_comparison", "best_model",
@@ -27,7 +28,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - TRAINED))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - TRAINED))
 def test_no_query_pairs_all_rows(spark, small_dir, no_broadcast, name):
     text = plan(contract.queries()[name](spark, small_dir))
     assert "CartesianProduct" not in text
