@@ -66,7 +66,8 @@ def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) ->
     reached = F.size(F.filter(_literal(edges[::stride]), lambda edge: edge <= position))
     inside = F.size(F.filter(F.get(stretches, reached - 1), lambda edge: edge <= position))
     place = F.when(reached == 0, F.lit(0)).otherwise((reached - 1) * stride + inside)
-    return distinct.withColumn(_BUCKET, place)
+    # Never NULL, and known to be: else the join would filter one branch and part it from the other.
+    return distinct.withColumn(_BUCKET, F.coalesce(place, F.lit(0)))
 
 
 def per_value(
