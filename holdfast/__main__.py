@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from holdfast.plans import catalog
-from holdfast.session import build_session
+from holdfast.session import build_session, run_folder
 
 
 def run(spark: SparkSession, data: str, out: str, names: Sequence[str]) -> None:
@@ -22,8 +22,10 @@ def run(spark: SparkSession, data: str, out: str, names: Sequence[str]) -> None:
     unknown = sorted(set(names) - set(known))
     if unknown:
         raise SystemExit(f"unknown reports: {', '.join(unknown)}")
-    for name in names or known:
-        known[name](spark, data).write.mode("overwrite").parquet(os.path.join(out, name))
+    with run_folder(spark):
+        for name in names or known:
+            known[name](spark, data).write.mode("overwrite").parquet(os.path.join(out, name))
+        catalog.forget_trainings()
 
 
 def main() -> None:

@@ -82,6 +82,13 @@ class Tables:
         path = os.path.join(self.folder, f"{name}.parquet")
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
 
+    def version(self, name: str) -> tuple[int, int]:
+        """Newest change and total size of a table's files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, f"{name}.parquet"))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.listStatus(path)
+        return max([f.getModificationTime() for f in found], default=0), sum(f.getLen() for f in found)
+
     def _events(self, *conditions: Column) -> DataFrame:
         rows = self.raw("events")
         for condition in conditions:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import NumericType
 
 from holdfast.functions.bins import ordinal
@@ -56,7 +56,8 @@ def shape(df: DataFrame, target: str = "churned") -> DataFrame:
 def value_counts(df: DataFrame, key: str) -> DataFrame:
     """Count and share of each value, most frequent first."""
     counts = df.filter(c(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    everything = counts.agg(F.sum("n")).scalar()
+    # One row per value: the key is one with few of them.
+    everything = F.sum("n").over(W.partitionBy())
     return counts.withColumn("share", ratio(c("n"), everything)).orderBy(F.desc("n"), key)
 
 

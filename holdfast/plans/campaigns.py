@@ -116,43 +116,32 @@ def model_calibration(
     ``actual_churn_rate`` counts any churn found in the last ``lookback_days``, so the two need
     not agree. Predictions younger than the horizon are left out.
 
-    Scores are first collapsed to one weighted row per user, day and tier: a user scored very
-    often then brings a bounded number of rows to the join.
+    The scores meet the recent churners first, a side that is broadcast if its measured size
+    allows it; the sums per day and tier then shrink map side. So scores are shuffled once at
+    most, and adaptive execution splits a user with very many of them.
     """
     day = F.to_date("scored_at")
     matured = F.date_sub(F.lit(as_of), horizon_days)
     predictions = (
         _scored_since(scores, F.date_sub(F.lit(as_of), history_days))
         .filter(day <= matured)
-        .groupBy("user_id", day.alias("prediction_date"), "risk_tier")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("churn_probability").alias("p_sum"),
-            F.count("churn_probability").alias("p_n"),
-        )
+        .select("user_id", day.alias("prediction_date"), "risk_tier", "churn_probability")
     )
     churn = users.filter(c("churned_date") >= F.date_sub(F.lit(as_of), lookback_days)).select(
         "user_id", "churned_date"
     )
     churned = c("churned_date").isNotNull()
     in_time = churned & (F.datediff("churned_date", "prediction_date") <= horizon_days)
-    zero = F.lit(0).cast("bigint")
     return (
         predictions.join(churn, "user_id", "left")
         .groupBy("prediction_date", "risk_tier")
         .agg(
-            F.sum("n").alias("total_predictions"),
-            F.sum(F.when(in_time, c("n")).otherwise(zero)).alias("actual_churned"),
-            F.sum(F.when(churned, c("n")).otherwise(zero)).alias("ever_churned"),
-            F.sum("p_sum").alias("p_sum"),
-            F.sum("p_n").alias("p_n"),
-        )
-        .withColumns(
-            {
-                "actual_churn_rate": f.ratio(c("ever_churned"), c("total_predictions")),
-                "avg_predicted_prob": f.ratio(c("p_sum"), c("p_n")),
-            }
+            F.count(F.lit(1)).alias("total_predictions"),
+            F.count_if(in_time).alias("actual_churned"),
+            F.count_if(churned).alias("ever_churned"),
+            F.avg("churn_probability").alias("avg_predicted_prob"),
         )
+        .withColumn("actual_churn_rate", f.ratio(c("ever_churned"), c("total_predictions")))
         .select(
             "prediction_date",
             "risk_tier",
@@ -191,7 +180,7 @@ def ab_test(
     )
     if require_full_window:
         enrolled = enrolled.filter(c("enrolled_date") <= F.date_sub(F.lit(as_of), horizon_days))
-    enrolled = enrolled.groupBy("user_id", "variant", "enrolled_date").agg(F.count(F.lit(1)).alias("n"))
+    enrolled = enrolled.select("user_id", "variant", "enrolled_date")
     elapsed = F.datediff("churned_date", "enrolled_date")
     within = elapsed <= horizon_days
     if min_days is not None:
@@ -202,8 +191,8 @@ def ab_test(
         enrolled.join(users.select("user_id", "churned_date"), "user_id")
         .groupBy("variant")
         .agg(
-            F.sum("n").alias("n_users"),
-            F.sum(c("n") * f.flag(within)).alias("churned_count"),
+            F.count(F.lit(1)).alias("n_users"),
+            F.count_if(within).alias("churned_count"),
         )
         .withColumn("churn_rate", f.ratio(c("churned_count"), c("n_users")))
         .withColumn("std_error", F.sqrt(rate * (F.lit(1.0) - rate) / c("n_users")))

@@ -24,7 +24,7 @@ from holdfast.operators.sampling import class_weights, stratified_split
 from holdfast.plans import campaigns, training
 from holdfast.plans.feature_table import user_features
 from holdfast.plans.scoring import interaction_features, model_scores, scoring_report, user_segments
-from holdfast.session import fresh_path
+from holdfast.session import RUN_DIR, fresh_path
 from holdfast.sources import stores
 
 c = F.col
@@ -408,12 +408,14 @@ def _(t: Tables) -> DataFrame:
 
 # Models
 
-_TRAININGS: dict[tuple[str, str], training.Training] = {}
+_TRAININGS: dict[tuple, training.Training] = {}
 
 
 def trained(t: Tables) -> training.Training:
-    """Prepared data and models of a folder, shared by the reports of one application."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Prepared data and models of a folder's present files, shared by the reports of one
+    application and run. Files that change are other data."""
+    files = (t.version(name) for name in ("customer", "events"))
+    key = (t.spark.sparkContext.applicationId, t.spark.conf.get(RUN_DIR, None), t.folder, *files)
     if key not in _TRAININGS:
         _TRAININGS[key] = training.Training(training.prepare(t.learnable_user_features()))
     return _TRAININGS[key]

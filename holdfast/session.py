@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUN_DIR = "holdfast.run.dir"
+
 
 def build_session(name: str = "holdfast", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the jobs expect.
@@ -40,15 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="holdfast-"))
     return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path below the folder of the run, or else the shared folder."""
+    folder = spark.conf.get(RUN_DIR, None) or shared_dir(spark)
+    return os.path.join(folder, f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all intermediates of a run, removed at its end.
+
+    Results that read from it must be written elsewhere before that.
+    """
+    folder = os.path.join(shared_dir(spark), f"run-{uuid.uuid4().hex}")
+    spark.conf.set(RUN_DIR, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(RUN_DIR)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
