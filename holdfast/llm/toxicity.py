@@ -320,7 +320,8 @@ def _examined(rows: DataFrame, voters: Voters, vocabulary: list[str]) -> list[tu
             )
 
     table = stored(rows.select("text").mapInArrow(examine, "votes array<int>, found array<int>"), "toxicity-votes")
-    return [(r.votes, r.found) for r in table.orderBy(F.xxhash64("votes", "found")).collect()]
+    # Bounded by the sample; in one order whatever task a row came from.
+    return sorted((r.votes, r.found) for r in table.collect())
 
 
 def fit_linear(spark: SparkSession, found: list[list[int]], toxic: np.ndarray, size: int) -> tuple[float, np.ndarray]:
