@@ -13,11 +13,13 @@ words are hashed.
 Defined results: a null text is empty; texts are read whole; an empty text, or one without a
 template's words, gives no rows; each occurrence gives a row; repeated rows and null ids are
 scanned like others; of templates that match the same words the one with more matched words
-stays, then the first by name; an empty table gives no rows.
+stays, then the first by name, then the first place, and a word counts for one row only; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,36 +136,52 @@ class Index:
         return Index(names, vocabulary, codes, postings, shingle, window)
 
 
-def banded(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Words of the template matched in order, and the first and last matched place in ``words``.
+def banded(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> list[int]:
+    """Places in ``words`` of the template's words that are matched in order.
 
     Longest common subsequence among cells (i, j) with ``|j - i - diagonal| <= band``; of equal
-    ones the shortest stretch.
+    ones the shortest stretch, then the first.
     """
-    width = 2 * band + 1
-    # Matches, and minus the place of the first match: larger is better in both.
-    best = [(0, -len(words))] * (width + 2)
-    end = (0, -len(words), 0)
+    width, unit = 2 * band + 1, len(words) + 1
+    # A cell is matches * unit + place of the first match: the latest start is the shortest stretch.
+    rows = [[0] * (width + 2)]
+    best, at = (0, 0, 0), None
+    known = words.tolist()
     for i, word in enumerate(template.tolist()):
-        row = [(0, -len(words))] * (width + 2)
+        above, row = rows[-1], [0] * (width + 2)
         for d in range(width):
             j = i + diagonal - band + d
             # Skips a word of the template (from above) or of the text (from the left).
-            here = max(best[d + 2], row[d])
-            if 0 <= j < len(words) and words[j] == word:
-                count, start = best[d + 1]
-                met = (count + 1, start if count else -j)
+            here = max(above[d + 2], row[d])
+            if 0 <= j < len(known) and known[j] == word:
+                met = above[d + 1] + unit if above[d + 1] else unit + j
                 if met > here:
                     here = met
-                    if met > end[:2]:
-                        end = (*met, j)
+                    count, start = divmod(met, unit)
+                    if (count, start - j, -j) > best:
+                        best, at = (count, start - j, -j), (i, d)
             row[d + 1] = here
-        best = row
-    return end[0], -end[1], end[2]
+        rows.append(row)
+    places: list[int] = []
+    while at is not None and rows[at[0] + 1][at[1] + 1]:
+        i, d = at
+        here = rows[i + 1][d + 1]
+        if here == rows[i][d + 2]:
+            at = (i - 1, d + 1) if i else None
+        elif here == rows[i + 1][d]:
+            at = (i, d - 1)
+        else:
+            places.append(i + diagonal - band + d)
+            at = (i - 1, d) if i else None
+    return places[::-1]
 
 
 def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[tuple]:
-    """``template, coverage, matched words, first character, end character`` of each match."""
+    """``template, coverage, matched words, first character, end character`` of each match.
+
+    The candidate with most matched words is taken first, and its matched words are gone for the
+    others: what is left of them is aligned again, so a notice beside another keeps its row.
+    """
     words = words_of(text)
     codes = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
     hashes = shingle_hashes(codes, index.shingle)
@@ -172,27 +190,34 @@ def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE)
             for t, at in index.postings.get(int(hashes[place]), ())]
     if not hits:
         return []
-    found = []
+    # Minus the most words a candidate can match, whether it is aligned, template, first place,
+    # diagonal, places. Of equal bounds the unaligned come first.
+    waiting: list[tuple] = []
     last: dict[int, int] = {}
     for t, diagonal, _ in sorted(hits):
         # Hits of one template within half a band are one candidate.
-        if t in last and diagonal - last[t] <= band // 2:
+        size = len(index.codes[t])
+        if t in last and diagonal - last[t] <= min(band // 2, size - 1):
             continue
         last[t] = diagonal
-        template = index.codes[t]
-        low = max(0, diagonal - band)
-        matched, first, end = banded(template, codes[low : diagonal + len(template) + band], diagonal - low, band)
-        if matched >= coverage * len(template):
-            found.append((t, matched, low + first, low + end))
+        waiting.append((-size, 0, t, 0, diagonal, ()))
+    heapq.heapify(waiting)
     places = [m.span() for m in _WORD.finditer(text)]
-    rows, taken = [], []
-    for t, matched, first, end in sorted(set(found), key=lambda x: (-x[1], x[0], x[2])):
-        if any(first <= b and a <= end for a, b in taken):
+    rows = []
+    while waiting:
+        _, aligned, t, _, diagonal, at = heapq.heappop(waiting)
+        template = index.codes[t]
+        if aligned and (codes[list(at)] >= 0).all():
+            codes[list(at)] = -1
+            rows.append((index.names[t], len(at) / len(template), len(at), places[at[0]][0], places[at[-1]][1]))
+            # The diagonal may hold another occurrence: its band reaches the neighbours.
+            heapq.heappush(waiting, (-len(template), 0, t, 0, diagonal, ()))
             continue
-        taken.append((first, end))
-        size = len(index.codes[t])
-        rows.append((index.names[t], matched / size, matched, places[first][0], places[end][1]))
-    return sorted(rows, key=lambda r: r[3])
+        low = max(0, diagonal - band)
+        found = banded(template, codes[low : diagonal + len(template) + band], diagonal - low, band)
+        if found and len(found) >= coverage * len(template):
+            heapq.heappush(waiting, (-len(found), 1, t, low + found[0], diagonal, tuple(low + x for x in found)))
+    return sorted(rows, key=lambda r: (r[3], r[4], r[0]))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE,

@@ -325,6 +325,42 @@ def test_edited_notices_are_found_with_their_span():
     assert license_scan.scan("the general public may license this work", index) == []
 
 
+def test_adjacent_notices_have_a_row_each():
+    index = license_scan.Index.of(license_scan.TEMPLATES)
+    short = [n for n in index.names if len(license_scan.TEMPLATES[n]) < 80]
+    rng = random.Random(3)
+    for names in [["Apache-2.0", "CC-BY-4.0"], ["MIT", "MIT"], *(rng.choices(short, k=6) for _ in range(40))]:
+        text, want = "", []
+        for name in names:
+            notice = license_scan.TEMPLATES[name]
+            want.append((name, 1.0, len(license_scan.words_of(notice)), len(text), len(text) + len(notice) - 1))
+            text += notice + " "
+        assert license_scan.scan(text, index) == want, text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=7), st.lists(st.integers(-1, 3), min_size=1, max_size=14))
+def test_alignments_are_the_longest_and_shortest(template, words):
+    """Against a full alignment of the whole text."""
+    template, words = np.array(template), np.array(words)
+    places = license_scan.banded(template, words, 0, len(words) + len(template))
+
+    def longest(part):
+        row = [0] * (len(part) + 1)
+        for word in template.tolist():
+            new = [0]
+            for j, other in enumerate(part.tolist()):
+                new.append(row[j] + 1 if word == other else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    best = longest(words)
+    assert len(places) == best == longest(words[places])
+    if best:
+        spans = [(b - a, a) for a in range(len(words)) for b in range(a, len(words)) if longest(words[a : b + 1]) == best]
+        assert (places[-1] - places[0], places[0]) == min(spans)
+
+
 def test_rules_are_the_paths_of_printed_trees():
     printed = (
         "RandomForestClassificationModel: uid=x, numTrees=1\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.5)\n"
