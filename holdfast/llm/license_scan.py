@@ -2,9 +2,11 @@
 
 Templates are cut into word shingles; winnowing keeps the smallest hash of each window of them,
 and an inverted index leads from a kept hash to (template, place). A document's shingles are
-winnowed the same way, so any stretch of ``SHINGLE + WINDOW - 1`` equal words shares a kept hash.
+winnowed the same way, so any stretch of ``SHINGLE + WINDOW - 1`` equal words shares a kept hash
+(``LONG_SHINGLE + LONG_WINDOW - 1`` with a template of over ``LONG`` words).
 Hits that lie near one diagonal make a candidate, and a sequence alignment in a band around it
-tells how many of the template's words the document has in order, and where.
+tells how many of the template's words the document has in order, and where. The templates are
+full texts, headers and notices (``license_texts``).
 
 The index is small and fixed by the templates, and is broadcast; scanning is one pass without a
 shuffle. Words that no template has can't be in a shingle of one, so only stretches of known
@@ -12,9 +14,9 @@ words are hashed.
 
 Defined results: a null text is empty; texts are read whole; an empty text, or one without a
 template's words, gives no rows; each occurrence gives a row; repeated rows and null ids are
-scanned like others; of templates that match the same words the one with more matched words
-stays, then the first by name, then the first place, and a word counts for one row only; an empty
-table gives no rows.
+scanned like others; of templates that match the same words the one with more matched words,
+less the words skipped between them, stays, then the shorter one, then the first by name and
+place; a word counts for one row only; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,55 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from holdfast.llm import license_texts
 from holdfast.llm.tables import whole_text
 
 SHINGLE, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+# Templates of more words are found by longer shingles: short ones stand in any English text.
+LONG, LONG_SHINGLE, LONG_WINDOW = 100, 8, 4
 
-# Notices and opening or closing passages of public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-        "permissions and limitations under the License."
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met: Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer."
-    ),
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
-        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all "
-        "copies or substantial portions of the Software."
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
-        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    ),
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+TEMPLATES = license_texts.templates()
 
 _WORD = re.compile(r"[^\W_]+")
 NONE = np.iinfo(np.int64).max
@@ -113,14 +74,14 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Word codes, templates as codes, and postings of kept hashes."""
+    """Word codes, templates as codes, and postings of kept hashes by shingle and window."""
 
     names: list[str]
     vocabulary: dict[str, int]
     codes: list[np.ndarray]
-    postings: dict[int, list[tuple[int, int]]]
-    shingle: int
-    window: int
+    # Distinct words of each template, and how often each stands there.
+    counts: list[tuple[np.ndarray, np.ndarray]]
+    postings: dict[tuple[int, int], dict[int, list[tuple[int, int]]]]
 
     @staticmethod
     def of(templates: dict[str, str], shingle: int = SHINGLE, window: int = WINDOW) -> "Index":
@@ -128,12 +89,29 @@ class Index:
         words = [words_of(templates[n]) for n in names]
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         codes = [np.array([vocabulary[w] for w in ws], np.int64) for ws in words]
-        postings: dict[int, list[tuple[int, int]]] = {}
+        counts = [np.unique(x, return_counts=True) for x in codes]
+        postings: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for t, template in enumerate(codes):
-            hashes = shingle_hashes(template, shingle)
-            for place in winnowed(hashes, window).tolist():
-                postings.setdefault(int(hashes[place]), []).append((t, place))
-        return Index(names, vocabulary, codes, postings, shingle, window)
+            cut = (shingle, window) if len(template) <= LONG else (LONG_SHINGLE, LONG_WINDOW)
+            hashes = shingle_hashes(template, cut[0])
+            own = postings.setdefault(cut, {})
+            for place in winnowed(hashes, cut[1]).tolist():
+                own.setdefault(int(hashes[place]), []).append((t, place))
+        return Index(names, vocabulary, codes, counts, postings)
+
+    def hits(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """Template and diagonal of each kept hash that a text shares."""
+        found = []
+        for (shingle, window), postings in self.postings.items():
+            hashes = shingle_hashes(codes, shingle)
+            found += [(t, place - at) for place in winnowed(hashes, window).tolist()
+                      for t, at in postings.get(int(hashes[place]), ())]
+        return found
+
+    def most(self, t: int, codes: np.ndarray) -> int:
+        """No alignment of the template matches more: its words that the text has, in any order."""
+        present = np.bincount(codes[codes >= 0], minlength=len(self.vocabulary))
+        return int(np.minimum(present[self.counts[t][0]], self.counts[t][1]).sum())
 
 
 def banded(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> list[int]:
@@ -179,44 +157,51 @@ def banded(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
 def scan(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[tuple]:
     """``template, coverage, matched words, first character, end character`` of each match.
 
-    The candidate with most matched words is taken first, and its matched words are gone for the
-    others: what is left of them is aligned again, so a notice beside another keeps its row.
+    The candidate with most matched words, less the skipped ones, is taken first: a whole notice
+    goes before one pieced together from two. Its words are gone for the others; what is left of
+    them is aligned again, so a notice beside another keeps its row.
     """
     words = words_of(text)
     codes = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
-    hashes = shingle_hashes(codes, index.shingle)
-    hits = [(t, place - at, place)
-            for place in winnowed(hashes, index.window).tolist()
-            for t, at in index.postings.get(int(hashes[place]), ())]
+    hits = index.hits(codes)
     if not hits:
         return []
-    # Minus the most words a candidate can match, whether it is aligned, template, first place,
-    # diagonal, places. Of equal bounds the unaligned come first.
+    # Minus a candidate's matched words less the skipped ones (at most what ``most`` says), whether
+    # it is aligned, template's size, template, first place, diagonal, places. Of equal ones the
+    # unaligned come first.
     waiting: list[tuple] = []
     last: dict[int, int] = {}
-    for t, diagonal, _ in sorted(hits):
-        # Hits of one template within half a band are one candidate.
+    most = {t: index.most(t, codes) for t in {t for t, _ in hits}}
+    for t, diagonal in sorted(hits):
         size = len(index.codes[t])
-        if t in last and diagonal - last[t] <= min(band // 2, size - 1):
+        # Hits of one template within half a band are one candidate.
+        if most[t] < coverage * size or t in last and diagonal - last[t] <= min(band // 2, size - 1):
             continue
         last[t] = diagonal
-        waiting.append((-size, 0, t, 0, diagonal, ()))
+        waiting.append((-most[t], 0, size, t, 0, diagonal, ()))
+    if not waiting:
+        return []
     heapq.heapify(waiting)
     places = [m.span() for m in _WORD.finditer(text)]
     rows = []
     while waiting:
-        _, aligned, t, _, diagonal, at = heapq.heappop(waiting)
-        template = index.codes[t]
+        bound, aligned, size, t, _, diagonal, at = heapq.heappop(waiting)
         if aligned and (codes[list(at)] >= 0).all():
             codes[list(at)] = -1
-            rows.append((index.names[t], len(at) / len(template), len(at), places[at[0]][0], places[at[-1]][1]))
-            # The diagonal may hold another occurrence: its band reaches the neighbours.
-            heapq.heappush(waiting, (-len(template), 0, t, 0, diagonal, ()))
-            continue
+            rows.append((index.names[t], len(at) / size, len(at), places[at[0]][0], places[at[-1]][1]))
         low = max(0, diagonal - band)
-        found = banded(template, codes[low : diagonal + len(template) + band], diagonal - low, band)
-        if found and len(found) >= coverage * len(template):
-            heapq.heappush(waiting, (-len(found), 1, t, low + found[0], diagonal, tuple(low + x for x in found)))
+        near = codes[low : diagonal + size + band]
+        left = index.most(t, near)
+        if left < coverage * size:
+            continue
+        if aligned or left < -bound:
+            # Other rows took some of its words, or its surroundings have fewer than the text.
+            heapq.heappush(waiting, (-left, 0, size, t, 0, diagonal, ()))
+            continue
+        found = banded(index.codes[t], near, diagonal - low, band)
+        if found and len(found) >= coverage * size:
+            at = tuple(low + x for x in found)
+            heapq.heappush(waiting, (at[-1] - at[0] + 1 - 2 * len(at), 1, size, t, at[0], diagonal, at))
     return sorted(rows, key=lambda r: (r[3], r[4], r[0]))
 
 

@@ -327,7 +327,7 @@ def test_edited_notices_are_found_with_their_span():
 
 def test_adjacent_notices_have_a_row_each():
     index = license_scan.Index.of(license_scan.TEMPLATES)
-    short = [n for n in index.names if len(license_scan.TEMPLATES[n]) < 80]
+    short = ["Apache-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-3.0", "MIT", "Unlicense"]
     rng = random.Random(3)
     for names in [["Apache-2.0", "CC-BY-4.0"], ["MIT", "MIT"], *(rng.choices(short, k=6) for _ in range(40))]:
         text, want = "", []
@@ -338,6 +338,32 @@ def test_adjacent_notices_have_a_row_each():
         assert license_scan.scan(text, index) == want, text
 
 
+@pytest.mark.parametrize("notice, name", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("Released under the zlib License.", "Zlib-released"),
+    ("Licensed under the Eclipse Public License, Version 2.0.", "EPL-2.0-licensed"),
+])
+def test_the_exact_sibling_wins(notice, name):
+    text = "Some words before. " + notice + " Some after."
+    (row,) = license_scan.scan(text, license_scan.Index.of(license_scan.TEMPLATES))
+    assert row == (name, 1.0, len(license_scan.words_of(notice)), 19, 19 + len(notice) - 1)
+
+
+def test_full_texts_are_their_own():
+    index = license_scan.Index.of(license_scan.TEMPLATES)
+    full = [n for n in index.names if n.endswith("-full")]
+    assert len(full) > 20
+    for name in full:
+        words = license_scan.words_of(license_scan.TEMPLATES[name])
+        text = "intro " + " ".join(words) + " outro"
+        assert license_scan.scan(text, index) == [(name, 1.0, len(words), 6, len(text) - 6)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=7), st.lists(st.integers(-1, 3), min_size=1, max_size=14))
 def test_alignments_are_the_longest_and_shortest(template, words):
