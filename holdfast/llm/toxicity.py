@@ -5,12 +5,15 @@ and one per word or stem that labelled rows of the learning folds show to go wit
 others are patterns. An entry counts by the different words it follows, at most three in a text,
 so neither copies of a text nor one text that repeats itself make a word toxic. A generative label model sees only the votes: by expectation maximisation it estimates
 how often each voter speaks in either class, and from what agreement is left within a class how
-strongly voters repeat each other, so that correlated voters share one voice. Its posteriors are
-the labels on which a linear classifier over words and stems is trained; that classifier scores
-every document.
+strongly voters repeat each other, so that correlated voters share one voice. It is fitted on the
+votes on all distinct texts, counted by pattern. Its posteriors are the labels on which a linear
+classifier over words, stems and the votes of lexicon and patterns is trained; that classifier
+scores every document.
 
-Learning uses at most ``TRAIN_ROWS`` labelled documents, chosen by hash; the lexicons and the
-vocabulary are bounded and broadcast. Scoring is one scan without a shuffle.
+Lexicon, vocabulary and classifier learn from at most ``TRAIN_ROWS`` labelled documents, chosen by
+hash, the classifier also from vote patterns of all documents; lexicons and vocabulary are bounded
+and broadcast. Voting is one scan that shuffles a digest and a pattern of each text, scoring one
+without a shuffle.
 
 Defined results: a null text is empty and scores like no words at all; texts are read whole;
 repeated rows and null ids are scored like others; without labelled rows the fixed lexicon and
@@ -19,9 +22,13 @@ the patterns still vote, over the unlabelled documents; an empty table gives no
 
 from __future__ import annotations
 
+import copy
+import functools
+import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +49,12 @@ LEXICON_SIZE, VOCABULARY, CANDIDATES = 60, 1_000, 5_000
 # Words it follows that count for an entry in one text.
 CONTEXTS = 3
 ROUNDS = 100
+# Voters for toxic beside the learned entries.
+OTHERS = 5
+# Distinct vote patterns that the driver takes; over more, Spark sums each round.
+PATTERNS = 100_000
+# What the corpus's texts of one of the other voters weigh at most, as a share of the learning texts.
+SUPPORT = 0.02
 
 # Words of abuse that a lexicon of English would hold.
 INSULTS = (
@@ -53,6 +66,7 @@ INSULTS = (
 )
 _WORDS = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b[a-z]+[*@#$%]+[a-z]+\b")
+_MASKS = "*@#$%"
 _SHOUT = re.compile(r"[A-Z]{3,}[^a-z]{0,3}!")
 
 c = F.col
@@ -76,28 +90,52 @@ class Voters:
     def __init__(self, learned: list[str], insults: tuple[str, ...] = INSULTS):
         self.learned = learned
         self.insults = frozenset(insults)
-
-        self.stems = tuple(x[:-1] for x in learned if x.endswith("-"))
+        self.place = {x: i for i, x in enumerate(learned)}
+        self.whole = self.insults | {x for x in learned if not x.endswith("-")}
+        self.stems = frozenset(x[:-1] for x in learned if x.endswith("-"))
+        self.sizes = sorted({len(x) for x in self.stems})
 
     def __len__(self) -> int:
-        return len(self.learned) + 6
-
-    def votes(self, text: str, entries: set[str]) -> list[int]:
-        """1 for toxic, -1 for clean, 0 for nothing, of each voter."""
-        insults = len(entries & self.insults)
-        learned = [1 if x in entries else 0 for x in self.learned]
-        whole = self.insults.union(self.learned)
-        hits = sum(x in whole or (x[-1:] != "-" and x not in self.stems and x.startswith(self.stems)) for x in entries)
-        hits -= sum(x[:-1] in self.stems for x in entries if x[-1:] == "-")
-        return [
-            *learned,
-            1 if insults else 0,
-            1 if hits > 1 else 0,
-            1 if hits > 2 else 0,
-            1 if _MASKED.search(text) else 0,
-            1 if _SHOUT.search(text) and insults else 0,
-            -1 if not insults and not any(learned) else 0,
-        ]
+        return len(self.learned) + OTHERS + 1
+
+    def spoken(self, text: str, words: set[str]) -> list[int]:
+        """The voters that speak, in order: learned entries, the others, and last the one for clean."""
+        named = words & self.whole
+        insults = bool(named & self.insults)
+        learned = {self.place[x] for x in named if x in self.place}
+        hits = set(named)
+        for n in self.sizes:
+            for word in words:
+                if word[:n] in self.stems and len(word) > n:
+                    learned.add(self.place[word[:n] + "-"])
+                    if word not in self.stems:
+                        hits.add(word)
+        others = (
+            insults,
+            len(hits) > 1,
+            len(hits) > 2,
+            any(x in text for x in _MASKS) and bool(_MASKED.search(text)),
+            insults and bool(_SHOUT.search(text)),
+            not insults and not learned,
+        )
+        return [*sorted(learned), *(len(self.learned) + i for i, speaks in enumerate(others) if speaks)]
+
+
+def votes_of(spoken: list[list[int]], size: int) -> np.ndarray:
+    """1 for toxic, -1 for clean, 0 for nothing: a row for each text, a column for each voter."""
+    votes = np.zeros((len(spoken), size), np.int8)
+    for row, places in zip(votes, spoken):
+        row[places] = 1
+    votes[:, -1] *= -1
+    return votes
+
+
+Sums = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _heard(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many texts each voter speaks in, and last how many there are."""
+    return np.array([*(counts @ (votes != 0)), counts.sum()], float)
 
 
 class LabelModel:
@@ -110,36 +148,54 @@ class LabelModel:
     def __init__(self, prior: float = 0.1):
         self.prior = prior
 
-    def fit(self, votes: np.ndarray, rounds: int = ROUNDS) -> "LabelModel":
-        spoken = (votes != 0).astype(float)
-        side = np.sign(votes.sum(axis=0))
+    def fit(self, votes: np.ndarray, counts: np.ndarray | None = None, rounds: int = ROUNDS) -> "LabelModel":
+        """From votes, a row for each text, or for ``counts`` texts."""
+        counts = np.ones(len(votes)) if counts is None else counts
+        return self.fit_by(lambda sums: sums(votes, counts), np.sign(votes.sum(axis=0)), rounds)
+
+    def fit_by(self, over: Callable[[Sums], np.ndarray], side: np.ndarray, rounds: int = ROUNDS) -> "LabelModel":
+        """``over`` adds up what a function of votes and counts gives for all parts of them."""
+        total = over(_heard)
+        texts = total[-1]
         # At first every voter is thought to be right four times in five.
-        base = spoken.mean(axis=0).clip(1e-4, 1 - 1e-4)
+        base = (total[:-1] / texts).clip(1e-4, 1 - 1e-4)
         better = np.minimum(base * 3, 0.9)
         self.speaks = np.where(side > 0, [base / 2, better], [better, base / 2])
-        self.weight = np.ones(votes.shape[1])
+        self.weight = np.ones(len(side))
         for turn in range(rounds):
-            before = self.speaks.copy()
-            toxic = self.posterior(votes)
-            for y, share in ((1, toxic), (0, 1 - toxic)):
-                self.speaks[y] = ((share @ spoken) + 0.1) / (share.sum() + 0.2)
+            before = copy.copy(self)
+            sums = over(before.shares)
+            for y in (0, 1):
+                self.speaks = self.speaks.copy()
+                self.speaks[y] = (sums[y, :-1] + 0.1) / (sums[y, -1] + 0.2)
             # Voters keep their side: one that says toxic speaks there at least as often.
             self.speaks[1] = np.where(side > 0, np.maximum(*self.speaks), self.speaks[1])
             self.speaks[0] = np.where(side < 0, np.maximum(*self.speaks), self.speaks[0])
-            self.prior = float(np.clip(toxic.mean(), 0.005, 0.5))
+            self.prior = float(np.clip(sums[1, -1] / texts, 0.005, 0.5))
             if turn % 10 == 9:
-                self.weight = 1 / (1 + self.repeated(spoken, toxic))
-            if np.abs(self.speaks - before).max() < 1e-6 and turn > 10:
+                together = over(functools.partial(before.left, self.speaks))
+                self.weight = 1 / (1 + self.repeated(together, sums[:, -1] / texts))
+            if np.abs(self.speaks - before.speaks).max() < 1e-6 and turn > 10:
                 break
         return self
 
-    def repeated(self, spoken: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    def shares(self, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of clean and toxic texts, how many each voter speaks in, and last how many there are."""
+        toxic, spoken = self.posterior(votes), (votes != 0).astype(float)
+        return np.array([[*(x @ spoken), x.sum()] for x in (counts * (1 - toxic), counts * toxic)])
+
+    def left(self, speaks: np.ndarray, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Products of what is left of each two voters within clean and toxic texts."""
+        toxic, spoken = self.posterior(votes), (votes != 0).astype(float)
+        off = [(spoken - speaks[y]) * np.sqrt(x)[:, None] for y, x in enumerate((counts * (1 - toxic), counts * toxic))]
+        return np.array([x.T @ x for x in off])
+
+    def repeated(self, together: np.ndarray, share: np.ndarray) -> np.ndarray:
         """How much of each voter others say as well: correlations left within the classes."""
-        total = np.zeros((spoken.shape[1],) * 2)
-        for y, share in ((1, toxic), (0, 1 - toxic)):
-            off = (spoken - self.speaks[y]) * np.sqrt(share)[:, None]
-            together, alone = off.T @ off, np.sqrt((off**2).sum(axis=0)) + 1e-9
-            total += np.maximum(together / np.outer(alone, alone), 0) * share.mean()
+        total = np.zeros(together.shape[1:])
+        for y in (1, 0):
+            alone = np.sqrt(np.diag(together[y])) + 1e-9
+            total += np.maximum(together[y] / np.outer(alone, alone), 0) * share[y]
         self.correlations = total - np.diag(np.diag(total))
         return np.where(self.correlations > 0.2, self.correlations, 0).sum(axis=1)
 
@@ -304,35 +360,98 @@ def learned_entries(rows: DataFrame, n: int, toxic: int) -> tuple[list[str], tup
     return lexicon, insults, list(dict.fromkeys([*lexicon, *insults, *(x.entry for x in order)]))[:VOCABULARY]
 
 
+def vote_patterns(docs: DataFrame, voters: Voters) -> DataFrame:
+    """``pattern, texts``: how many distinct texts of all documents which voters speak in.
+
+    One pass; what is shuffled is a digest and a few bytes of each text, then patterns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, patterns = [], []
+            for text in batch.column(0).to_pylist():
+                digests.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                patterns.append(bytes(shared.value.spoken(text, set(_WORDS.findall(text.lower())))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(patterns, pa.binary())], names=["digest", "pattern"]
+            )
+
+    each = docs.select(whole_text().alias("text")).mapInArrow(heard, "digest binary, pattern binary")
+    distinct = each.groupBy("digest").agg(F.first("pattern").alias("pattern"))
+    return distinct.groupBy("pattern").agg(F.count("*").alias("texts"))
+
+
+def fit_labels(patterns: DataFrame, size: int) -> LabelModel:
+    """The label model of all documents, from the counts of their (stored) vote patterns."""
+    side = np.array([*[1] * (size - 1), -1])
+
+    def part(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+        return votes_of([list(x) for x, _ in rows], size), np.array([n for _, n in rows], float)
+
+    known = patterns.limit(PATTERNS + 1).collect()
+    if len(known) <= PATTERNS:
+        votes, counts = part(sorted((bytes(r.pattern), r.texts) for r in known))
+        return LabelModel().fit_by(lambda sums: sums(votes, counts), side)
+
+    def over(sums: Sums) -> np.ndarray:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = sums(*part(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))))
+                yield pa.RecordBatch.from_pydict({"sums": [out.ravel().tolist()], "shape": [list(out.shape)]})
+
+        rows = patterns.mapInArrow(summed, "sums array<double>, shape array<long>").collect()
+        return np.sum(sorted(r.sums for r in rows), axis=0).reshape(rows[0].shape)
+
+    return LabelModel().fit_by(over, side)
+
+
 def _examined(rows: DataFrame, voters: Voters, vocabulary: list[str]) -> list[tuple[list[int], list[int]]]:
-    """Votes, and the vocabulary's entries found, of each (bounded) learning text."""
+    """Who speaks, and the vocabulary's entries found, in each (bounded) learning text."""
     place = {x: i for i, x in enumerate(vocabulary)}
 
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes, found = [], []
+            spoken, found = [], []
             for text in batch.column(0).to_pylist():
                 entries = entries_of(text)
-                votes.append(voters.votes(text, entries))
+                spoken.append(voters.spoken(text, {x for x in entries if x[-1:] != "-"}))
                 found.append(sorted(place[x] for x in entries if x in place))
             yield pa.RecordBatch.from_pydict(
-                {"votes": pa.array(votes, pa.list_(pa.int32())), "found": pa.array(found, pa.list_(pa.int32()))}
+                {"spoken": pa.array(spoken, pa.list_(pa.int32())), "found": pa.array(found, pa.list_(pa.int32()))}
             )
 
-    table = stored(rows.select("text").mapInArrow(examine, "votes array<int>, found array<int>"), "toxicity-votes")
+    table = stored(rows.select("text").mapInArrow(examine, "spoken array<int>, found array<int>"), "toxicity-votes")
     # Bounded by the sample; in one order whatever task a row came from.
-    return sorted((r.votes, r.found) for r in table.collect())
+    return sorted((r.spoken, r.found) for r in table.collect())
+
+
+def supported(patterns: DataFrame, size: int, texts: int) -> list[tuple[list[int], float]]:
+    """Patterns of the whole corpus in which another voter than a learned entry speaks, and weights.
+
+    However rare in the learning texts, each such voter has the weight of its texts in the corpus,
+    at most ``SUPPORT`` of the learning texts, dealt to its most frequent patterns.
+    """
+    rows = []
+    spelled = patterns.where(F.length("pattern") > 0)
+    for voter in range(size - 1 - OTHERS, size - 1):
+        own = spelled.where(F.contains("pattern", F.lit(bytes([voter]))))
+        some = own.orderBy(c("texts").desc(), "pattern").limit(1_000).collect()
+        total = sum(r.texts for r in some)
+        rows += [(list(bytes(r.pattern)), r.texts / total * min(total, SUPPORT * texts)) for r in some]
+    return rows
 
 
-def fit_linear(spark: SparkSession, found: list[list[int]], toxic: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+def fit_linear(spark: SparkSession, found: list[list[int]], toxic: np.ndarray, counts: np.ndarray,
+               size: int) -> tuple[float, np.ndarray]:
     """Intercept and weights; each text counts in both classes by its posterior."""
     schema = StructType(
         [StructField("label", DoubleType()), StructField("share", DoubleType()), StructField("features", VectorUDT())]
     )
     rows = []
-    for at, p in zip(found, toxic):
+    for at, p, n in zip(found, toxic, counts):
         vector = SparseVector(size, at, [1.0] * len(at))
-        rows += [(y, float(w), vector) for y, w in ((1.0, p), (0.0, 1 - p)) if w > 1e-3]
+        rows += [(y, float(w * n), vector) for y, w in ((1.0, p), (0.0, 1 - p)) if w > 1e-3]
     if len({y for y, *_ in rows}) < 2:
         return (0.0 if not rows else -30.0 if rows[0][0] == 0 else 30.0), np.zeros(size)
     table = spark.createDataFrame(rows, schema)
@@ -341,8 +460,9 @@ def fit_linear(spark: SparkSession, found: list[list[int]], toxic: np.ndarray, s
     return float(model.intercept), model.coefficients.toArray()
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float, dict[str, float]]:
-    """Intercept and the weight of each entry that matters."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[float, dict[str, float], Voters, list[float]]:
+    """Intercept, the weight of each entry that matters, the voters, and the weights of the
+    voters for toxic that are not entries."""
     rows = stored(training_texts(docs, labels, label), "toxicity-training")
     seen = rows.agg(F.count("*"), F.sum("label")).first()
     if not seen[0]:
@@ -352,24 +472,37 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[flo
     voters = Voters(lexicon, insults)
     examined = _examined(rows, voters, vocabulary)
     if not examined:
-        return -30.0, {}
-    votes = np.array([v for v, _ in examined])
-    toxic = LabelModel().fit(votes).posterior(votes)
-    intercept, weights = fit_linear(docs.sparkSession, [f for _, f in examined], toxic, len(vocabulary))
-    return intercept, {x: float(w) for x, w in zip(vocabulary, weights) if w}
+        return -30.0, {}, voters, [0.0] * OTHERS
+    patterns = stored(vote_patterns(docs, voters), "toxicity-patterns")
+    model = fit_labels(patterns, len(voters))
+    place = {x: i for i, x in enumerate(vocabulary)}
+    more = supported(patterns, len(voters), len(examined))
+    found = [f for _, f in examined] + [sorted(place[lexicon[i]] for i in p if i < len(lexicon)) for p, _ in more]
+    spoken = [v for v, _ in examined] + [p for p, _ in more]
+    # After the vocabulary, the voters for toxic that are not entries.
+    features = [
+        f + [len(vocabulary) + i - len(lexicon) for i in p if len(lexicon) <= i < len(voters) - 1]
+        for f, p in zip(found, spoken)
+    ]
+    toxic = model.posterior(votes_of(spoken, len(voters)))
+    counts = np.array([*[1.0] * len(examined), *(n for _, n in more)])
+    intercept, weights = fit_linear(docs.sparkSession, features, toxic, counts, len(vocabulary) + OTHERS)
+    entries = {x: float(w) for x, w in zip(vocabulary, weights) if w}
+    return intercept, entries, voters, [float(w) for w in weights[len(vocabulary):]]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted``, and the columns of ``docs`` in ``_row``."""
-    intercept, weights = learn(docs, labels, label)
+    intercept, weights, voters, votes = learn(docs, labels, label)
     words = docs.sparkSession.sparkContext.broadcast(
         ({x: w for x, w in weights.items() if not x.endswith("-")},
-         {n: {x[:-1]: w for x, w in weights.items() if x.endswith("-") and len(x) == n + 1} for n in STEMS})
+         {n: {x[:-1]: w for x, w in weights.items() if x.endswith("-") and len(x) == n + 1} for n in STEMS},
+         voters)
     )
     narrow = docs.select(F.struct(*docs.columns).alias("_row"), whole_text().alias("_text"))
 
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        whole, stems = words.value
+        whole, stems, voters = words.value
         sized = [(n, known) for n, known in stems.items() if known]
         for batch in texts:
             out = []
@@ -378,6 +511,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
                 total = intercept + sum(whole[w] for w in sorted(found & whole.keys()))
                 for n, known in sized:
                     total += sum(known[w] for w in sorted({w[:n] for w in found} & known.keys()))
+                for voter in voters.spoken(text, found):
+                    if 0 <= voter - len(voters.learned) < OTHERS:
+                        total += votes[voter - len(voters.learned)]
                 out.append(float(1 / (1 + np.exp(-min(max(total, -30.0), 30.0)))))
             yield pa.array(out, pa.float64())
 

@@ -429,6 +429,34 @@ def test_copies_and_phrases_make_no_lexicon():
     assert toxicity.chosen_entries(found, 0.1, 10.0) == ["abuse", "stem-"]
 
 
+def test_votes_on_all_documents_reach_the_scores(spark, monkeypatch):
+    """Abuse in unlabelled documents only: insults that no labelled text has, and masked words."""
+    rng = random.Random(7)
+
+    def plain():
+        return " ".join(rng.choice("river stone cloud meadow lantern garden harbour window".split()) for _ in range(30))
+
+    texts = [(i, plain() + (" you idiot moron" if i % 10 == 0 else "")) for i in range(600)]
+    texts += [(1000 + i, plain() + " such vermin, wretched scumbag " + rng.choice(["f#ck", "sh*t"])) for i in range(200)]
+    texts += [(2000 + i, plain()) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_report(docs, labels).collect()}
+    unseen, clean = [scores[1000 + i] for i in range(200)], [scores[2000 + i] for i in range(600)]
+    assert min(unseen) > 0.5 > 0.3 > max(clean)
+    monkeypatch.setattr(toxicity, "PATTERNS", 1)
+    for r in toxicity.toxicity_report(docs, labels).collect():
+        assert abs(r.score - scores[r.doc_id]) < 1e-6
+
+
+def test_all_distinct_texts_are_counted_by_pattern(spark):
+    voters = toxicity.Voters(["dolt", "brut-"])
+    texts = ["a dolt", "a dolt", "brutal brutish sh*t", "brut", "plain", None, "You IDIOT!"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {tuple(r.pattern): r.texts for r in toxicity.vote_patterns(docs, voters).collect()}
+    assert got == {(0,): 1, (1, 3, 5): 1, (7,): 3, (2, 6): 1}
+
+
 def test_labels_of_other_rows_decide_nothing(spark, small_dir):
     """Flipping every held-out label changes no score."""
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
