@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import (
     exact_dedup,
+    exact_search,
+    filter_audit,
+    hard_negatives,
     license_scan,
     mixing,
     order_minhash,
@@ -19,7 +22,7 @@ from holdfast.llm import (
     token_counts,
     toxicity,
 )
-from holdfast.llm.tables import documents, labels
+from holdfast.llm.tables import documents, embeddings, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
@@ -65,5 +68,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, folder), labels(spark, folder))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_interactions(documents(spark, folder), labels(spark, folder))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(embeddings(spark, folder))
+
+
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.search_report(embeddings(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -18,6 +18,10 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and go on from the files."""
     spark = df.sparkSession

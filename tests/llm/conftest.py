@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import Row
@@ -52,6 +54,26 @@ def awkward_rows():
     ]
 
 
+VECTOR_SCHEMA = (
+    "vec_id long, embedding array<float>, label int, vector string, row string, cell long, norm2 string, rank int,"
+    " score string, least string"
+)
+
+
+def awkward_vectors():
+    """Null, empty, short, equal, opposed, non-finite vectors; repeated and null ids; a hot one."""
+    draw = random.Random(7)
+    point = lambda n=6: [draw.uniform(-1, 1) for _ in range(n)]
+    same = point()
+    rows = [(i, point(), i % 3) for i in range(0, 500, 10)]
+    rows += [(i, same, i % 2) for i in range(1, 400, 4)]
+    rows += [(600, same, 1), (600, same, 1), (600, [-x for x in same], 1), (700, point(), None), (None, same, 0), (None, None, None)]
+    rows += [(800, None, 1), (900, [], 2), (1000, [0.0] * 6, 2), (1100, point(3), 0), (1200, point(9), 1)]
+    rows += [(1300, [0.5, None, 0.1], 0), (1400, [float("nan")] * 6, 0), (1500, [0.1, float("inf")], 1), (1600, [-0.0] * 3, 1)]
+    rows += [(-100, [30.0] * 6, 0), (-50, [-30.0] * 6, 1), (-200, same, 0)]
+    return [(i, v, label, "v", "r", 1, "n", 1, "s", "l") for i, v, label in rows]
+
+
 @pytest.fixture(scope="session")
 def awkward(spark, tmp_path_factory):
     """The folder of a small table of awkward documents, and labels for some."""
@@ -59,6 +81,7 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame(awkward_rows(), SCHEMA).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, i % 2, int(i == 3)) for i in range(1, 12)] + [(None, 1, 1), (4, None, None), (4, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(awkward_vectors(), VECTOR_SCHEMA).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -66,7 +89,7 @@ def awkward(spark, tmp_path_factory):
 def nothing(spark, awkward, tmp_path_factory):
     """The same tables without rows."""
     folder = tmp_path_factory.mktemp("nothing")
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{awkward}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 

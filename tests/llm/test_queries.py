@@ -23,7 +23,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def connect(folder):
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "embeddings"):
         path = f"{folder}/{name}.parquet"
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return con
