@@ -11,15 +11,18 @@ repeats of a window are found among suffixes that start with the same anchor.
 2. Each block sorts the suffixes at the remaining anchors (``LENGTH`` bytes, then the bytes
    before the anchor, backwards) and sends them as front-coded sorted runs. Equal suffixes of
    one block travel once.
-3. A range merges its runs with a loser tree that carries the length of the common prefix of
-   each candidate with the last output: it compares those lengths first and bytes only beyond
-   a common prefix. In the merged order, windows are equal where the prefix to the right and
-   the one to the left are long enough; the earliest of equal windows stays.
+3. Runs are merged ``FAN`` at a time by a loser tree that carries the length of the common prefix
+   of each candidate with the last output: it compares those lengths first and bytes only beyond
+   a common prefix. Of equal suffixes one goes on. Each level deals the merged runs to more
+   ranges, so that what a task merges stays the same while runs stay long. In the last level,
+   which has all suffixes of a range, windows are equal where the prefix to the right and the one
+   to the left are long enough; the earliest of equal windows stays.
 4. The spans to remove return to their blocks.
 
 An anchor that occurs over ``CROWDED`` times (a line a third of all documents share) is replaced
-by the windows it stands for: each is dealt by its own hash, and a block sends equal ones once,
-so no range gets more than a row per block of it.
+by the windows it stands for. Each is dealt by its own hash; a block merges equal ones (by hash,
+then byte by byte) before it makes rows of them, a limited number at a time, and each level
+of merging sends one of them on, so a window that all blocks have is ``FAN`` rows for a task.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` stay whole; a null id
 stands before all others; rows with equal ids are ordered by their text; equal rows by their
@@ -29,6 +32,8 @@ place in the block, so all but one lose their repeats; an empty table gives no r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +42,14 @@ from pyspark.sql import DataFrame, functions as F
 from holdfast.llm.tables import whole_text
 
 LENGTH, KMER = 100, 32
-# Bytes of text in a block and anchors in a range, about; bytes hashed at a time.
-BLOCK_BYTES, RANGE_ANCHORS, SLICE = 4 << 20, 400_000, 1 << 20
-# An anchor that occurs more often is dealt window by window.
-CROWDED = 20_000
+# Bytes of text in a block, anchors in a range of hashes and in one of suffixes, about; bytes hashed
+# at a time.
+BLOCK_BYTES, RANGE_HASHES, RANGE_ANCHORS, SLICE = 4 << 20, 400_000, 200_000, 1 << 20
+# An anchor that occurs more often is dealt window by window; windows in a range, about; rows that
+# are built and sorted at a time.
+CROWDED, RANGE_WINDOWS, ROWS = 20_000, 200_000, 1 << 16
+# Blocks, or merged groups of them, whose runs meet in a task.
+FAN = 64
 
 c = F.col
 U = np.uint64
@@ -94,9 +103,10 @@ def anchors_of(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tupl
         at = (least & U(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        found.append((low + at[first], low + first, low + last, hashes[at[first]]))
+        places = ((low + x).astype(np.int32) for x in (at[first], first, last))
+        found.append((*places, hashes[at[first]]))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
+        return tuple(np.zeros(0, t) for t in (np.int32, np.int32, np.int32, U))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -114,7 +124,7 @@ class Block:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         parts = [anchors_of(self.data[a:b], length, kmer) for a, b in zip(self.starts, self.starts[1:])]
         sizes = [len(p[0]) for p in parts]
-        self.doc = np.repeat(np.arange(len(parts)), sizes)
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         self.at, self.first, self.last, hashes = (np.concatenate(x) for x in zip(*parts))
         self.code = _finish(hashes)
 
@@ -181,12 +191,14 @@ def suffix_rows(data: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndar
         return rows
     padded = np.concatenate([data, np.zeros(1, np.uint8)])
     right_n, left_n = np.minimum(high - at, length), np.minimum(at - low, left)
-    i = np.arange(length)
-    rows[:, :length] = np.where(i < right_n[:, None], padded[np.minimum(at[:, None] + i, len(data))], 0)
-    rows[:, length] = right_n
-    i = np.arange(left)
-    rows[:, length + 1 : -1] = np.where(i < left_n[:, None], padded[np.maximum(at[:, None] - 1 - i, 0)], 0)
-    rows[:, -1] = left_n
+    rows[:, length], rows[:, -1] = right_n, left_n
+    right, back = np.arange(length), np.arange(left)
+    # The places of all bytes take eight times the rows' room.
+    for a in range(0, len(at), 8192):
+        part = slice(a, a + 8192)
+        start = at[part, None]
+        rows[part, :length] = np.where(right < right_n[part, None], padded[np.minimum(start + right, len(data))], 0)
+        rows[part, length + 1 : -1] = np.where(back < left_n[part, None], padded[np.maximum(start - 1 - back, 0)], 0)
     return rows
 
 
@@ -204,17 +216,12 @@ def sorted_order(rows: np.ndarray, *ties: np.ndarray) -> np.ndarray:
     if not len(rows):
         return np.zeros(0, np.int64)
     width = rows.shape[1]
-    words = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
-    words[:, :width] = rows
-    columns = words.view(">u8")
     order = np.lexsort(ties[::-1]) if ties else np.arange(len(rows))
-    text = np.ascontiguousarray(columns[order]).view(f"V{columns.shape[1] * 8}").ravel()
     # Fixed-size byte strings compare like memory; a last byte that is never 0 keeps zeros.
     keyed = np.empty(len(rows), f"S{width + 1}")
     raw = keyed.view(np.uint8).reshape(len(rows), width + 1)
-    raw[:, :width] = words[order, :width]
+    raw[:, :width] = rows[order]
     raw[:, width] = 1
-    del text
     return order[np.argsort(keyed, kind="stable")]
 
 
@@ -237,7 +244,22 @@ def front_decoded(prefix: bytes, rest: bytes, width: int) -> tuple[np.ndarray, n
     return np.take_along_axis(rows, source, axis=0), shared
 
 
-ENTRY = np.dtype([("order", "<i8"), ("doc", "<i4"), ("at", "<i8"), ("low", "<i2"), ("high", "<i2")])
+# A suffix: its document's id, its place, the windows it stands for, and what deals it to a range.
+ENTRY = np.dtype(
+    [("order", "<i8"), ("doc", "<i4"), ("at", "<i4"), ("low", "<i2"), ("high", "<i2"), ("code", "<u4")]
+)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Ranges of a level: for suffixes at anchors, and for windows."""
+
+    anchors: int
+    windows: int
+
+    def range_of(self, code: np.ndarray, window: bool) -> np.ndarray:
+        count = self.windows if window else self.anchors
+        return (code.astype(U) * U(count) >> U(32)).astype(np.int64) + (self.anchors if window else 0)
 
 
 def _spans(block: int, doc, start, end) -> tuple:
@@ -246,14 +268,99 @@ def _spans(block: int, doc, start, end) -> tuple:
     return (block, packed.tobytes())
 
 
-RUN_SCHEMA = "range long, block long, entries binary, prefix binary, rest binary, spans binary"
 RUN_ARROW = pa.schema(
-    [("range", pa.int64()), ("block", pa.int64())] + [(x, pa.binary()) for x in ("entries", "prefix", "rest", "spans")]
+    [("range", pa.int64()), ("block", pa.int64())]
+    + [(x, pa.binary()) for x in ("entries", "blocks", "prefix", "rest", "spans")]
 )
+RUN_SCHEMA = "range long, block long, entries binary, blocks binary, prefix binary, rest binary, spans binary"
+
+
+def _run_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [[]] * len(RUN_ARROW)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, RUN_ARROW)], schema=RUN_ARROW)
+
+
+def _span_rows(blocks: np.ndarray, doc, start, end, ranges: int) -> Iterator[tuple]:
+    """A row for each block that the spans return to."""
+    order = np.argsort(blocks, kind="stable")
+    numbers, cuts = np.unique(blocks[order], return_index=True)
+    for number, a, b in zip(numbers.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        own = order[a:b]
+        yield (number % ranges, number, None, None, None, None, _spans(number, doc[own], start[own], end[own])[1])
+
+
+def _run_rows(source: int, rows: np.ndarray, entries: np.ndarray, blocks: np.ndarray | None, deal: Deal,
+              window: bool) -> Iterator[tuple]:
+    """Sorted rows as a run for each range."""
+    place = deal.range_of(entries["code"], window)
+    by_range = np.argsort(place, kind="stable")
+    numbers, cuts = np.unique(place[by_range], return_index=True)
+    for r, a, b in zip(numbers.tolist(), cuts, [*cuts[1:], len(by_range)]):
+        own = by_range[a:b]
+        origin = None if blocks is None else blocks[own].astype("<i8").tobytes()
+        yield (r, source, entries[own].tobytes(), origin, *front_coded(rows[own]), None)
+
+
+def repeats(same: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which of sorted rows (``same`` as the one before) equal one of an earlier suffix: the first
+    in order goes on, the others' windows are repeats. A suffix listed twice, with different
+    windows, is no repeat of itself."""
+    if not same.any():
+        return same
+    group = np.cumsum(~same) - 1
+    order = np.lexsort((entries["at"], entries["doc"], entries["order"], group))
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    first = entries[order[heads][group]]
+    return (entries["at"] != first["at"]) | (entries["doc"] != first["doc"]) | (entries["order"] != first["order"])
+
+
+def distinct_windows(block: Block, crowd: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the crowded anchors: places and hashes of the different ones, and places of those
+    that equal an earlier one byte by byte."""
+    data = block.data
+    mark = np.zeros(len(data) + 1, np.int8)
+    begin = block.starts[block.doc[crowd]] + block.first[crowd]
+    np.add.at(mark, begin, 1)
+    np.add.at(mark, begin + block.last[crowd] - block.first[crowd] + 1, -1)
+    inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    known, known_at = np.zeros(0, U), np.zeros(0, np.int64)
+    odd, odd_code, gone = [], [], []
+    for low in range(0, len(data) - length + 1, SLICE):
+        high = min(low + SLICE, len(data) - length + 1)
+        at = np.flatnonzero(inside[low:high])
+        if not len(at):
+            continue
+        code = string_hashes(data[low : high + length - 1], length)[at]
+        at += low
+        values, first, where = np.unique(code, return_index=True, return_inverse=True)
+        old = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+        seen = known[old] == values if len(known) else np.zeros(len(values), bool)
+        twin = at[first]
+        twin[seen] = known_at[old[seen]]
+        other = np.flatnonzero(twin[where] != at)
+        equal = np.ones(len(other), bool)
+        offset = np.arange(length)
+        for a in range(0, len(other), 8192):
+            mine = other[a : a + 8192]
+            equal[a : a + 8192] = (
+                data[at[mine, None] + offset] == data[twin[where[mine]][:, None] + offset]
+            ).all(axis=1)
+        gone.append(at[other[equal]])
+        odd.append(at[other[~equal]])
+        odd_code.append(code[other[~equal]])
+        merged_codes = np.concatenate([known, values[~seen]])
+        merged_at = np.concatenate([known_at, twin[~seen]])
+        order = np.argsort(merged_codes, kind="stable")
+        known, known_at = merged_codes[order], merged_at[order]
+    none = np.zeros(0, np.int64)
+    return (
+        np.concatenate([known_at, *odd]), np.concatenate([known, *odd_code]),
+        np.concatenate(gone) if gone else none,
+    )
 
 
-def _runs(key, table: pa.Table, again: pa.Table, hash_ranges: int, ranges: int, length: int, kmer: int) -> pa.Table:
-    """The block's sorted runs, one for each range, and the spans it can tell by itself."""
+def _runs(key, table: pa.Table, again: pa.Table, hash_ranges: int, deal: Deal, length: int, kmer: int) -> pa.Table:
+    """The block's sorted runs, and the spans it can tell by itself."""
     out: list[tuple] = []
     number = key[0].as_py()
     if table.num_rows and again.num_rows:
@@ -271,55 +378,44 @@ def _runs(key, table: pa.Table, again: pa.Table, hash_ranges: int, ranges: int,
         hit = values[at] == mine
         crowd = hit & (flags[at] == 1)
         hit &= ~crowd
+        del mine, at
 
-        doc, begin = block.doc[hit], block.starts[block.doc[hit]]
-        entries = np.zeros(hit.sum(), ENTRY)
-        entries["doc"], entries["at"] = doc, block.at[hit]
+        doc = block.doc[hit]
+        begin = block.starts[doc]
+        entries = np.zeros(len(doc), ENTRY)
+        entries["doc"], entries["at"], entries["order"] = doc, block.at[hit], block.order[doc]
         entries["low"] = block.at[hit] - block.last[hit]
         entries["high"] = block.at[hit] - block.first[hit]
+        entries["code"] = block.code[hit] >> U(32)
         rows = suffix_rows(block.data, begin, block.starts[doc + 1], begin + block.at[hit], length, left)
-        place = _range_of(block.code[hit], ranges)
-        if crowd.any():
-            # Each window of a crowded anchor by itself.
-            sizes = (block.last - block.first + 1)[crowd]
-            doc = np.repeat(block.doc[crowd], sizes)
-            step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            start = np.repeat(block.first[crowd], sizes) + step
-            more = np.zeros(len(doc), ENTRY)
-            more["doc"], more["at"] = doc, start
-            whole = suffix_rows(block.data, block.starts[doc], block.starts[doc + 1], block.starts[doc] + start, length, left)
-            whole[:, length + 1 :] = 0
-            with np.errstate(over="ignore"):
-                code = whole[:, :length].astype(U) @ (U(0x9E3779B97F4A7C15) ** np.arange(1, length + 1, dtype=U))
-            entries, rows = np.concatenate([entries, more]), np.concatenate([rows, whole])
-            place = np.concatenate([place, _range_of(_finish(code), ranges)])
-        entries["order"] = block.order[entries["doc"]]
-
         order = sorted_order(rows, entries["doc"], entries["at"])
-        rows, entries, place = rows[order], entries[order], place[order]
-        same = common_prefixes(rows) == rows.shape[1]
-        # Of equal suffixes the first in order goes on; the others' windows are repeats.
-        group = np.cumsum(~same) - 1
-        first = entries[np.flatnonzero(~same)][group] if len(rows) else entries
-        repeat = same & ((entries["doc"] != first["doc"]) | (entries["at"] != first["at"]))
-        gone = entries[repeat]
-        if len(gone):
-            out.append((int(place[0]), *_own_spans(number, gone, length)))
-        stay = ~repeat
-        rows, entries, place = rows[stay], entries[stay], place[stay]
-        by_range = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[by_range], np.arange(ranges + 1))
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                chosen = by_range[a:b]
-                out.append((r, number, entries[chosen].tobytes(), *front_coded(rows[chosen]), None))
-    columns = list(zip(*out)) or [[]] * 6
-    return pa.table([pa.array(x, f.type) for x, f in zip(columns, RUN_ARROW)], schema=RUN_ARROW)
-
+        rows, entries = rows[order], entries[order]
+        gone = repeats(common_prefixes(rows) == rows.shape[1], entries)
+        e = entries[gone]
+        out += _span_rows(np.full(len(e), number), e["doc"], e["at"] - e["high"], e["at"] - e["low"] + length, deal.anchors)
+        out += _run_rows(number, rows[~gone], entries[~gone], None, deal, False)
+        del rows, entries
 
-def _own_spans(block: int, gone: np.ndarray, length: int) -> tuple:
-    number, packed = _spans(block, gone["doc"], gone["at"] - gone["high"], gone["at"] - gone["low"] + length)
-    return (number, None, None, None, packed)
+        if crowd.any():
+            place, code, gone = distinct_windows(block, crowd, length)
+            if len(gone):
+                starts = np.flatnonzero(np.concatenate([[True], gone[1:] != gone[:-1] + 1]))
+                ends = gone[np.concatenate([starts[1:], [len(gone)]]) - 1]
+                doc = np.searchsorted(block.starts, gone[starts], side="right") - 1
+                base = block.starts[doc]
+                out += _span_rows(
+                    np.full(len(doc), number), doc, gone[starts] - base, ends - base + length, deal.anchors
+                )
+            for a in range(0, len(place), ROWS):
+                at = place[a : a + ROWS]
+                doc = np.searchsorted(block.starts, at, side="right") - 1
+                entries = np.zeros(len(doc), ENTRY)
+                entries["doc"], entries["at"], entries["order"] = doc, at - block.starts[doc], block.order[doc]
+                entries["code"] = _finish(code[a : a + ROWS]) >> U(32)
+                rows = suffix_rows(block.data, at, block.starts[doc + 1], at, length, left)
+                order = sorted_order(rows, entries["doc"], entries["at"])
+                out += _run_rows(number, rows[order], entries[order], None, deal, True)
+    return _run_table(out)
 
 
 # Step 3: the merge
@@ -443,32 +539,64 @@ def repeated_windows(rows: np.ndarray, prefix: np.ndarray, entries: np.ndarray,
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
 
 
-def _merge(key, table: pa.Table, length: int, kmer: int) -> pa.Table:
-    """Spans to remove, for each block, from all runs of a range."""
-    out, runs, entries, blocks, all_rows = [], [], [], [], []
-    width = 2 * length - kmer + 2
-    for block, e, p, r, s in zip(*(table.column(x).to_pylist() for x in ("block", "entries", "prefix", "rest", "spans"))):
-        if s is not None:
-            out.append((block, s))
+def _merged_range(table: pa.Table, width: int) -> tuple[np.ndarray, ...] | None:
+    """``rows, prefix, entries, blocks`` of all runs of a range in sorted order."""
+    runs, entries, blocks, all_rows = [], [], [], []
+    columns = (table.column(x).to_pylist() for x in ("block", "entries", "blocks", "prefix", "rest"))
+    for source, e, origin, p, r in zip(*columns):
+        if e is None:
             continue
         rows, prefix = front_decoded(p, r, width)
         flat = rows.tobytes()
         runs.append(([int.from_bytes(flat[i : i + width]) for i in range(0, len(flat), width)], prefix))
         all_rows.append(rows)
         entries.append(np.frombuffer(e, ENTRY))
-        blocks.append(np.full(len(rows), block))
-    if runs:
-        run, place, prefix = merged(runs, width)
-        first = np.cumsum([0] + [len(x) for x in entries])
-        at = first[run] + place
-        rows, entry, block = np.concatenate(all_rows)[at], np.concatenate(entries)[at], np.concatenate(blocks)[at]
-        which, low, high = repeated_windows(rows, prefix.astype(np.int64), entry, length, kmer)
-        by_block = np.argsort(block[which], kind="stable")
-        which, low, high = which[by_block], low[by_block], high[by_block]
-        numbers, cuts = np.unique(block[which], return_index=True)
-        for number, a, b in zip(numbers.tolist(), cuts, [*cuts[1:], len(which)]):
-            e = entry[which[a:b]]
-            out.append(_spans(number, e["doc"], e["at"] - high[a:b], e["at"] - low[a:b] + length))
+        blocks.append(np.full(len(rows), source) if origin is None else np.frombuffer(origin, "<i8"))
+    if not runs:
+        return None
+    run, place, prefix = merged(runs, width)
+    first = np.cumsum([0] + [len(x) for x in entries])
+    at = first[run] + place
+    return (np.concatenate(all_rows)[at], prefix.astype(np.int64), np.concatenate(entries)[at],
+            np.concatenate(blocks)[at])
+
+
+def _own_span_rows(table: pa.Table) -> list[tuple]:
+    """Spans that earlier steps found, passed on."""
+    return [
+        (r, block, None, None, None, None, s)
+        for r, block, s in zip(*(table.column(x).to_pylist() for x in ("range", "block", "spans"))) if s is not None
+    ]
+
+
+def _combine(key, table: pa.Table, before: Deal, after: Deal, length: int, kmer: int) -> pa.Table:
+    """Runs of a group of sources as runs for the next level, equal suffixes once."""
+    out, source = _own_span_rows(table), key[1].as_py()
+    found = _merged_range(table, 2 * length - kmer + 2)
+    if found:
+        rows, prefix, entries, blocks = found
+        gone = repeats(prefix == rows.shape[1], entries)
+        e = entries[gone]
+        out += _span_rows(blocks[gone], e["doc"], e["at"] - e["high"], e["at"] - e["low"] + length, after.anchors)
+        window = key[0].as_py() >= before.anchors
+        out += _run_rows(source, rows[~gone], entries[~gone], blocks[~gone], after, window)
+    return _run_table(out)
+
+
+def _level(before: Deal, after: Deal, length: int, kmer: int):
+    return lambda key, t: _combine(key, t, before, after, length, kmer)
+
+
+def _merge(key, table: pa.Table, length: int, kmer: int) -> pa.Table:
+    """Spans to remove, for each block, from all runs of a range."""
+    out = [(block, s) for _, block, *_, s in _own_span_rows(table)]
+    found = _merged_range(table, 2 * length - kmer + 2)
+    if found:
+        rows, prefix, entry, block = found
+        which, low, high = repeated_windows(rows, prefix, entry, length, kmer)
+        e = entry[which]
+        spans = _span_rows(block[which], e["doc"], e["at"] - high, e["at"] - low + length, 1)
+        out += [(number, s) for _, number, *_, s in spans]
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()),
                      "spans": pa.array([x[1] for x in out], pa.binary())})
 
@@ -514,16 +642,30 @@ def _cut(table: pa.Table, spans: pa.Table, id_type: pa.DataType) -> pa.Table:
     )
 
 
+def levels(blocks: int, total: int, length: int, kmer: int, fan: int) -> list[Deal]:
+    """The ranges of each level of merging. A level that merges ``fan`` sources in each of so many
+    groups needs the fewer ranges; the last has one group, and the ranges of the whole text."""
+    # About two anchors in each window less one; a fraction of them occurs again.
+    anchors, windows = 2 * total / (length - kmer + 2) / RANGE_ANCHORS, total / RANGE_WINDOWS
+    result, sources = [], blocks
+    while True:
+        groups = math.ceil(sources / fan) if sources > fan else 1
+        result.append(Deal(max(1, math.ceil(anchors / groups)), max(1, math.ceil(windows / groups))))
+        if groups == 1:
+            return result
+        sources = groups
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, block_bytes: int = BLOCK_BYTES,
-                    crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    crowded: int = CROWDED, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: the removed runs of each document and what is left."""
     if not 1 < kmer < length <= 255 or 2 * length - kmer + 2 > 255:
         raise ValueError("a suffix with its numbers has at most 255 bytes")
     narrow = docs.select(c(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    # About two anchors in each window less one; a fraction of them occurs again.
-    hash_ranges = ranges = max(1, math.ceil(2 * total / (length - kmer + 2) / RANGE_ANCHORS))
+    deals = levels(blocks, total, length, kmer, fan)
+    hash_ranges = max(1, math.ceil(2 * total / (length - kmer + 2) / RANGE_HASHES))
     dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     by_block = dealt.select("block", "doc_id", "text").groupBy("block")
 
@@ -535,8 +677,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, blo
         lambda key, t: _repeated(key, t, crowded), "block long, range long, hashes binary, crowded binary"
     )
     runs = by_block.cogroup(again.groupBy("block")).applyInArrow(
-        lambda key, t, a: _runs(key, t, a, hash_ranges, ranges, length, kmer), RUN_SCHEMA
+        lambda key, t, a: _runs(key, t, a, hash_ranges, deals[0], length, kmer), RUN_SCHEMA
     )
+    for before, after in zip(deals, deals[1:]):
+        # The runs of a group go on as those of one source; spans keep the block they return to.
+        group = F.floor(c("block") / fan).alias("group")
+        runs = runs.groupBy("range", group).applyInArrow(_level(before, after, length, kmer), RUN_SCHEMA)
     spans = runs.groupBy("range").applyInArrow(
         lambda key, t: _merge(key, t, length, kmer), "block long, spans binary"
     )

@@ -1,10 +1,12 @@
 """Parts of the operators against plain versions, on made-up rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -211,13 +213,17 @@ def small_docs(draw):
     return docs
 
 
-@pytest.mark.parametrize("crowded", [0, 1, 1000])
-def test_repeats_of_any_length(spark, monkeypatch, crowded):
+@pytest.mark.parametrize("crowded, fan", [(0, 64), (0, 2), (1, 3), (1000, 64), (1000, 2)])
+def test_repeats_of_any_length(spark, monkeypatch, crowded, fan):
+    """Also with few rows in a range and several levels of merging."""
+    if fan < 64:
+        monkeypatch.setattr(suffix_dedup, "RANGE_ANCHORS", 50)
+        monkeypatch.setattr(suffix_dedup, "RANGE_WINDOWS", 60)
     draw = random.Random(crowded)
     for length, kmer in ((6, 2), (15, 4)):
         docs = [d for _ in range(4) for d in small_docs(draw)]
         table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-        got = suffix_dedup.without_repeats(table, length, kmer, block_bytes=200, crowded=crowded).collect()
+        got = suffix_dedup.without_repeats(table, length, kmer, block_bytes=200, crowded=crowded, fan=fan).collect()
         want = removed_by_brute_force([d.encode() for d in docs], length)
         for r in got:
             gone = np.zeros(len(docs[r.doc_id].encode()), bool)
@@ -227,6 +233,83 @@ def test_repeats_of_any_length(spark, monkeypatch, crowded):
             assert bytes(r.kept) == np.frombuffer(docs[r.doc_id].encode(), np.uint8)[~gone].tobytes()
 
 
+def test_levels_keep_what_a_task_merges():
+    for blocks in (1, 64, 65, 10_000, 3_000_000):
+        total = blocks * suffix_dedup.BLOCK_BYTES
+        sources = blocks
+        for deal in suffix_dedup.levels(blocks, total, 100, 32, 64):
+            groups = -(-sources // 64)
+            assert 2 * total / 70 / (deal.anchors * groups) <= suffix_dedup.RANGE_ANCHORS
+            assert total / (deal.windows * groups) <= suffix_dedup.RANGE_WINDOWS
+            sources = groups
+        assert sources == 1
+
+
+def crowded_block(texts):
+    """A block all of whose anchors are crowded."""
+    block = suffix_dedup.Block(pa.table({"doc_id": range(len(texts)), "text": texts}), 100, 32)
+    return block, np.ones(len(block.code), bool)
+
+
+@pytest.mark.parametrize("slice_", [1 << 20, 150])
+def test_equal_windows_of_a_block_are_one(monkeypatch, slice_):
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
+    draw = random.Random(4)
+    line = "".join(draw.choice("abc") for _ in range(130))
+    texts = [line + "".join(draw.choice("abc") for _ in range(draw.randint(0, 90))) for _ in range(12)] + [line] * 5 + ["short"]
+    block, crowd = crowded_block(texts)
+    place, code, gone = suffix_dedup.distinct_windows(block, crowd, 100)
+    data, seen, want, again = block.data.tobytes(), {}, [], []
+    for low, high in zip(block.starts, block.starts[1:]):
+        for at in range(low, high - 99):
+            (again if data[at : at + 100] in seen else want).append(at)
+            seen[data[at : at + 100]] = at
+    assert sorted(place.tolist()) == want and sorted(gone.tolist()) == again
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    """Bytes decide when all hashes are equal."""
+    block, crowd = crowded_block(["a" * 60 + "b" * 60, "a" * 60 + "b" * 60, "c" * 130])
+    monkeypatch.setattr(suffix_dedup, "string_hashes", lambda data, n: np.zeros(len(data) - n + 1, np.uint64))
+    place, _, gone = suffix_dedup.distinct_windows(block, crowd, 100)
+    data = block.data.tobytes()
+    assert sorted([*place, *gone]) == sorted({*range(0, 21), *range(120, 141), *range(240, 271)})
+    # What isn't equal to the first goes on as a row, and meets its like in the merge.
+    assert {data[i : i + 100] for i in gone} == {data[:100]}
+
+
+def peak_of(step):
+    tracemalloc.start()
+    try:
+        result = step()
+        return result, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind, most", [("letters", 450), ("copies", 200), ("lines", 300)])
+def test_hot_blocks_stay_small(kind, most):
+    """A block of equal letters, of copies of one text, of texts around one line: peak MB."""
+    draw = random.Random(9)
+    words = lambda n: " ".join(f"w{draw.randrange(9999)}" for _ in range(n))
+    if kind == "letters":
+        texts = ["x" * 5_000_000]
+    elif kind == "copies":
+        texts = [words(300)] * 2300
+    else:
+        line = words(25)
+        texts = [words(20) + " " + line + " " + words(20) for _ in range(9000)]
+    table = pa.table({"doc_id": range(len(texts)), "text": texts})
+    lists, first = peak_of(lambda: suffix_dedup._hash_lists([pa.scalar(0)], table, 3, 100, 32))
+    again = pa.concat_tables([
+        suffix_dedup._repeated([pa.scalar(r)], lists.filter(pa.compute.equal(lists["range"], r)), 100)
+        for r in lists["range"].unique().to_pylist()
+    ])
+    deal = suffix_dedup.Deal(3, 25)
+    runs, second = peak_of(lambda: suffix_dedup._runs([pa.scalar(0)], table, again, 3, deal, 100, 32))
+    assert runs.num_rows and max(first, second) < most, (first, second)
+
+
 def test_slices_of_a_long_document_agree(monkeypatch):
     data = np.frombuffer(("abcab" * 300 + "xyz" * 200).encode(), np.uint8)
     whole = suffix_dedup.anchors_of(data, 20, 4)
