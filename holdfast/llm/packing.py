@@ -11,9 +11,10 @@ the input. A task's last sequence is short; with cutting it is laid out as seque
 of two in length, which need no padding. Sequence ids are the partition's number and a count,
 so a task that runs again gives the same ones.
 
-Defined results: a null text is empty; an empty text is its end id alone; long texts give full
+Defined results: a null text or prompt is empty; an empty text is its end id alone; long texts give full
 sequences and a rest; repeated rows and null ids are examples of their own; an empty table gives
-no rows. Loss-bearing tokens are the last ones of an example.
+no rows. Loss-bearing tokens are the last ones of an example: those after its prompt, all of them
+where there is none.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.pieces import Pieces, frequent_stretches, frequent_table
+from holdfast.llm.pieces import frequent_stretches, frequent_table, kept_pieces
 from holdfast.llm.tables import whole_text
 
-TOKENS, SEGMENTS = 2048, 256
+# A sequence has at most as many segments as tokens: instruction data may ask for fewer.
+TOKENS, SEGMENTS = 2048, 2048
 # Examples among which the next one is chosen.
 POOL = 512
 END_ID = 1
@@ -75,7 +77,9 @@ class Packer:
         self.limits = np.array([tokens, segments, loss], float)
         self.cut, self.most = cut, pool
         self.pool: list[Piece | None] = []
-        self.vectors = np.zeros((2 * pool + 2, 3))
+        # Tokens in the pool; it is filled up with short pieces until they make a sequence.
+        self.held = 0
+        self.vectors = np.zeros((max(pool, tokens) + 2, 3))
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         tokens, _, loss = self.limits
@@ -92,7 +96,7 @@ class Packer:
             yield [full]
         if piece.size():
             self._keep(piece)
-        while len(self.pool) >= self.most:
+        while len(self.pool) >= self.most and self.held >= tokens:
             yield self._fill()
 
     def end(self) -> Iterator[list[Piece]]:
@@ -117,9 +121,11 @@ class Packer:
     def _keep(self, piece: Piece) -> None:
         self.vectors[len(self.pool)] = (piece.size(), 1, piece.loss())
         self.pool.append(piece)
+        self.held += piece.size()
 
     def _take(self, i: int) -> Piece:
         piece, last = self.pool[i], self.pool.pop()
+        self.held -= piece.size()
         if i < len(self.pool):
             self.pool[i] = last
             self.vectors[i] = self.vectors[len(self.pool)]
@@ -167,30 +173,37 @@ def rows_of(sequences: Iterator[list[Piece]], first_id: int) -> Iterator[tuple]:
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                   tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS) -> DataFrame:
+                   prompt_col: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS,
+                   loss: int = TOKENS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: a row per piece.
 
-    ``path`` is a byte-level BPE file of the ``tokenizers`` library; every token bears loss.
+    ``path`` is a byte-level BPE file of the ``tokenizers`` library. An example is the ids of its
+    prompt, if there is one, of its text, and the end id; those of the prompt bear no loss.
     """
     spark = docs.sparkSession
     table = frequent_table(frequent_stretches(docs, text_col, id_col), path, as_bytes)
     shared = spark.sparkContext.broadcast(table)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    prompt = whole_text(prompt_col) if prompt_col else F.lit("")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), prompt.alias("prompt"))
+    if not prompt_col:
+        narrow = narrow.drop("prompt")
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Pieces(path, as_bytes, shared.value)
+        lookup = kept_pieces(path, as_bytes, shared.value)
         packer = Packer(tokens, segments, loss)
         key_type: list[pa.DataType] = [pa.int64()]
 
         def sequences() -> Iterator[list[Piece]]:
+            end = as_bytes([END_ID])
             for batch in batches:
                 key_type[0] = batch.column(0).type
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    values = lookup.of(text)
-                    values.append(as_bytes([END_ID]))
-                    ids = b"".join(values)
-                    yield from packer.add(Piece(key, ids, 0, len(ids) // 4, len(ids) // 4, 0))
+                keys = batch.column(0).to_pylist()
+                prompts = dict(lookup.ids(batch.column(2))) if prompt_col else {}
+                for n, ids in lookup.ids(batch.column(1)):
+                    before = prompts.get(n, b"")
+                    ids = before + ids + end
+                    yield from packer.add(Piece(keys[n], ids, 0, len(ids) // 4, len(ids) // 4, len(before) // 4))
             yield from packer.end()
 
         rows: list[tuple] = []

@@ -6,6 +6,11 @@ merges never leave a pre-token, so encoding the stretches one by one gives the i
 text. Stretches cost one hash lookup each; only unknown ones meet the tokenizer. Of those, plain
 ones (words, ASCII marks but the apostrophe, single line ends) are cut into their pre-tokens here,
 which are looked up or go to the tokenizer's model directly; it encodes all others whole.
+
+Texts are taken some megabytes at a time: Arrow cuts them and finds the different stretches, each of
+these is looked up once, and numpy puts the values back in their places. What a worker has looked up
+stays for its later tasks. Long texts, and those with other white space than clean single spaces,
+are cut one by one, a part at a time.
 """
 
 from __future__ import annotations
@@ -16,16 +21,24 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 # Documents from which the frequent stretches are taken, and how many of these are broadcast.
 TABLE_DOCS, TABLE_SIZE = 2_000, 65_536
 # Stretches a worker remembers beside the table, and the longest it remembers.
 CACHE_SIZE, LONGEST = 600_000, 64
+# Bytes of text that are cut at a time, and characters of a part of a longer text.
+GROUP, PART = 4 << 20, 1 << 20
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Spaces that are not clean single ones, for Arrow, whose \s is ASCII only.
+_ODD = (
+    r"  | \n|\n |^ | $|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 # Words, runs of ASCII marks, single line ends: each is a pre-token.
 _PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
 
@@ -63,6 +76,18 @@ def stretches(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def parts_of(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut before clean single spaces."""
+    at, size = 0, size or PART
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
 class Pieces(dict):
     """Value of `` stretch`` (with its space), from the table, the cache or the tokenizer.
 
@@ -75,6 +100,7 @@ class Pieces(dict):
         self.model = tokenizer(path).model
         self.special = [token.content for token in tokenizer(path).get_added_tokens_decoder().values()]
         self.inner: dict[str, object] = {}
+        self.firsts: dict[str, object] = {}
 
     def encode(self, text: str) -> object:
         return self.value(tokenizer(self.path).encode(text, add_special_tokens=False).ids)
@@ -116,14 +142,104 @@ class Pieces(dict):
             self[stretch] = found
         return found
 
-    def of(self, text: str) -> list:
+    def first(self, stretch: str) -> object:
+        """Of the first stretch of a text, which has no space before it."""
+        found = self.firsts.get(stretch)
+        if found is None:
+            found = self.encode(stretch)
+            if len(self.firsts) >= CACHE_SIZE // 8:
+                self.firsts.clear()
+            if len(stretch) <= LONGEST:
+                self.firsts[stretch] = found
+        return found
+
+    def of(self, text: str) -> Iterator[object]:
         """Values of all stretches of ``text`` in order."""
-        if not text:
-            return []
-        first, *rest = stretches(text)
-        values = [self.encode(first)] if first else []
-        values.extend(map(self.__getitem__, rest))
-        return values
+        for n, part in enumerate(parts_of(text)):
+            first, *rest = stretches(part)
+            if n:
+                yield self[first]
+            elif first:
+                yield self.first(first)
+            yield from map(self.__getitem__, rest)
+
+    def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+        """Of texts with clean single spaces: where each one's stretches begin, the number of each
+        stretch's value, and the values."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets -= offsets[0]
+        begin = offsets[:-1]
+        leading, which = np.unique(index[begin], return_inverse=True)
+        index[begin] = len(coded.dictionary) + which
+        inside = np.bincount(index, minlength=len(coded.dictionary)) > 0
+        words, nothing = coded.dictionary.to_pylist(), self.value([])
+        values = [self[w] if used else nothing for w, used in zip(words, inside)]
+        values += [self.first(words[i]) if words[i] else nothing for i in leading.tolist()]
+        return offsets, index, values
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array | None]]:
+        """Places and texts to cut together, or places alone of those to cut one by one."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        alone = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) | (sizes > GROUP)
+        rows = np.flatnonzero(~alone)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // GROUP)) + 1
+        for own in np.split(rows, cuts):
+            if len(own):
+                yield own, texts.take(pa.array(own))
+        if alone.any():
+            yield np.flatnonzero(alone), None
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; the values must be lengths."""
+        result = np.zeros(len(texts), np.int64)
+        for rows, group in self.groups(texts):
+            if group is None:
+                result[rows] = [sum(self.of(texts[i].as_py())) for i in rows.tolist()]
+            else:
+                offsets, index, values = self.looked_up(group)
+                result[rows] = np.add.reduceat(np.array(values, np.int64)[index], offsets[:-1])
+        return result
+
+    def ids(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Place and ids of each text; the values must be ids of four bytes."""
+        for rows, group in self.groups(texts):
+            if group is None:
+                for i in rows.tolist():
+                    yield i, b"".join(self.of(texts[i].as_py()))
+                continue
+            offsets, index, values = self.looked_up(group)
+            sizes = np.array([len(v) // 4 for v in values], np.int64)
+            flat, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+            lengths = sizes[index]
+            ends = np.cumsum(lengths)
+            if not ends[-1]:
+                yield from ((i, b"") for i in rows.tolist())
+                continue
+            # Each stretch's ids stand together in ``flat``: step by one within it.
+            at = np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(ends[-1])
+            found = flat[at].tobytes()
+            bounds = 4 * np.concatenate([[0], ends])[offsets]
+            for i, low, high in zip(rows.tolist(), bounds.tolist(), bounds[1:].tolist()):
+                yield i, found[low:high]
+
+
+_KEPT: dict[tuple[str, str], Pieces] = {}
+
+
+def kept_pieces(path: str, value: Callable[[list[int]], object], table: dict[str, object]) -> Pieces:
+    """The worker's own pieces of this kind, with the table: a value depends on nothing else."""
+    key = (path, value.__qualname__)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Pieces(path, value, table)
+    pieces = _KEPT[key]
+    if pieces.table is not table:
+        pieces.table = table
+        pieces.update(table)
+    return pieces
 
 
 def frequent_stretches(docs: DataFrame, text_col: str, id_col: str,

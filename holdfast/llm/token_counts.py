@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 First tier: a broadcast hash table from frequent pre-tokens to their lengths in tokens (at most
-65,536 short strings). Second tier: each Python worker's cache of the others, filled by the
-tokenizer and emptied when it holds 600,000. No pre-token is shuffled and no text leaves its
+65,536 short strings). Second tier: each Python worker's cache of the others, kept for its later
+tasks, filled by the tokenizer and emptied when it holds 600,000. No pre-token is shuffled and no text leaves its
 task, so the job is one scan at any size.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; texts are encoded whole, however
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.pieces import Pieces, frequent_stretches, frequent_table, tokenizer
+from holdfast.llm.pieces import frequent_stretches, frequent_table, kept_pieces, tokenizer
 from holdfast.llm.tables import whole_text
 
 LIMIT = 512
@@ -41,19 +41,18 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
-            pieces = Pieces(path, len, shared.value)
-            tokens = lambda text: sum(pieces.of(text))
+            lengths = kept_pieces(path, len, shared.value).lengths
         elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            tokens = lambda text: len(model.encode(text, num_threads=1))
+            lengths = lambda texts: [len(model.encode(t, num_threads=1)) for t in texts.to_pylist()]
         else:
-            tokens = lambda text: len(tokenizer(path).encode(text, add_special_tokens=False).ids)
+            encode = tokenizer(path).encode
+            lengths = lambda texts: [len(encode(t, add_special_tokens=False).ids) for t in texts.to_pylist()]
         for batch in batches:
-            lengths = [tokens(text) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lengths, pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(lengths(batch.column(2)), pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
