@@ -44,7 +44,8 @@ NONE = np.iinfo(np.int64).max
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words in lower case; cut first, as some letters are more than one when lowered."""
+    return [x.lower() for x in _WORD.findall(text)]
 
 
 def shingle_hashes(codes: np.ndarray, shingle: int) -> np.ndarray:
