@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.llm.tables import stored, whole_text
 
@@ -426,35 +426,80 @@ def _examined(rows: DataFrame, voters: Voters, vocabulary: list[str]) -> list[tu
     return sorted((r.spoken, r.found) for r in table.collect())
 
 
-def supported(patterns: DataFrame, size: int, texts: int) -> list[tuple[list[int], float]]:
-    """Patterns of the whole corpus in which another voter than a learned entry speaks, and weights.
+def supported(patterns: DataFrame, size: int, texts: int) -> DataFrame:
+    """``pattern, weight``: all patterns of the corpus in which another voter than a learned entry
+    speaks.
 
     However rare in the learning texts, each such voter has the weight of its texts in the corpus,
-    at most ``SUPPORT`` of the learning texts, dealt to its most frequent patterns.
+    at most ``SUPPORT`` of the learning texts, dealt to its patterns by their texts.
     """
-    rows = []
+    others = range(size - 1 - OTHERS, size - 1)
     spelled = patterns.where(F.length("pattern") > 0)
-    for voter in range(size - 1 - OTHERS, size - 1):
-        own = spelled.where(F.contains("pattern", F.lit(bytes([voter]))))
-        some = own.orderBy(c("texts").desc(), "pattern").limit(1_000).collect()
-        total = sum(r.texts for r in some)
-        rows += [(list(bytes(r.pattern)), r.texts / total * min(total, SUPPORT * texts)) for r in some]
-    return rows
-
-
-def fit_linear(spark: SparkSession, found: list[list[int]], toxic: np.ndarray, counts: np.ndarray,
-               size: int) -> tuple[float, np.ndarray]:
-    """Intercept and weights; each text counts in both classes by its posterior."""
-    schema = StructType(
-        [StructField("label", DoubleType()), StructField("share", DoubleType()), StructField("features", VectorUDT())]
-    )
-    rows = []
-    for at, p, n in zip(found, toxic, counts):
-        vector = SparseVector(size, at, [1.0] * len(at))
-        rows += [(y, float(w * n), vector) for y, w in ((1.0, p), (0.0, 1 - p)) if w > 1e-3]
-    if len({y for y, *_ in rows}) < 2:
-        return (0.0 if not rows else -30.0 if rows[0][0] == 0 else 30.0), np.zeros(size)
-    table = spark.createDataFrame(rows, schema)
+    of_voter = [F.when(F.contains("pattern", F.lit(bytes([v]))), c("texts")).otherwise(0) for v in others]
+    totals = spelled.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(f"v{n}") for n, x in enumerate(of_voter)]).first()
+    weight = F.lit(0.0)
+    for x, total in zip(of_voter, totals):
+        if total:
+            weight = weight + x * F.lit(min(total, SUPPORT * texts) / total)
+    return spelled.withColumn("weight", weight).where("weight > 0").select("pattern", "weight")
+
+
+# ``features`` has a place for each entry of the vocabulary and each voter for toxic beside the
+# learned ones; a text counts in both classes by its posterior.
+EXAMPLES = "features array<int>, toxic double, weight double"
+
+
+def supporting_examples(weighed: DataFrame, model: LabelModel, voters: Voters, vocabulary: list[str]) -> DataFrame:
+    """Examples of the classifier from vote patterns, in Spark."""
+    place = {x: i for i, x in enumerate(vocabulary)}
+    shared = weighed.sparkSession.sparkContext.broadcast((model, voters, place))
+
+    def example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, voters, place = shared.value
+        for batch in batches:
+            spoken = [list(x) for x in batch.column(0).to_pylist()]
+            if spoken:
+                entries = [sorted(place[voters.learned[i]] for i in p if i < len(voters.learned)) for p in spoken]
+                features = [features_of(x, p, voters, len(place)) for x, p in zip(entries, spoken)]
+                toxic = model.posterior(votes_of(spoken, len(voters)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(features, pa.list_(pa.int32())), pa.array(toxic, pa.float64()), batch.column(1)],
+                    names=["features", "toxic", "weight"],
+                )
+
+    return weighed.mapInArrow(example, EXAMPLES)
+
+
+def features_of(entries: list[int], spoken: list[int], voters: Voters, size: int) -> list[int]:
+    """The entries' places, and after the vocabulary's those of the other voters for toxic."""
+    own = len(voters.learned)
+    return entries + [size + i - own for i in spoken if own <= i < len(voters) - 1]
+
+
+def fit_linear(examples: DataFrame, size: int) -> tuple[float, np.ndarray]:
+    """Intercept and weights of the classifier of ``size`` features."""
+    sides = F.inline(F.array(
+        F.struct(F.lit(1.0).alias("label"), (c("toxic") * c("weight")).alias("share"), "features"),
+        F.struct(F.lit(0.0).alias("label"), ((1 - c("toxic")) * c("weight")).alias("share"), "features"),
+    ))
+    rows = examples.select(sides).where(c("share") > 1e-3)
+    classes = sorted(r.label for r in rows.select("label").distinct().collect())
+    if len(classes) < 2:
+        return (0.0 if not classes else -30.0 if classes[0] == 0 else 30.0), np.zeros(size)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1_000):
+                part = batch.slice(low, 1_000)
+                lists = part.column("features")
+                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                x = np.zeros((part.num_rows, size))
+                x[np.repeat(np.arange(part.num_rows), length), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("share"), vectors], names=["label", "share", "x"])
+
+    wide = rows.mapInArrow(dense, "label double, share double, x array<double>")
+    table = wide.select("label", "share", array_to_vector("x").alias("features"))
     model = LogisticRegression(weightCol="share", regParam=0.002, elasticNetParam=0.5, maxIter=60,
                                standardization=False).fit(table)
     return float(model.intercept), model.coefficients.toArray()
@@ -475,18 +520,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[flo
         return -30.0, {}, voters, [0.0] * OTHERS
     patterns = stored(vote_patterns(docs, voters), "toxicity-patterns")
     model = fit_labels(patterns, len(voters))
-    place = {x: i for i, x in enumerate(vocabulary)}
-    more = supported(patterns, len(voters), len(examined))
-    found = [f for _, f in examined] + [sorted(place[lexicon[i]] for i in p if i < len(lexicon)) for p, _ in more]
-    spoken = [v for v, _ in examined] + [p for p, _ in more]
-    # After the vocabulary, the voters for toxic that are not entries.
-    features = [
-        f + [len(vocabulary) + i - len(lexicon) for i in p if len(lexicon) <= i < len(voters) - 1]
-        for f, p in zip(found, spoken)
-    ]
-    toxic = model.posterior(votes_of(spoken, len(voters)))
-    counts = np.array([*[1.0] * len(examined), *(n for _, n in more)])
-    intercept, weights = fit_linear(docs.sparkSession, features, toxic, counts, len(vocabulary) + OTHERS)
+    toxic = model.posterior(votes_of([v for v, _ in examined], len(voters)))
+    own = [(features_of(f, v, voters, len(vocabulary)), float(p), 1.0) for (v, f), p in zip(examined, toxic)]
+    more = supporting_examples(supported(patterns, len(voters), len(examined)), model, voters, vocabulary)
+    examples = stored(docs.sparkSession.createDataFrame(own, EXAMPLES).unionByName(more), "toxicity-examples")
+    intercept, weights = fit_linear(examples, len(vocabulary) + OTHERS)
     entries = {x: float(w) for x, w in zip(vocabulary, weights) if w}
     return intercept, entries, voters, [float(w) for w in weights[len(vocabulary):]]
 

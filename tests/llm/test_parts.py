@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,11 +10,11 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from tokenizers import Tokenizer
 
-from holdfast.llm import exact_dedup, license_scan, mixing, order_minhash, quality, simhash, suffix_dedup, toxicity
-from holdfast.llm.packing import Packer, Piece, rows_of
+from holdfast.llm import exact_dedup, license_scan, mixing, order_minhash, packing, pieces, quality, simhash, suffix_dedup, toxicity
+from holdfast.llm.packing import Packer, Piece, as_bytes, rows_of
 from holdfast.llm.pieces import Pieces, frequent_table, stretches
 from tests.llm.test_queries import linked, removed_by_brute_force, simhash as hashed
 
@@ -27,22 +28,92 @@ BPE = Tokenizer.from_file(PATH)
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab1 \n\t .,'s!é \x1c <|endoftext|>"), max_size=60))
 def test_stretches_keep_the_ids(text):
-    pieces = Pieces(PATH, tuple, frequent_table(["a", "b1"], PATH, tuple))
-    assert [i for part in pieces.of(text) for i in part] == BPE.encode(text, add_special_tokens=False).ids
+    own = Pieces(PATH, tuple, frequent_table(["a", "b1"], PATH, tuple))
+    assert [i for part in own.of(text) for i in part] == BPE.encode(text, add_special_tokens=False).ids
     assert " ".join(stretches(text)) == text
 
 
 def test_the_cache_is_emptied(monkeypatch):
     monkeypatch.setattr("holdfast.llm.pieces.CACHE_SIZE", 5)
-    pieces = Pieces(PATH, len, frequent_table(["known"], PATH, len))
+    own = Pieces(PATH, len, frequent_table(["known"], PATH, len))
     text = " ".join(f"w{i}" for i in range(50)) + " known"
-    assert sum(pieces.of(text)) == len(BPE.encode(text).ids)
-    assert len(pieces) <= 7 and "known" in pieces
+    assert sum(own.of(text)) == len(BPE.encode(text).ids)
+    assert len(own) <= 7 and "known" in own
+
+
+ODD = st.text(st.sampled_from("ab1 \n\t .,'s!é \x1c\x85\u2003\u3000\x0b中 <|endoftext|>"), max_size=40)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(ODD, max_size=12), st.sampled_from([1 << 20, 10]), st.sampled_from([1 << 20, 3]))
+def test_batches_of_texts_are_coded_like_single_ones(texts, group, part):
+    """Also in small groups and parts, so that texts are cut in all ways."""
+    kept = pieces.GROUP, pieces.PART
+    pieces.GROUP, pieces.PART = group, part
+    try:
+        array = pa.array(texts, pa.string())
+        want = [BPE.encode(t, add_special_tokens=False).ids for t in texts]
+        own = Pieces(PATH, len, frequent_table(["a", "b1"], PATH, len))
+        assert own.lengths(array).tolist() == list(map(len, want))
+        own = Pieces(PATH, as_bytes, frequent_table(["a", "b1"], PATH, as_bytes))
+        found = dict(own.ids(array))
+        assert [np.frombuffer(found[i], "<u4").tolist() for i in range(len(texts))] == want
+    finally:
+        pieces.GROUP, pieces.PART = kept
+
+
+def test_arrow_and_python_agree_on_white_space():
+    """Texts that Arrow cuts have only spaces and line ends that Python's pattern calls clean."""
+    every = [f"a{chr(x)}b" for x in range(0x11000) if not 0xD800 <= x < 0xE000]
+    odd = pyarrow.compute.match_substring_regex(pa.array(every), pieces._ODD).to_pylist()
+    assert [t for t, o in zip(every, odd) if o] == [t for t in every if pieces._OTHER_SPACE.search(t)]
+
+
+def test_a_workers_pieces_are_kept_for_the_next_task():
+    table = frequent_table(["known"], PATH, len)
+    own = pieces.kept_pieces(PATH, len, table)
+    own.lengths(pa.array(["some unknownish words"]))
+    again = pieces.kept_pieces(PATH, len, dict(table))
+    assert again is own and "unknownish" in again
 
 
 # Packing
 
 
+@pytest.mark.parametrize("most", [1, 3, 9, 40])
+def test_short_texts_leave_little_padding(most):
+    draw = random.Random(most)
+    packer = Packer()
+    sizes = [draw.randint(1, most) for _ in range(20_000)]
+    sequences = [s for n, size in enumerate(sizes) for s in packer.add(Piece(n, bytes(4 * size), 0, size, size, 0))]
+    sequences += list(packer.end())
+    used = [sum(p.size() for p in s) for s in sequences]
+    assert sum(used) == sum(sizes) and max(used) <= 2048
+    assert sum(2048 - u for u in used if u & (u - 1)) == 0
+
+
+def test_prompts_bear_no_loss(spark, small_dir):
+    """Turns of conversations after what came before them, at most 64 loss-bearing tokens a sequence."""
+    turns = spark.read.parquet(f"{small_dir}/conversations.parquet")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    docs = turns.withColumn("prompt", F.lag("text").over(order)).select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "prompt", "text"
+    ).limit(200)
+    rows = docs.collect()
+    got = packing.pack_documents(docs, PATH, prompt_col="prompt", loss=64).collect()
+    size = lambda t: len(BPE.encode(t or "", add_special_tokens=False).ids)
+    whole = {r.doc_id: (size(r.prompt), size(r.prompt) + size(r.text) + 1) for r in rows}
+    taken, loss, tokens = Counter(), Counter(), Counter()
+    for r in got:
+        start, total = whole[r.doc_id]
+        assert r.doc_tokens == total
+        taken[r.doc_id] += r.length
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += max(0, r.start + r.length - max(r.start, start))
+    assert taken == {k: total for k, (_, total) in whole.items()}
+    assert max(tokens.values()) <= 2048 and max(loss.values()) == 64
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packing_keeps_all_three_limits(cut):
     draw = random.Random(3)
@@ -437,6 +508,30 @@ def test_the_exact_sibling_wins(notice, name):
     assert row == (name, 1.0, len(license_scan.words_of(notice)), 19, 19 + len(notice) - 1)
 
 
+@pytest.mark.parametrize("odd", ["İ", "ß", "ŉ", "ǰ", "İstanbul", "ΐ.ŉ"])
+def test_letters_that_grow_when_lowered(odd):
+    """Before, inside and after a notice; spans stay those of the text."""
+    index, notice = license_scan.Index.of(license_scan.TEMPLATES), "Released under the MIT License."
+    want = notice.rstrip(".")
+    for text in (f"{odd}. {notice}", f"{notice} {odd}", f"{odd} {odd} {notice} {odd} {notice}"):
+        rows = license_scan.scan(text, index)
+        assert len(rows) == text.count(notice)
+        assert all(text[r[3] : r[4]] == want for r in rows)
+    (row,) = license_scan.scan(f"Permission is {odd} hereby granted, free of charge, to any person obtaining a copy of this software", index)
+    assert row[3] == 0
+
+
+def test_all_patterns_of_other_voters_weigh(spark):
+    """More patterns than any limit would keep; their weights add up to the voter's."""
+    size = 20
+    first = size - 1 - toxicity.OTHERS
+    rows = [(bytes([first - 1 - i % 5, *([first] if i % 2 else [first + 1])]) + bytes([19] * (i // 10)), 1 + i % 3) for i in range(3000)]
+    patterns = spark.createDataFrame([(bytearray(p), n) for p, n in rows], "pattern binary, texts long")
+    got = toxicity.supported(patterns, size, 1000).collect()
+    assert len(got) == 3000
+    assert sum(r.weight for r in got) == pytest.approx(2 * toxicity.SUPPORT * 1000)
+
+
 def test_full_texts_are_their_own():
     index = license_scan.Index.of(license_scan.TEMPLATES)
     full = [n for n in index.names if n.endswith("-full")]
