@@ -517,8 +517,9 @@ def test_letters_that_grow_when_lowered(odd):
         rows = license_scan.scan(text, index)
         assert len(rows) == text.count(notice)
         assert all(text[r[3] : r[4]] == want for r in rows)
-    (row,) = license_scan.scan(f"Permission is {odd} hereby granted, free of charge, to any person obtaining a copy of this software", index)
-    assert row[3] == 0
+    text = f"{odd} Licensed under the Apache {odd} License, Version 2.0"
+    (row,) = license_scan.scan(text, index)
+    assert row[0].startswith("Apache-2.0") and text[row[3] : row[4]] == text[len(odd) + 1 :]
 
 
 def test_all_patterns_of_other_voters_weigh(spark):
