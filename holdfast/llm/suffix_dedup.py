@@ -49,7 +49,7 @@ BLOCK_BYTES, RANGE_HASHES, RANGE_ANCHORS, SLICE = 4 << 20, 400_000, 200_000, 1 <
 # are built and sorted at a time.
 CROWDED, RANGE_WINDOWS, ROWS = 20_000, 200_000, 1 << 16
 # Blocks, or merged groups of them, whose runs meet in a task.
-FAN = 64
+FAN = 1024
 
 c = F.col
 U = np.uint64
