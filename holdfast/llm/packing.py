@@ -19,9 +19,8 @@ where there is none.
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,9 +152,9 @@ class Packer:
         return bin_
 
 
-def as_bytes(ids: list[int]) -> bytes:
+def as_bytes(ids: Sequence[int] | np.ndarray) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.asarray(ids, "<u4").tobytes()
 
 
 SCHEMA = pa.schema(

@@ -4,8 +4,9 @@ The unit is a stretch of text cut before single spaces that stand between two ch
 are not white space. The vocabulary's own pre-tokens never reach across such a place and its
 merges never leave a pre-token, so encoding the stretches one by one gives the ids of the whole
 text. Stretches cost one hash lookup each; only unknown ones meet the tokenizer. Of those, plain
-ones (words, ASCII marks but the apostrophe, single line ends) are cut into their pre-tokens here,
-which are looked up or go to the tokenizer's model directly; it encodes all others whole.
+ones (words, ASCII marks but the apostrophe, single line ends) are cut into their pre-tokens here;
+the tokenizer encodes all others whole. Unknown pre-tokens are encoded many at once: where the
+file's ids are in the order of its merges, merging by rank gives the same ids (``by_rank``).
 
 Texts are taken some megabytes at a time: Arrow cuts them and finds the different stretches, each of
 these is looked up once, and numpy puts the values back in their places. What a worker has looked up
@@ -15,6 +16,7 @@ are cut one by one, a part at a time.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -31,7 +33,7 @@ TABLE_DOCS, TABLE_SIZE = 2_000, 65_536
 # Stretches a worker remembers beside the table, and the longest it remembers.
 CACHE_SIZE, LONGEST = 600_000, 64
 # Bytes of text that are cut at a time, and characters of a part of a longer text.
-GROUP, PART = 4 << 20, 1 << 20
+GROUP, PART = 8 << 20, 1 << 20
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -43,6 +45,10 @@ _ODD = (
 _PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)")
 
 
+# ASCII marks but the apostrophe.
+_MARKS = "".join(x for x in map(chr, range(33, 127)) if not x.isalnum() and x != "'")
+
+
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary: itself if
     it is printable and no space, else the next one from 256 on."""
@@ -52,6 +58,8 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+# Settings of a BPE file that merging by rank doesn't know.
+_OTHER_KINDS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
 
 
 @lru_cache(maxsize=4)
@@ -62,6 +70,32 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def by_rank(path: str):
+    """An encoder of whole lines by the file's merges, or None if its ids are not in their order.
+
+    A merged token's id then is its rank, so of all pairs that make up one token only the listed
+    pair can be met when its rank is due, and merging any neighbours whose bytes are the token of
+    the lowest id does what the list of merges says.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, merges = model.get("vocab"), model.get("merges")
+    if model.get("type") != "BPE" or not merges or any(model.get(x) for x in _OTHER_KINDS):
+        return None
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in merges]
+    if any(vocabulary.get(a + b) != 256 + n for n, (a, b) in enumerate(pairs)):
+        return None
+    byte_of = {letter: byte for byte, letter in LETTERS.items()}
+    names = [*LETTERS.values(), *(a + b for a, b in pairs)]
+    if any(letter not in byte_of for x in names for letter in x) or {vocabulary.get(x) for x in names[:256]} != {*range(256)}:
+        return None
+    ranks = {bytes(byte_of[letter] for letter in x): vocabulary[x] for x in names}
+    return tiktoken.Encoding("lines", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
+
+
 def stretches(text: str) -> list[str]:
     """The text cut before its clean single spaces; the spaces themselves are left out."""
     if (
@@ -97,50 +131,98 @@ class Pieces(dict):
     def __init__(self, path: str, value: Callable[[list[int]], object], table: dict[str, object]):
         super().__init__(table)
         self.path, self.value, self.table = path, value, table
-        self.model = tokenizer(path).model
+        self.model, self.lines = tokenizer(path).model, by_rank(path)
+        self.line_end = self.lines.encode_ordinary("\n")[0] if self.lines else None
         self.special = [token.content for token in tokenizer(path).get_added_tokens_decoder().values()]
+        self.lead = os.path.commonprefix(self.special)[:1] or "\n"
         self.inner: dict[str, object] = {}
         self.firsts: dict[str, object] = {}
 
     def encode(self, text: str) -> object:
         return self.value(tokenizer(self.path).encode(text, add_special_tokens=False).ids)
 
-    def pre_token(self, text: str) -> object:
-        letters = text.encode().decode("latin-1").translate(LETTERS)
-        return self.value([token.id for token in self.model.tokenize(letters)])
-
-    def without_space(self, part: str) -> object:
-        """Of a pre-token inside a stretch."""
-        found = self.inner.get(part)
-        if found is None:
-            found = self.pre_token(part)
-            if len(self.inner) >= CACHE_SIZE // 8:
-                self.inner.clear()
-            self.inner[part] = found
+    def pre_tokens(self, texts: list[str]) -> list:
+        """Of pre-tokens without line ends, encoded at once."""
+        if not self.lines:
+            letters = (x.encode().decode("latin-1").translate(LETTERS) for x in texts)
+            return [self.value([token.id for token in self.model.tokenize(x)]) for x in letters]
+        ids = self.lines.encode_to_numpy("\n".join([*texts, ""]), disallowed_special=())
+        ends = np.flatnonzero(ids == self.line_end)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        if self.value is len:
+            return (ends - starts).tolist()
+        if isinstance(self.value([]), bytes):
+            data = ids.astype("<u4", copy=False).tobytes()
+            return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+        return [self.value(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def parts(self, stretch: str) -> list[str] | None:
+        """The pre-tokens of a plain stretch."""
+        if len(stretch) > LONGEST:
+            return None
+        # Most are a word and a run of marks.
+        word = stretch.rstrip(_MARKS)
+        if word.isalpha() and self.lead not in stretch:
+            return [word, stretch[len(word) :]] if len(word) < len(stretch) else [word]
+        found = _PARTS.findall(stretch)
+        if (
+            "".join(found) == stretch
+            and all(x.isalpha() or x.isascii() for x in found)
+            and not any(x in stretch for x in self.special)
+        ):
+            return found
+        return None
+
+    def _keep(self, store: dict, before: str, keys: dict[str, None], most: int) -> None:
+        """Encode ``keys`` (after ``before``); the store is emptied before it grows over ``most``."""
+        if len(store) + len(keys) > most:
+            store.clear()
+            if store is self:
+                store.update(self.table)
+        # A line end can't stand in a line; it is a pre-token of its own.
+        plain = [x for x in keys if "\n" not in x]
+        if plain:
+            store.update(zip(plain, self.pre_tokens([before + x for x in plain] if before else plain)))
+        if len(plain) < len(keys):
+            store.update((x, self.encode(before + x)) for x in keys if "\n" in x)
+
+    def values_of(self, words: list[str]) -> list:
+        """Values of stretches, each with its space; unknown ones are encoded together."""
+        found = [self.get(x) for x in words]
+        # As many at a time as the caches hold.
+        step = max(1, CACHE_SIZE // 16)
+        unknown = [i for i, value in enumerate(found) if value is None]
+        for low in range(0, len(unknown), step):
+            whole, cut, inner = [], [], {}
+            for i in unknown[low : low + step]:
+                parts = self.parts(words[i])
+                if not parts:
+                    found[i] = self.encode(" " + words[i])
+                elif len(parts) == 1:
+                    whole.append(i)
+                else:
+                    cut.append((i, parts))
+                    for x in parts[1:]:
+                        inner[x] = None
+            # All parts of this step, known ones too: emptying a store must lose none of them.
+            first = dict.fromkeys(words[i] for i in whole)
+            first.update(dict.fromkeys(parts[0] for _, parts in cut))
+            new = {x: None for x in first if x not in self}
+            self._keep(self, " ", new if len(self) + len(new) <= CACHE_SIZE + len(self.table) else first, CACHE_SIZE + len(self.table))
+            new = {x: None for x in inner if x not in self.inner}
+            most = max(CACHE_SIZE // 8, len(inner))
+            self._keep(self.inner, "", new if len(self.inner) + len(new) <= most else inner, most)
+            for i in whole:
+                found[i] = self[words[i]]
+            for i, parts in cut:
+                value = self[parts[0]]
+                for x in parts[1:]:
+                    value = value + self.inner[x]
+                found[i] = value
         return found
 
     def __missing__(self, stretch: str) -> object:
-        if stretch.isalpha():
-            found = self.pre_token(" " + stretch)
-        else:
-            parts = _PARTS.findall(stretch) if len(stretch) <= LONGEST else []
-            plain = (
-                "".join(parts) == stretch
-                and all(x.isalpha() or x.isascii() for x in parts)
-                and not any(x in stretch for x in self.special)
-            )
-            if plain and len(parts) > 1:
-                found = self[parts[0]]
-                for part in parts[1:]:
-                    found = found + self.without_space(part)
-                return found
-            found = self.pre_token(" " + stretch) if plain else self.encode(" " + stretch)
-        if len(stretch) <= LONGEST:
-            if len(self) >= CACHE_SIZE + len(self.table):
-                self.clear()
-                self.update(self.table)
-            self[stretch] = found
-        return found
+        return self.values_of([stretch])[0]
 
     def first(self, stretch: str) -> object:
         """Of the first stretch of a text, which has no space before it."""
@@ -157,11 +239,14 @@ class Pieces(dict):
         """Values of all stretches of ``text`` in order."""
         for n, part in enumerate(parts_of(text)):
             first, *rest = stretches(part)
-            if n:
-                yield self[first]
-            elif first:
-                yield self.first(first)
-            yield from map(self.__getitem__, rest)
+            if not n:
+                if first:
+                    yield self.first(first)
+            else:
+                rest.insert(0, first)
+            different = list(dict.fromkeys(rest))
+            known = dict(zip(different, self.values_of(different)))
+            yield from map(known.__getitem__, rest)
 
     def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
         """Of texts with clean single spaces: where each one's stretches begin, the number of each
@@ -174,9 +259,11 @@ class Pieces(dict):
         begin = offsets[:-1]
         leading, which = np.unique(index[begin], return_inverse=True)
         index[begin] = len(coded.dictionary) + which
-        inside = np.bincount(index, minlength=len(coded.dictionary)) > 0
-        words, nothing = coded.dictionary.to_pylist(), self.value([])
-        values = [self[w] if used else nothing for w, used in zip(words, inside)]
+        inside = np.bincount(index, minlength=len(coded.dictionary))[: len(coded.dictionary)] > 0
+        # Faster than to_pylist, which makes a scalar of each.
+        words, nothing = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.value([])
+        own = iter(self.values_of([w for w, used in zip(words, inside) if used]))
+        values = [next(own) if used else nothing for used in inside.tolist()]
         values += [self.first(words[i]) if words[i] else nothing for i in leading.tolist()]
         return offsets, index, values
 

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from holdfast.llm import exact_dedup, license_scan, mixing, order_minhash, packing, pieces, quality, simhash, suffix_dedup, toxicity
 from holdfast.llm.packing import Packer, Piece, as_bytes, rows_of
 from holdfast.llm.pieces import Pieces, frequent_table, stretches
+from tests.llm.conftest import rows_of as given_rows
 from tests.llm.test_queries import linked, removed_by_brute_force, simhash as hashed
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +63,25 @@ def test_batches_of_texts_are_coded_like_single_ones(texts, group, part):
         pieces.GROUP, pieces.PART = kept
 
 
+def test_merging_by_rank_is_the_tokenizers(small_dir, medium_dir):
+    """Every stretch of the given texts, and made-up ones; with and without merging by rank."""
+    draw, letters = random.Random(5), "aabetnsßéñ中日\U0001f600xqz,.;-\n"
+    texts = [t or "" for d in (small_dir, medium_dir) for _, t, _ in given_rows(d)]
+    made = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 14))) for _ in range(20_000)]
+    words = sorted({w for t in texts for w in stretches(t)} | set(made) - {""})
+    words = [w for w in words if w and " " not in w]
+    want = [tuple(e.ids) for e in BPE.encode_batch([" " + w for w in words], add_special_tokens=False)]
+    own = Pieces(PATH, tuple, {})
+    assert own.lines is not None and own.values_of(words) == want
+    other = Pieces(PATH, tuple, {})
+    other.lines = None
+    assert other.values_of(words[::7]) == want[::7]
+
+
+def test_other_kinds_of_files_are_not_merged_by_rank():
+    assert pieces.by_rank(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
 def test_arrow_and_python_agree_on_white_space():
     """Texts that Arrow cuts have only spaces and line ends that Python's pattern calls clean."""
     every = [f"a{chr(x)}b" for x in range(0x11000) if not 0xD800 <= x < 0xE000]
