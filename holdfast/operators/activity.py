@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -82,19 +83,20 @@ def activity_columns(as_of: date) -> list[str | Column]:
 
 
 def activity_features(
-    users: DataFrame, log: DataFrame, as_of: date, status: str | None = "active"
+    users: DataFrame, log: DataFrame, as_of: date, status: str | None = "active", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Users with their trade window, login recency and product flags: one row per user.
 
     Users without activity stay, with no trades and no trend; users who signed up after
     ``as_of`` are left out. The aggregation's shuffle on ``user_id`` serves the join as well.
-    ``status`` is the present one: the users table keeps no history of it.
+    ``status`` is the present one: the users table keeps no history of it. ``keep`` names further
+    columns of the users to carry along.
     """
     users = users.filter(c("account_created_date") <= F.lit(as_of))
     if status is not None:
         users = users.filter(c("status") == status)
     summary = summarize_activity(log, as_of)
-    return users.join(summary, "user_id", "left").select(*activity_columns(as_of))
+    return users.join(summary, "user_id", "left").select(*activity_columns(as_of), *keep)
 
 
 def portfolio_return(snapshots: DataFrame, lag_rows: int = 30) -> DataFrame:

@@ -22,6 +22,7 @@ _MOST_BUCKETS = 16_384
 
 _BUCKET = "__bucket"
 _HASH = "__hash"
+_EDGES = "__edges"
 
 
 def _wanted_buckets(spark: SparkSession) -> int:
@@ -42,32 +43,37 @@ def _hash_digits(spark: SparkSession) -> int:
 def _with_value_bucket(distinct: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     """Number the value range in order, with about as many distinct rows under each number.
 
-    The edges are approximate quantiles of the distinct values, taken by one job of their own:
-    a few thousand numbers, which every branch of the query gets as the same literal. A row
-    finds its bucket in two steps, among the first edges of all stretches and then inside one.
+    The edges are approximate quantiles of the distinct values: a few thousand numbers, a scalar
+    subquery of the same plan, so nothing runs while the plan is built. A row finds its bucket in
+    two steps, among the first edges of all stretches and then inside one.
 
-    Values whose sums are all NULL are left out. That filter makes every branch of the query
-    read all the sums, so that all branches share one aggregation, and the source is scanned
-    and shuffled once.
+    Values whose sums are all NULL are left out. That filter makes every branch of the query,
+    the subquery too, read all the sums, so that all share one aggregation, and the source is
+    scanned and shuffled once.
     """
     distinct = distinct.filter(F.coalesce(*names).isNotNull())
     buckets = min(_MOST_BUCKETS, max(16, _wanted_buckets(distinct.sparkSession)))
     position = c(value).cast("double")
     shares = _literal([i / buckets for i in range(1, buckets)])
-    found = distinct.agg(F.percentile_approx(position, shares, F.lit(4 * buckets))).first()[0]
-    edges = sorted({x for x in found or ()})
-    if not edges:
-        return distinct.withColumn(_BUCKET, F.lit(0))
-    stride = math.ceil(math.sqrt(len(edges)))
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.lit((len(edges) - 1) // stride)),
-        lambda i: F.slice(_literal(edges), i * stride + 1, F.lit(stride)),
-    )
-    reached = F.size(F.filter(_literal(edges[::stride]), lambda edge: edge <= position))
+    stride = math.ceil(math.sqrt(buckets))
+    found = distinct.agg(F.percentile_approx(position, shares, F.lit(4 * buckets)).alias("found"))
+    edges = F.array_sort(F.array_distinct(F.coalesce("found", F.array().cast("array<double>"))))
+    last = F.floor((F.size("edges") - 1) / F.lit(stride)).cast("int")
+    starts = F.when(F.size("edges") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    stretches = F.transform("starts", lambda i: F.slice("edges", i * stride + 1, F.lit(stride)))
+    firsts = F.transform("starts", lambda i: F.get(c("edges"), i * stride))
+    table = (
+        found.select(edges.alias("edges"))
+        .withColumn("starts", starts)
+        .select(F.struct(firsts.alias("firsts"), stretches.alias("stretches")).alias("table"))
+    ).scalar()
+    firsts, stretches = (c(_EDGES)[name] for name in ("firsts", "stretches"))
+    reached = F.size(F.filter(firsts, lambda edge: edge <= position))
     inside = F.size(F.filter(F.get(stretches, reached - 1), lambda edge: edge <= position))
     place = F.when(reached == 0, F.lit(0)).otherwise((reached - 1) * stride + inside)
     # Never NULL, and known to be: else the join would filter one branch and part it from the other.
-    return distinct.withColumn(_BUCKET, F.coalesce(place, F.lit(0)))
+    placed = distinct.withColumn(_EDGES, table).withColumn(_BUCKET, F.coalesce(place, F.lit(0)))
+    return placed.drop(_EDGES)
 
 
 def per_value(

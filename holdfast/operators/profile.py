@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 
 from holdfast.functions.bins import ordinal
 from holdfast.functions.features import ratio
-from holdfast.operators.ordering import exact_quantiles, per_value, quantiles_of
+from holdfast.operators.radix import radix_quantiles
 
 c = F.col
 
@@ -23,6 +23,28 @@ def rate_by(df: DataFrame, key: str, target: str = "churned") -> DataFrame:
     )
 
 
+def rates_by(df: DataFrame, keys: Sequence[str], target: str = "churned") -> DataFrame:
+    """``dimension, value, churn_rate, n_users``: :func:`rate_by` for each key, from one scan.
+
+    Each row is counted once per key inside its task; shuffled is one row per value and task.
+    """
+    names = list(keys)
+    grouped = df.groupingSets([[c(name)] for name in names], *map(c, names)).agg(
+        F.grouping_id().alias("gid"),
+        F.avg(target).alias("churn_rate"),
+        F.count(target).alias("n_users"),
+    )
+    # In a key's set all bits but its own are on.
+    all_bits = 2 ** len(names) - 1
+    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, name in enumerate(names):
+        own = c("gid") == all_bits - 2 ** (len(names) - 1 - i)
+        dimension = F.when(own, name).otherwise(dimension)
+        value = F.when(own, c(name).cast("string")).otherwise(value)
+    rows = grouped.select(dimension.alias("dimension"), value.alias("value"), "churn_rate", "n_users")
+    return rows.filter(c("value").isNotNull())
+
+
 def label_domain(spark: SparkSession, key: str, labels: Sequence[str]) -> DataFrame:
     """One row per label, in one partition."""
     rows = F.explode(F.array(*[F.lit(label) for label in labels]))
@@ -91,7 +113,7 @@ def describe(df: DataFrame) -> DataFrame:
     tall = df.select(*[c(name).cast("double").alias(name) for name in columns]).unpivot(
         [], columns, "column_name", "value"
     )
-    quartiles = exact_quantiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
+    quartiles = radix_quantiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
     return moments.join(quartiles, "column_name", "left").select(
         "column_name", "n", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
@@ -125,6 +147,46 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return upper.select(F.inline(one_way))
 
 
+def comoment_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`correlation_matrix` for many columns: one aggregate, whatever their number.
+
+    A row becomes its pairs of known values inside its task, so a pair counts the rows in which
+    both are known, and the plan doesn't grow with the columns. A pair that no row knows has no row.
+    """
+    values = F.array(*[c(name).cast("double") for name in columns])
+    names = F.array(*[F.lit(name) for name in columns])
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(len(columns))),
+            lambda i: F.transform(
+                F.sequence(i, F.lit(len(columns))),
+                lambda j: F.struct(
+                    i.alias("i"), j.alias("j"),
+                    F.element_at("x", i).alias("a"), F.element_at("x", j).alias("b"),
+                ),
+            ),
+        )
+    )
+    known = df.select(values.alias("x")).select(F.inline(pairs))
+    known = known.filter(c("a").isNotNull() & c("b").isNotNull())
+    # A constant has no correlation: F.corr divides by its deviation.
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    upper = known.groupBy("i", "j").agg(
+        ratio(F.covar_pop("a", "b"), spread).alias("correlation"), F.count(F.lit(1)).alias("n")
+    )
+    both = F.array(
+        F.struct("i", "j", "correlation", "n"),
+        F.struct(c("j").alias("i"), c("i").alias("j"), "correlation", "n"),
+    )
+    one_way = F.slice(both, 1, F.when(c("i") == c("j"), 1).otherwise(2))
+    return upper.select(F.inline(one_way)).select(
+        F.element_at(names, c("i")).alias("feature_a"),
+        F.element_at(names, c("j")).alias("feature_b"),
+        "correlation",
+        "n",
+    )
+
+
 def correlation_with(df: DataFrame, target: str) -> DataFrame:
     """Correlation of every numeric column with ``target``, strongest positive first."""
     pairs = [(name, target) for name in numeric_columns(df)]
@@ -175,15 +237,15 @@ def histogram(
 def boxplot(df: DataFrame, value: str, by: str, classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Quartiles, whiskers (extremes within 1.5 quartile ranges) and outlier count per class.
 
-    Everything is read off the counts of the distinct values, so the rows are scanned once.
-    The quartile table has one row per entry of ``classes``, so broadcasting it is bounded.
+    Four scans find the quartiles and one the rest; no value is shuffled. The quartile table has
+    one row per entry of ``classes``, so broadcasting it is bounded.
     """
-    counts = per_value(_per_class(df, by, classes, value), "value", {"n": F.lit(1)}, [by])
-    quartiles = quantiles_of(counts, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+    rows = _per_class(df, by, classes, value)
+    quartiles = radix_quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
     reach = F.lit(1.5) * (c("q3") - c("q1"))
     inside = c("value").between(c("q1") - reach, c("q3") + reach)
     return (
-        counts.join(F.broadcast(quartiles), by)
+        rows.join(F.broadcast(quartiles), by)
         .groupBy(by)
         .agg(
             F.max("q1").alias("q1"),
@@ -191,6 +253,6 @@ def boxplot(df: DataFrame, value: str, by: str, classes: Sequence[int] = (0, 1))
             F.max("q3").alias("q3"),
             F.min(F.when(inside, c("value"))).alias("whisker_lo"),
             F.max(F.when(inside, c("value"))).alias("whisker_hi"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(c("n"))).alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )

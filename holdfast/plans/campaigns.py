@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions import features as f
+from holdfast.operators.distinct import key_bitmaps, rolled_up, trailing
+from holdfast.operators.intervals import interval_join
+from holdfast.operators.resampling import bootstrap_rates, percentile_interval, wilson_interval
 
 c = F.col
 
@@ -198,3 +201,156 @@ def ab_test(
         .withColumn("std_error", F.sqrt(rate * (F.lit(1.0) - rate) / c("n_users")))
         .withColumns({"ci_lower": rate - margin, "ci_upper": rate + margin})
     )
+
+
+# Names of the sets of users that reach reports count.
+REACH_SETS = ("users", "users_with_intervention", "retained")
+
+
+def contact_bitmaps(users: DataFrame, interventions: DataFrame) -> DataFrame:
+    """Sets of users per cohort month, segment and contact day, as bitmaps.
+
+    The log may name a user any number of times; equal (user, day) rows are one before the join.
+    A user without a contact is in the sets of a day that is NULL.
+    """
+    contacts = interventions.select("user_id", "intervention_date").distinct()
+    created = c("account_created_date")
+    reached = c("intervention_date") >= created
+    rows = (
+        users.select("user_id", "segment", "account_created_date", "status")
+        .join(contacts, "user_id", "left")
+        .withColumn("cohort_month", F.trunc(created, "MM"))
+    )
+    sets = {"users": F.lit(True), "users_with_intervention": reached, "retained": reached & (c("status") == "active")}
+    return key_bitmaps(rows, "user_id", ["cohort_month", "segment", "intervention_date"], sets)
+
+
+def contact_reach(bitmaps: DataFrame) -> DataFrame:
+    """Distinct users in each set per cohort and segment, per cohort, per contact day, and over all,
+    all from the bitmaps of the finest groups."""
+    levels = {
+        "cohort_segment": ["cohort_month", "segment"],
+        "cohort": ["cohort_month"],
+        "day": ["intervention_date"],
+        "all": [],
+    }
+    return rolled_up(bitmaps, levels, REACH_SETS)
+
+
+def contacted_users(interventions: DataFrame, as_of: date, days: int = 7) -> DataFrame:
+    """Distinct users contacted on each day, and in the ``days`` days up to it."""
+    bitmaps = key_bitmaps(interventions, "user_id", ["intervention_date"], {"n": F.lit(True)})
+    wide = trailing(bitmaps, "intervention_date", days, ["n"], F.lit(as_of)).withColumnRenamed("n", "users_trailing")
+    daily = trailing(bitmaps, "intervention_date", 1, ["n"], F.lit(as_of)).withColumnRenamed("n", "users_day")
+    return wide.join(daily, "intervention_date", "left").select(
+        "intervention_date", F.coalesce("users_day", F.lit(0).cast("bigint")).alias("users_day"), "users_trailing"
+    )
+
+
+def signup_contacts(users: DataFrame, interventions: DataFrame, as_of: date, days: int = 90) -> DataFrame:
+    """Contacts in the first ``days`` days of each cohort's users, and the wait for the first one.
+
+    Unlike the last contact, which tells whether there was one, the interval join counts them.
+    """
+    contacts = (
+        interventions.filter(c("intervention_date") <= F.lit(as_of))
+        .groupBy("user_id", "intervention_date")
+        .agg(F.count(F.lit(1)).alias("contacts"))
+    )
+    created = c("account_created_date")
+    watched = users.select("user_id", created, F.date_add(created, days).alias("until"))
+    met = (
+        interval_join(watched, contacts, "account_created_date", "until", "intervention_date", days, ["user_id"])
+        .groupBy("user_id")
+        .agg(F.sum("contacts").alias("contacts"), F.min(F.datediff("intervention_date", created)).alias("wait"))
+    )
+    return (
+        users.select("user_id", "segment", F.trunc(created, "MM").alias("cohort_month"))
+        .join(met, "user_id", "left")
+        .groupBy("cohort_month", "segment")
+        .agg(
+            F.count(F.lit(1)).alias("n_users"),
+            F.count("contacts").alias("contacted_users"),
+            F.coalesce(F.sum("contacts"), F.lit(0)).alias("n_contacts"),
+            F.avg("wait").alias("avg_days_to_contact"),
+        )
+    )
+
+
+def market_after_signup(users: DataFrame, returns: DataFrame, days: int = 30) -> DataFrame:
+    """Mean daily market return over the first ``days`` days of a cohort's users.
+
+    Users meet market days by time alone: no key but the band of days. Users of a day and segment
+    are one row before the join.
+    """
+    created = c("account_created_date")
+    starts = users.groupBy("segment", created).agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.withColumn("until", F.date_add(created, days - 1))
+    pairs = interval_join(starts, returns, "account_created_date", "until", "date", days)
+    return (
+        pairs.groupBy(F.trunc(created, "MM").alias("cohort_month"), "segment")
+        .agg(
+            F.sum("n").alias("n_user_days"),
+            f.ratio(F.sum(c("n") * c("daily_return")), F.sum("n")).alias("avg_return"),
+        )
+    )
+
+
+def ab_bootstrap(
+    enrollments: DataFrame,
+    users: DataFrame,
+    as_of: date,
+    test_name: str,
+    control: str = "control",
+    history_days: int = 60,
+    horizon_days: int = 30,
+    replicates: int = 200,
+) -> DataFrame:
+    """Churn rate of each variant and its difference to ``control``, with 95 % intervals from
+    Poisson bootstrap replicates, and the variant's Wilson interval.
+
+    Users enrolled too recently to have been watched for the whole horizon don't count, nor does
+    churn before enrollment. A user is drawn as often in every variant of a replicate, which the
+    variants' difference needs if someone is in two.
+    """
+    enrolled = enrollments.filter(
+        (c("test_name") == test_name)
+        & c("enrolled_date").between(
+            F.date_sub(F.lit(as_of), history_days), F.date_sub(F.lit(as_of), horizon_days)
+        )
+    ).select("user_id", "variant", "enrolled_date")
+    rows = enrolled.join(users.select("user_id", "churned_date"), "user_id")
+    churned = F.datediff("churned_date", "enrolled_date").between(0, horizon_days)
+    observed = rows.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n_users"), F.count_if(churned).alias("churned_count")
+    )
+    # One row per variant and replicate.
+    drawn = bootstrap_rates(rows, "user_id", ["variant"], churned, replicates)
+    base = drawn.filter(c("variant") == control).select("replicate", c("rate").alias("base"))
+    interval = (
+        drawn.join(base, "replicate", "left")
+        .groupBy("variant")
+        .agg(percentile_interval(c("rate")).alias("own"), percentile_interval(c("rate") - c("base")).alias("lift"))
+    )
+    of_control = F.max(F.when(c("variant") == control, c("churn_rate")))
+    # One row: the rate of the control.
+    reference = observed.withColumn("churn_rate", f.ratio(c("churned_count"), c("n_users"))).agg(of_control.alias("control_rate"))
+    low, high = wilson_interval(c("churned_count"), c("n_users"))
+    return (
+        observed.withColumn("churn_rate", f.ratio(c("churned_count"), c("n_users")))
+        .join(interval, "variant")
+        .withColumn("control_rate", reference.scalar())
+        .select(
+            "variant",
+            "n_users",
+            "churned_count",
+            "churn_rate",
+            c("own")[0].alias("ci_lower"),
+            c("own")[1].alias("ci_upper"),
+            low.alias("wilson_lower"),
+            high.alias("wilson_upper"),
+            (c("churn_rate") - c("control_rate")).alias("lift"),
+            c("lift")[0].alias("lift_lower"),
+            c("lift")[1].alias("lift_upper"),
+        )
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,16 +21,30 @@ from holdfast.operators import market, metrics, profile
 from holdfast.operators.activity import activity_features, activity_log, portfolio_return
 from holdfast.operators.ordering import hashed_sample
 from holdfast.operators.sampling import class_weights, stratified_split
-from holdfast.plans import campaigns, training
+from holdfast.plans import campaigns, daily, training
 from holdfast.plans.feature_table import user_features
 from holdfast.plans.scoring import interaction_features, model_scores, scoring_report, user_segments
 from holdfast.session import RUN_DIR, fresh_path
-from holdfast.sources import stores
+from holdfast.sources import stores, typed_csv
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEST_NAME = "yield_education_intervention"
+RATE_KEYS = ("segment", "yield_adoption", "advanced_trading", "n_assets", "age_bucket", "risk_segment")
+# Numeric columns of the feature table, and those where 0 stands for an unknown value.
+COMOMENT_FEATURES = (
+    "user_id", "account_age_days", "portfolio_value", "n_assets", "trades_30d", "avg_trade_size",
+    "days_since_login", "trade_freq_trend", "yield_adoption", "advanced_trading", "volatility_sensitivity",
+    "portfolio_return_30d", "churned", "trading_intensity", "portfolio_concentration", "engagement_score",
+    "high_risk_profile",
+)
+SPARSE_FEATURES = ("avg_trade_size", "trade_freq_trend")
+# Days that the daily runs are followed for.
+RING_DAYS, WINDOW_DAYS = 5, 20
+BUCKETS = 8
+# Share of a column's cells that may miss its type.
+TOLERANCE = 0.05
 _QUERIES: dict[str, Query] = {}
 
 
@@ -106,6 +120,31 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("ab_test_bootstrap")
+def _(t: Tables) -> DataFrame:
+    return campaigns.ab_bootstrap(t.enrollments(), t.users(), t.as_of, TEST_NAME)
+
+
+@query("contact_reach")
+def _(t: Tables) -> DataFrame:
+    return campaigns.contact_reach(campaigns.contact_bitmaps(t.users(), t.interventions()))
+
+
+@query("contacted_users_trailing")
+def _(t: Tables) -> DataFrame:
+    return campaigns.contacted_users(t.interventions(), t.as_of)
+
+
+@query("signup_contacts")
+def _(t: Tables) -> DataFrame:
+    return campaigns.signup_contacts(t.users(), t.interventions(), t.as_of)
+
+
+@query("market_after_signup")
+def _(t: Tables) -> DataFrame:
+    return campaigns.market_after_signup(t.users(), t.market_returns())
+
+
 # Features
 
 
@@ -178,6 +217,14 @@ def _(t: Tables) -> DataFrame:
     return profile.complete(rates, "risk_segment", RISK_SEGMENT_LABELS[::-1])
 
 
+@query("churn_by_all")
+def _(t: Tables) -> DataFrame:
+    """All the rates above from one scan."""
+    bucketed = right_closed("account_age_days", AGE_BUCKET)
+    rows = user_segments(t.user_features()).withColumn("age_bucket", bucketed)
+    return profile.rates_by(rows, RATE_KEYS)
+
+
 @query("profile_shape")
 def _(t: Tables) -> DataFrame:
     return profile.shape(t.user_features())
@@ -208,6 +255,14 @@ def _(t: Tables) -> DataFrame:
     return profile.correlation_matrix(t.user_features(), HEATMAP_FEATURES)
 
 
+@query("comoment_matrix")
+def _(t: Tables) -> DataFrame:
+    """All numeric features, unknown values as they are before filling."""
+    unknown = {name: F.when(c(name) != 0, c(name)).alias(name) for name in SPARSE_FEATURES}
+    rows = t.user_features()
+    return profile.comoment_matrix(rows.select(*[unknown.get(n, c(n)) for n in COMOMENT_FEATURES]), COMOMENT_FEATURES)
+
+
 @query("histogram_by_class")
 def _(t: Tables) -> DataFrame:
     return profile.histogram(t.user_features(), "days_since_login", "churned")
@@ -406,6 +461,94 @@ def _(t: Tables) -> DataFrame:
     return campaigns.model_calibration(stores.read_scores(t.spark, path), t.users(), t.as_of)
 
 
+def _last_days(t: Tables, n: int) -> list[date]:
+    return [t.as_of - timedelta(days=back) for back in range(n - 1, -1, -1)]
+
+
+@query("portfolio_return_daily")
+def _(t: Tables) -> DataFrame:
+    """The last days' returns, each from that day's snapshots and the state of the day before."""
+    days, stored = _last_days(t, RING_DAYS), fresh_path(t.spark, "snapshots")
+    stores.write_days(t.snapshots(), stored, "snapshot_date")
+    schema = "user_id BIGINT, portfolio_value DOUBLE, day DATE"
+    snapshots = t.spark.read.schema(schema).parquet(stored).withColumnRenamed("day", "snapshot_date")
+    state = fresh_path(t.spark, "rings")
+    daily.first_ring(snapshots, days[0] - timedelta(days=1), state)
+    for day in days:
+        daily.advance_ring(t.spark, snapshots, day, state)
+    return daily.returns_of(t.spark, state, days)
+
+
+@query("activity_windows_daily")
+def _(t: Tables) -> DataFrame:
+    """The trade windows of the last days, slid on from day to day."""
+    days, deltas, state = _last_days(t, WINDOW_DAYS), fresh_path(t.spark, "deltas"), fresh_path(t.spark, "windows")
+    stores.write_days(daily.daily_trades(t.trades()), deltas)
+    changes = t.spark.read.schema(daily.DELTA_SCHEMA).parquet(deltas)
+    daily.first_windows(changes, days[0] - timedelta(days=1), state)
+    for day in days:
+        daily.advance_windows(t.spark, deltas, day, state)
+    return daily.windows_of(t.spark, state, days)
+
+
+def _bucketed(t: Tables, rows: DataFrame, name: str, day: str | None = None) -> DataFrame:
+    path = fresh_path(t.spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    return stores.write_bucketed(rows, table, path, "user_id", BUCKETS, day)
+
+
+@query("bucketed_targeting")
+def _(t: Tables) -> DataFrame:
+    """Targets from scores and users dealt by user: they meet without a shuffle."""
+    scores = t.recent_scores().withColumn("score_date", F.to_date("scored_at"))
+    users = t.users().select("user_id", "email", "segment")
+    return campaigns.high_risk_targets(
+        _bucketed(t, scores, "scores", "score_date"), _bucketed(t, users, "users"), t.as_of
+    )
+
+
+@query("bucketed_calibration")
+def _(t: Tables) -> DataFrame:
+    scores = t.logged_scores().withColumn("score_date", F.to_date("scored_at"))
+    users = t.users().select("user_id", "churned_date")
+    return campaigns.model_calibration(
+        _bucketed(t, scores, "scores", "score_date"), _bucketed(t, users, "users"), t.as_of
+    )
+
+
+def _untyped_csv(t: Tables) -> str:
+    """The users as CSV, with cells that don't fit their column in some rows."""
+    path = fresh_path(t.spark, "users_csv")
+    key = c("user_id")
+    rows = t.users().select(
+        key,
+        "segment",
+        F.when(key % 50 == 1, "n/a").otherwise(c("portfolio_value").cast("string")).alias("portfolio_value"),
+        F.when(key % 60 == 2, "many").when(key % 3 > 0, c("n_assets").cast("string")).alias("n_assets"),
+        F.when(key % 70 == 3, "2023-13-45").otherwise(c("account_created_date").cast("string")).alias("created"),
+        (c("status") == "churned").alias("churned"),
+        (key * 3_000_000_000).alias("big"),
+    )
+    stores.write_csv(rows, path)
+    return path
+
+
+@query("csv_inferred_types")
+def _(t: Tables) -> DataFrame:
+    return typed_csv.column_types(typed_csv.read_cells(t.spark, _untyped_csv(t)), TOLERANCE)
+
+
+@query("csv_quarantine")
+def _(t: Tables) -> DataFrame:
+    table = typed_csv.read_typed_csv(t.spark, _untyped_csv(t), TOLERANCE)
+    return typed_csv.quarantine(table, ["user_id"])
+
+
+@query("csv_typed")
+def _(t: Tables) -> DataFrame:
+    return typed_csv.read_typed_csv(t.spark, _untyped_csv(t), TOLERANCE).drop(typed_csv.BAD)
+
+
 # Models
 
 _TRAININGS: dict[tuple, training.Training] = {}
@@ -515,3 +658,9 @@ def _(t: Tables) -> DataFrame:
     encoded = [f"{name}_encoded" for name in CATEGORICAL]
     wide = models.data.rows.drop(*encoded).withColumn("label", c("churned"))
     return training.score(loaded, wide, name, "user_id")
+
+
+@query("model_checks")
+def _(t: Tables) -> DataFrame:
+    """What must hold of the trained models, counted."""
+    return training.model_checks(trained(t), fresh_path(t.spark, "checked"))

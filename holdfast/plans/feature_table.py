@@ -41,15 +41,16 @@ def user_features(
     A user without a login so far counts as away since sign-up. The operational tables have no
     ``volatility_sensitivity``; a model on this table leaves it out.
     """
-    base = activity_features(users, log, as_of, status=None)
+    base = activity_features(users, log, as_of, status=None, keep=["status"])
     returns = (
         portfolio_return(snapshots.filter(c("snapshot_date") <= F.lit(as_of)))
         .filter(c("snapshot_date") == F.lit(as_of))
         .select("user_id", "portfolio_return_30d")
     )
-    label = users.select("user_id", f.flag(c("status") == "churned").alias("churned"))
-    joined = base.join(returns, "user_id", "left").join(label, "user_id")
-    known = joined.withColumn(
-        "days_since_login", F.coalesce("days_since_login", "account_age_days").cast("double")
-    ).fillna(dict(fills))
-    return add_derived_features(known)
+    known = base.join(returns, "user_id", "left").withColumns(
+        {
+            "days_since_login": F.coalesce("days_since_login", "account_age_days").cast("double"),
+            "churned": f.flag(c("status") == "churned"),
+        }
+    )
+    return add_derived_features(known.drop("status").fillna(dict(fills)))

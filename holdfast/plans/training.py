@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
@@ -14,14 +16,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from holdfast.config import CATEGORICAL, MODEL_FEATURES
 from holdfast.operators import metrics
 from holdfast.operators.ordering import hashed_rank, hashed_sample
 from holdfast.operators.sampling import class_weights, stratified_split
 from holdfast.plans.scoring import interaction_features, user_segments
-from holdfast.session import materialize
+from holdfast.session import fresh_path, materialize
 
 c = F.col
 
@@ -208,11 +210,29 @@ def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
     return best + 1
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model's first ``n`` trees, cut from its stored form.
+
+    Each tree is fitted to what the earlier ones left over, so the first trees of a long ensemble
+    are those of a short one. A stored ensemble is a table of nodes, a table of trees, and their
+    number in one line of text.
+    """
+    spark = SparkSession.getActiveSession()
+    whole, cut = fresh_path(spark, "boosting"), fresh_path(spark, "boosting-cut")
+    model.write().save(whole)
+    spark.read.parquet(f"{whole}/data").filter(c("treeID") < n).write.parquet(f"{cut}/data")
+    trees = spark.read.parquet(f"{whole}/treesMetadata")
+    trees.filter(c(trees.columns[0]) < n).write.parquet(f"{cut}/treesMetadata")
+    line = json.loads(spark.read.text(f"{whole}/metadata").first()[0]) | {"numTrees": n}
+    spark.createDataFrame([(json.dumps(line),)], "value STRING").coalesce(1).write.text(f"{cut}/metadata")
+    return GBTClassificationModel.load(cut)
+
+
 def fit_boosting(data: Prepared) -> Transformer:
     """Boosted trees, cut at the best validation loss.
 
-    The built-in validation rule is a tolerance, not a patience, so all rounds are trained, the
-    losses read off, and the kept rounds trained again with the same seed.
+    The built-in validation rule is a tolerance, not a patience, so all rounds are trained once,
+    the losses read off, and the ensemble is cut to the kept rounds.
     """
     trainer = GBTClassifier(
         labelCol="label",
@@ -222,14 +242,11 @@ def fit_boosting(data: Prepared) -> Transformer:
         maxMemoryInMB=TREE_BUFFER_MB,
         **BOOSTING,
     )
-    train = data.part("train")
-    model = trainer.fit(train)
+    model = trainer.fit(data.part("train"))
     unweighted = data.part("val").withColumn("positive", F.lit(1.0))
     losses = list(model.evaluateEachIteration(unweighted))
     rounds = best_round(losses)
-    if rounds < len(losses):
-        model = trainer.copy({trainer.maxIter: rounds}).fit(train)
-    return model
+    return model if rounds == len(losses) else first_trees(model, rounds)
 
 
 TRAINERS = {
@@ -308,6 +325,77 @@ class Training:
         return PipelineModel([*self.data.stages, self.model(name)])
 
 
+def _count(rows: DataFrame, model: str, **checks: Column) -> DataFrame:
+    """``model, name, n``: rows for which each check holds, in one pass."""
+    wide = rows.agg(*[F.count_if(check).alias(name) for name, check in checks.items()])
+    return wide.unpivot([], list(checks), "name", "n").select(F.lit(model).alias("model"), "name", "n")
+
+
+def gradient_size(model: LogisticRegressionModel, data: Prepared) -> float:
+    """Length of the penalised loss's gradient at the fitted weights; near zero at the optimum."""
+    n = sum(data.class_counts.values())
+    rows = model.transform(data.part("train"))
+    error = (vector_to_array("probability")[1] - c("label")) * c("balanced")
+    x = rows.select(error.alias("error"), "balanced", vector_to_array("features").alias("x"))
+    sums = x.agg(
+        F.sum("balanced"), F.sum("error"),
+        *[F.sum(c("error") * c("x")[i]) for i in range(len(data.features))],
+    ).first()
+    slopes = [part / sums[0] for part in sums[1:]]
+    penalty = 1.0 / (INVERSE_REGULARIZATION * n)
+    slopes[1:] = [g + penalty * w for g, w in zip(slopes[1:], model.coefficients.toArray())]
+    return sum(g * g for g in slopes) ** 0.5
+
+
+def model_checks(models: Training, path: str, tolerance: float = 1e-6) -> DataFrame:
+    """``model, name, n``: how many rows of each model keep what must hold of any fitted model.
+
+    Rows and positives per split, scores between 0 and 1, decisions at one half, equal scores after
+    saving and loading below ``path``; for the linear model also attributions that add up to the
+    difference of the logits, and whether its gradient vanishes.
+    """
+    found = []
+    for name in MODEL_ORDER:
+        for part in ("val", "test"):
+            scored = models.scored(name, part)
+            found.append(
+                _count(
+                    scored, name,
+                    **{
+                        f"{part}_rows": F.lit(True),
+                        f"{part}_positives": c("label") == 1,
+                        f"{part}_bounded": c("score").between(0.0, 1.0),
+                        f"{part}_decided": c("prediction") == F.when(c("score") > 0.5, 1).otherwise(0),
+                    },
+                )
+            )
+        encoded = [f"{column}_encoded" for column in CATEGORICAL]
+        wide = models.data.rows.filter(c("split") == "test").drop(*encoded).withColumn("label", c(LABEL))
+        saved = f"{path}-{name}"
+        models.full_model(name).write().save(saved)
+        again = score(PipelineModel.load(saved), wide, name, KEY).select(KEY, c("score").alias("again"))
+        both = models.scored(name, "test").join(again, KEY)
+        found.append(_count(both, name, test_reloaded=F.abs(c("score") - c("again")) <= tolerance))
+    linear, test = models.model("logistic_regression"), models.data.part("test")
+    parts = linear_attribution(linear, test, models.data.features).groupBy(KEY).agg(F.sum("attribution").alias("total"))
+    logits = models.scored("logistic_regression", "test").select(
+        KEY, F.log(c("score") / (F.lit(1.0) - c("score"))).alias("logit")
+    )
+    # The logit at the mean row is the mean of the logits.
+    middle = logits.agg(F.avg("logit").alias("middle"))
+    apart = parts.join(logits, KEY).withColumn("middle", middle.scalar())
+    found.append(
+        _count(apart, "logistic_regression", test_attributed=F.abs(c("total") - (c("logit") - c("middle"))) <= tolerance)
+    )
+    flat = gradient_size(linear, models.data) <= 1e-3
+    spark = test.sparkSession
+    found.append(spark.range(1).select(F.lit("logistic_regression").alias("model"), F.lit("gradient_vanishes").alias("name"), F.lit(int(flat)).cast("bigint").alias("n")))
+    result = found[0]
+    for other in found[1:]:
+        result = result.unionByName(other)
+    return result
+
+
 def feature_importance(
     spark, model: Transformer, features: Sequence[str], kind: str, top: int = 15
 ) -> DataFrame:

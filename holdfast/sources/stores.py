@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.ml import PipelineModel
@@ -55,6 +56,47 @@ def read_scores(
     return scores.filter(F.col("score_date") >= F.lit(since))
 
 
+def write_day(rows: DataFrame, path: str, day: date) -> None:
+    """Store one day's rows in the day's folder; running the day again replaces that folder."""
+    (
+        rows.withColumn("day", F.lit(day))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+
+
+def write_days(rows: DataFrame, path: str, day: str = "day") -> None:
+    """Store rows of many days, a folder each."""
+    (
+        rows.withColumnRenamed(day, "day")
+        .hint("rebalance", F.col("day"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+
+
+def read_days(spark: SparkSession, path: str, schema: str, days: Sequence[date]) -> DataFrame:
+    """The rows of some days; other folders are not opened, and a day without one has no rows."""
+    return spark.read.schema(schema).parquet(path).filter(F.col("day").isin(*days))
+
+
+def write_bucketed(rows: DataFrame, table: str, path: str, key: str, buckets: int, day: str | None = None) -> DataFrame:
+    """A table dealt into files by ``key``, in folders by ``day`` if there is one.
+
+    Tables with the same number of buckets join and aggregate on the key without a shuffle. Each
+    bucket is one file of a day's folder.
+    """
+    writer = rows.repartition(buckets, key).write.mode("overwrite").option("path", path)
+    if day is not None:
+        writer = writer.partitionBy(day)
+    writer.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from oracles.views import AS_OF, DAY_BEFORE, PRIOR, SCALED, probability, r, with_views
 
 FEATURE_COLUMNS = (
@@ -57,6 +59,41 @@ FROM (SELECT variant, count(*) AS n, CAST(count(*) FILTER ({churn}) AS BIGINT) A
       GROUP BY variant)"""
 
 
+def bootstrap(replicates: int = 200) -> str:
+    """Both arms drawn by the bits of each user's md5, four replicates to a hash."""
+    steps = []
+    for k in range(64):
+        step = int(sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) * 2**32)
+        if steps and step <= steps[-1]:
+            break
+        steps.append(step)
+    weight = " + ".join(f"CAST(u >= {step} AS INTEGER)" for step in steps)
+    rows = f"""(SELECT e.user_id, variant,
+    coalesce(date_diff('day', enrolled_date, churned_date) BETWEEN 0 AND 30, false) AS hit
+  FROM enrollments e JOIN users USING (user_id)
+  WHERE test_name = 'yield_education_intervention' AND enrolled_date BETWEEN {AS_OF} - 60 AND {AS_OF} - 30)"""
+    drawn = f"""(SELECT variant, replicate, sum(w) FILTER (hit) / nullif(CAST(sum(w) AS DOUBLE), 0) AS rate
+  FROM (SELECT variant, replicate, hit, {weight} AS w
+        FROM (SELECT variant, hit, block * 4 + i AS replicate,
+                     CAST('0x' || substr(md5(user_id || ':' || block), 8 * i + 1, 8) AS BIGINT) AS u
+              FROM {rows}, (SELECT unnest(range(0, {replicates // 4})) AS block), (SELECT unnest(range(0, 4)) AS i)))
+  GROUP BY variant, replicate)"""
+    z2 = "3.8414588206941236"
+    middle = f"(p + {z2} / (2 * n)) / (1 + {z2} / n)"
+    half = f"1.959963984540054 * sqrt(p * (1 - p) / n + {z2} / (4.0 * n * n)) / (1 + {z2} / n)"
+    return f"""
+SELECT o.variant, n AS n_users, k AS churned_count, {r('p', 'churn_rate')}, {r('q.lo', 'ci_lower')}, {r('q.hi', 'ci_upper')},
+       {r(f'{middle} - {half}', 'wilson_lower')}, {r(f'{middle} + {half}', 'wilson_upper')},
+       {r("p - max(CASE WHEN o.variant = 'control' THEN p END) OVER ()", 'lift')},
+       {r('q.lift_lo', 'lift_lower')}, {r('q.lift_hi', 'lift_upper')}
+FROM (SELECT variant, count(*) AS n, count(*) FILTER (hit) AS k, count(*) FILTER (hit) / CAST(count(*) AS DOUBLE) AS p
+      FROM {rows} GROUP BY variant) o
+JOIN (SELECT a.variant, quantile_cont(a.rate, 0.025) AS lo, quantile_cont(a.rate, 0.975) AS hi,
+             quantile_cont(a.rate - b.rate, 0.025) AS lift_lo, quantile_cont(a.rate - b.rate, 0.975) AS lift_hi
+      FROM {drawn} a JOIN {drawn} b ON b.replicate = a.replicate AND b.variant = 'control'
+      GROUP BY a.variant) q ON q.variant = o.variant"""
+
+
 def described(name: str) -> str:
     quartiles = ", ".join(r(f"quantile_cont({name}, {q})", f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75))
     return f"""
@@ -146,6 +183,53 @@ GROUP BY prediction_date, risk_tier"""
         f"AND enrolled_date <= {AS_OF} - 30", f"{elapsed} BETWEEN 0 AND 30"
     )
 
+    sql["ab_test_bootstrap"] = bootstrap()
+    reach = ", ".join(
+        f"count(DISTINCT CASE WHEN {condition} THEN user_id END) AS {name}"
+        for name, condition in (
+            ("users", "true"),
+            ("users_with_intervention", "intervention_date >= account_created_date"),
+            ("retained", "intervention_date >= account_created_date AND status = 'active'"),
+        )
+    )
+    joined = """(SELECT u.user_id, u.segment, u.status, u.account_created_date, i.intervention_date,
+  CAST(date_trunc('month', u.account_created_date) AS DATE) AS cohort_month
+  FROM users u LEFT JOIN interventions i ON i.user_id = u.user_id)"""
+    levels = {
+        "cohort_segment": ("cohort_month", "segment"), "cohort": ("cohort_month",),
+        "day": ("intervention_date",), "all": (),
+    }
+    kinds = {"cohort_month": "DATE", "segment": "VARCHAR", "intervention_date": "DATE"}
+    sql["contact_reach"] = " UNION ALL ".join(
+        f"SELECT '{level}' AS level, "
+        + ", ".join(name if name in kept else f"CAST(NULL AS {kind}) AS {name}" for name, kind in kinds.items())
+        + f", {reach} FROM {joined}"
+        + (f" GROUP BY {', '.join(kept)}" if kept else "")
+        for level, kept in levels.items()
+    )
+    sql["contacted_users_trailing"] = f"""
+SELECT d.day AS intervention_date, count(DISTINCT i.user_id) FILTER (i.intervention_date = d.day) AS users_day,
+       count(DISTINCT i.user_id) AS users_trailing
+FROM (SELECT DISTINCT CAST(unnest(generate_series(intervention_date,
+        least(intervention_date + 6, {AS_OF}), INTERVAL 1 DAY)) AS DATE) AS day
+      FROM interventions WHERE intervention_date <= {AS_OF}) d
+JOIN interventions i ON i.intervention_date BETWEEN d.day - 6 AND d.day GROUP BY d.day"""
+    sql["signup_contacts"] = f"""
+SELECT CAST(date_trunc('month', u.account_created_date) AS DATE) AS cohort_month, u.segment,
+       count(*) AS n_users, count(m.k) AS contacted_users, CAST(coalesce(sum(m.k), 0) AS BIGINT) AS n_contacts,
+       {r('avg(m.wait)', 'avg_days_to_contact')}
+FROM users u LEFT JOIN (
+  SELECT v.user_id, count(*) AS k, min(date_diff('day', v.account_created_date, i.intervention_date)) AS wait
+  FROM users v JOIN interventions i ON i.user_id = v.user_id
+    AND i.intervention_date BETWEEN v.account_created_date AND v.account_created_date + 90
+  WHERE i.intervention_date <= {AS_OF} GROUP BY v.user_id) m ON m.user_id = u.user_id
+GROUP BY 1, 2"""
+    sql["market_after_signup"] = f"""
+SELECT CAST(date_trunc('month', account_created_date) AS DATE) AS cohort_month, segment,
+       count(*) AS n_user_days, {r('avg(daily_return)', 'avg_return')}
+FROM users JOIN returns ON date BETWEEN account_created_date AND account_created_date + 29
+GROUP BY 1, 2"""
+
     sql["derived_features"] = f"""
 SELECT user_id, {r('trading_intensity', 'trading_intensity')},
        {r('portfolio_concentration', 'portfolio_concentration')}, engagement_score,
@@ -186,6 +270,12 @@ FROM user_features"""
     sql["churn_by_risk"] = complete_rates(
         "risk_segment", ["low_risk", "medium_risk", "high_risk"], "segmented"
     )
+    dimensions = {name: name for name in ("segment", "yield_adoption", "advanced_trading", "n_assets", "risk_segment")}
+    sql["churn_by_all"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS dimension, CAST({name} AS VARCHAR) AS value, {r('avg(churned)', 'churn_rate')},"
+        f" count(churned) AS n_users FROM {source} WHERE {name} IS NOT NULL GROUP BY {name}"
+        for name, source in {**dict.fromkeys(dimensions, "segmented"), "age_bucket": age}.items()
+    )
     sql["profile_shape"] = f"""
 SELECT count(*) AS n_rows, 19 AS n_columns, {r('avg(churned)', 'churn_rate')} FROM user_features"""
     sql["profile_value_counts"] = f"""
@@ -210,6 +300,13 @@ FROM user_features GROUP BY segment"""
         for a in HEATMAP
         for b in HEATMAP
     )
+    numeric = [name for name in NUMERIC_BOUND if name not in ("avg_trade_size", "trade_freq_trend")]
+    cells = ", ".join(f"('{name}', CAST({name} AS DOUBLE))" for name in numeric)
+    cells += ", ('avg_trade_size', nullif(avg_trade_size, 0)), ('trade_freq_trend', nullif(trade_freq_trend, 0))"
+    long = f"(SELECT user_id AS id, name, x FROM user_features, LATERAL (VALUES {cells}) v(name, x) WHERE x IS NOT NULL)"
+    sql["comoment_matrix"] = f"""
+SELECT a.name AS feature_a, b.name AS feature_b, {r('CASE WHEN stddev_pop(a.x) * stddev_pop(b.x) > 0 THEN corr(a.x, b.x) END', 'correlation')}, count(*) AS n
+FROM {long} a JOIN {long} b ON a.id = b.id GROUP BY a.name, b.name"""
     sql["histogram_by_class"] = f"""
 SELECT b.churned, b.bin, {r('lo + (hi - lo) / 30 * (b.bin - 1)', 'bin_lo')},
        {r('lo + (hi - lo) / 30 * b.bin', 'bin_hi')}, count(x) AS n
@@ -328,6 +425,15 @@ GROUP BY m.model, l.label, p.prediction"""
     sql["model_score_store"] = f"""
 SELECT {AS_OF} AS score_date, count(*) AS n_users, count(*) AS n_scored FROM user_features"""
 
+    models = "(VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting')) m(model)"
+    sql["model_checks"] = f"""
+SELECT m.model, split || '_' || name AS name, CAST(CASE name WHEN 'positives' THEN sum(churned) ELSE count(*) END AS BIGINT) AS n
+FROM held_out, {models}, (VALUES ('rows'), ('positives'), ('bounded'), ('decided')) c(name)
+GROUP BY m.model, split, name
+UNION ALL SELECT m.model, 'test_reloaded', count(*) FROM held_out, {models} WHERE split = 'test' GROUP BY m.model
+UNION ALL SELECT 'logistic_regression', 'test_attributed', count(*) FROM held_out WHERE split = 'test'
+UNION ALL SELECT 'logistic_regression', 'gradient_vanishes', 1"""
+
     sql["rolling_volatility"] = f"""
 SELECT date, {r('daily_return', 'daily_return')}, {r('v', 'raw_volatility')},
        {r('coalesce(v, avg(v) OVER ())', 'volatility')}
@@ -351,6 +457,47 @@ SELECT user_id, {r('round_even(CAST(portfolio_value / 10 AS DECIMAL(18, 4)), 1)'
 FROM users"""
 
     sql["csv_roundtrip"] = f"SELECT {FEATURE_ROWS} FROM user_features"
+    sql["portfolio_return_daily"] = f"""
+SELECT * FROM ({sql['portfolio_return_lag30']}) WHERE snapshot_date > {AS_OF} - 5"""
+    sql["activity_windows_daily"] = f"""
+SELECT d.day, t.user_id, count(*) AS trades_30d, {r('avg(t.trade_amount)', 'avg_trade_size')},
+       {r("(count(*) FILTER (t.trade_date >= d.day - 14) - count(*) FILTER (t.trade_date BETWEEN d.day - 28 AND d.day - 14)) / nullif(CAST(count(*) FILTER (t.trade_date BETWEEN d.day - 28 AND d.day - 14) AS DOUBLE), 0)", 'trade_freq_trend')}
+FROM (SELECT CAST(unnest(generate_series({AS_OF} - 19, {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS day) d
+JOIN trades t ON t.trade_date BETWEEN d.day - 30 AND d.day GROUP BY d.day, t.user_id"""
+    sql["bucketed_targeting"] = sql["high_risk_targeting"]
+    sql["bucketed_calibration"] = sql["model_calibration"]
+
+    def column(name: str, kind: str, present: str, bad: str) -> str:
+        return f"""
+SELECT '{name}' AS column_name, '{kind}' AS type, count(*) FILTER ({present}) AS n_values,
+       count(*) FILTER (NOT ({present})) AS n_null, count(*) FILTER ({bad}) AS n_bad FROM users"""
+
+    many = "user_id % 60 = 2"
+    sql["csv_inferred_types"] = " UNION ALL ".join(
+        [
+            column("user_id", "int", "true", "false"),
+            column("segment", "string", "true", "false"),
+            column("portfolio_value", "double", "true", "user_id % 50 = 1"),
+            column("n_assets", "int", f"{many} OR user_id % 3 > 0", many),
+            column("created", "date", "true", "user_id % 70 = 3"),
+            column("churned", "boolean", "true", "false"),
+            column("big", "bigint", "true", "false"),
+        ]
+    )
+    sql["csv_quarantine"] = " UNION ALL ".join(
+        f"SELECT CAST(user_id AS INTEGER) AS user_id, '{name}' AS column_name, '{cell}' AS cell FROM users WHERE {bad}"
+        for name, cell, bad in (
+            ("portfolio_value", "n/a", "user_id % 50 = 1"), ("n_assets", "many", many),
+            ("created", "2023-13-45", "user_id % 70 = 3"),
+        )
+    )
+    sql["csv_typed"] = f"""
+SELECT CAST(user_id AS INTEGER) AS user_id, segment,
+       {r('CASE WHEN user_id % 50 <> 1 THEN portfolio_value END', 'portfolio_value')},
+       CASE WHEN user_id % 60 <> 2 AND user_id % 3 > 0 THEN n_assets END AS n_assets,
+       CASE WHEN user_id % 70 <> 3 THEN account_created_date END AS created, status = 'churned' AS churned,
+       user_id * 3000000000 AS big
+FROM users"""
     sql["score_store_roundtrip"] = f"""
 SELECT CAST(scored_at AS DATE) AS score_date, risk_tier, count(*) AS n_users,
        count(churn_probability) AS n_scored, {r('sum(churn_probability)', 'expected_churn')}

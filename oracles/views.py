@@ -182,6 +182,15 @@ FROM (SELECT *, round(n * CAST(0.2 AS DOUBLE)) AS n_test
                    row_number() OVER (PARTITION BY churned
                      ORDER BY md5(CAST(user_id AS VARCHAR)), user_id) AS rn
             FROM encoded))""",
+    "learnable": f"""
+SELECT user_id, churned, row_number() OVER (PARTITION BY churned ORDER BY md5(CAST(user_id AS VARCHAR)), user_id) AS rn,
+       count(*) OVER (PARTITION BY churned) AS n
+FROM (SELECT user_id, CASE WHEN {PRIOR} > CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0
+                           THEN 1 ELSE 0 END AS churned FROM user_features)""",
+    "held_out": """
+SELECT user_id, churned, CASE WHEN rn <= n_test THEN 'test' ELSE 'val' END AS split
+FROM (SELECT *, round(n * CAST(0.2 AS DOUBLE)) AS n_test FROM learnable)
+WHERE rn <= n_test + round((n - n_test) * CAST(0.125 AS DOUBLE))""",
     "scored": """
 SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, score,
        CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction

@@ -16,12 +16,14 @@ TYPES = {
     "string": "VARCHAR",
     "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
 }
 # Keys whose work hangs on the event or score distribution.
 SKEWED = (
     "churn_daily_scoring", "activity_features", "portfolio_return_lag30", "high_risk_targeting",
     "cohort_retention", "model_calibration", "profile_describe", "boxplot_by_class",
     "roc_curve", "pr_curve", "auc_roc", "average_precision", "precision_at_top_decile",
+    "contact_reach", "contacted_users_trailing", "signup_contacts", "activity_windows_daily",
 )
 
 
