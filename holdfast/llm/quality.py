@@ -139,7 +139,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     measured = docs.select(c(id_col).alias("doc_id"), statistics(whole_text(text_col)).alias("s"))
     table = stored(measured.select("doc_id", "s.*"), "quality-statistics")
     known = training_labels(labels, label, held_out())
-    rows = stored(table.join(known, "doc_id"), "quality-training")
+    # One row of each id, so that repeated ones don't exceed the bound.
+    learned = table.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *NAMES)).alias("row"))
+    rows = stored(learned.select("doc_id", "row.*"), "quality-training")
     score = compiled(*fit_rules(rows))
     return table.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", (c("score") >= threshold).cast("int")
