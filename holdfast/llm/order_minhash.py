@@ -1,7 +1,9 @@
 """Order MinHash fingerprints, in column expressions only.
 
-A text's tokens are its words, longer words cut every eight characters. Each run of ``K``
-tokens is a k-mer, numbered by its occurrence among equal ones, so that repeats are elements of
+A text's tokens are its words. Scripts without spaces have a token for each character; other words
+of over eight characters are cut by what stands in them, behind characters of ``CUTS`` (after 16
+characters without one in any case), so a letter more or less shifts no later cut. Each run of
+``K`` tokens is a k-mer, numbered by its occurrence among equal ones, so that repeats are elements of
 their own. The hash of (k-mer, occurrence) puts an element into one of ``BINS`` bins and orders
 it there; each bin keeps its ``TUPLE`` smallest elements, puts them back into text order and
 hashes the tuple. Equal tuples need the same k-mers in the same order, which is what makes the
@@ -30,7 +32,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from holdfast.llm.tables import whole_text
 
 K, BINS, TUPLE = 3, 64, 2
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+# Scripts written without spaces between words, and characters behind which long words
+# are cut.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+CUTS = r"aeiouAEIOU02468/+=&?.,;:_-"
+SPACE = r"\x20\x09-\x0D"
+TOKEN = (
+    rf"[{UNSPACED}]|(?<![^{SPACE}])[^{SPACE}{UNSPACED}]{{1,8}}(?![^{SPACE}])"
+    rf"|[^{SPACE}{UNSPACED}{CUTS}]{{0,15}}[{CUTS}]|[^{SPACE}{UNSPACED}{CUTS}]{{1,16}}"
+)
 HASH_BITS, POSITION_BITS = 36, 27
 # Rows in a range of ids, about, and the most ranges (their edges are a literal in the plan).
 RANGE_ROWS, MOST_RANGES = 2_000, 4_096
