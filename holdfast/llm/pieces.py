@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 # Documents from which the frequent stretches are taken, and how many of these are broadcast.
 TABLE_DOCS, TABLE_SIZE = 2_000, 65_536
 # Stretches a worker remembers beside the table, and the longest it remembers.
-CACHE_SIZE, LONGEST = 600_000, 64
+CACHE_SIZE, LONGEST = 200_000, 64
 # Bytes of text that are cut at a time, and characters of a part of a longer text.
 GROUP, PART = 8 << 20, 1 << 20
 
@@ -190,7 +190,7 @@ class Pieces(dict):
         """Values of stretches, each with its space; unknown ones are encoded together."""
         found = [self.get(x) for x in words]
         # As many at a time as the caches hold.
-        step = max(1, CACHE_SIZE // 16)
+        step = max(1, CACHE_SIZE // 4)
         unknown = [i for i, value in enumerate(found) if value is None]
         for low in range(0, len(unknown), step):
             whole, cut, inner = [], [], {}
@@ -210,7 +210,7 @@ class Pieces(dict):
             new = {x: None for x in first if x not in self}
             self._keep(self, " ", new if len(self) + len(new) <= CACHE_SIZE + len(self.table) else first, CACHE_SIZE + len(self.table))
             new = {x: None for x in inner if x not in self.inner}
-            most = max(CACHE_SIZE // 8, len(inner))
+            most = max(CACHE_SIZE // 4, len(inner))
             self._keep(self.inner, "", new if len(self.inner) + len(new) <= most else inner, most)
             for i in whole:
                 found[i] = self[words[i]]
@@ -229,7 +229,7 @@ class Pieces(dict):
         found = self.firsts.get(stretch)
         if found is None:
             found = self.encode(stretch)
-            if len(self.firsts) >= CACHE_SIZE // 8:
+            if len(self.firsts) >= CACHE_SIZE // 4:
                 self.firsts.clear()
             if len(stretch) <= LONGEST:
                 self.firsts[stretch] = found
