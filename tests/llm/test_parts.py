@@ -436,27 +436,6 @@ def test_fingerprints_follow_the_order(spark):
     assert likeness[4] == likeness[5] == 0
 
 
-def test_unspaced_texts_follow_the_edit_distance(spark):
-    draw = random.Random(8)
-    for letters in ("".join(map(chr, range(0x4E00, 0x5000))), "กขคงจฉชซ", "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"):
-        text = "".join(draw.choice(letters) for _ in range(2000))
-        longer = text[:3] + letters[5] + text[3:]
-        other = "".join(draw.choice(letters) for _ in range(2000))
-        likeness = prints_of(spark, [text, longer, text[:1000] + text[1001:], other])
-        # Few letters have few trigrams, numbered by occurrence: those after an edit shift.
-        assert min(likeness[1:3]) > (0.9 if len(letters) > 10 else 0.5), letters[:3]
-        assert likeness[3] < 0.3 if len(letters) > 10 else likeness[3] < 0.6
-
-
-def test_tokens_cover_every_character(spark):
-    draw = random.Random(3)
-    texts = ["".join(draw.choice("abkxzAé中\u0e01 \t\n1-.\U0001f600") for _ in range(draw.randint(0, 60))) for _ in range(300)]
-    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
-    for r in df.withColumn("x", F.regexp_extract_all("t", F.lit(order_minhash.TOKEN), F.lit(0))).collect():
-        assert "".join(r.x) == "".join(ch for ch in r.t if ch not in " \t\n\x0b\x0c\r")
-        assert all(len(x) <= 16 for x in r.x)
-
-
 def test_repeats_are_elements_of_their_own(spark):
     once = " ".join(f"w{i}" for i in range(100))
     likeness = prints_of(spark, [once, " ".join([once] * 6)])
