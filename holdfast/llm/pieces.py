@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 # Documents from which the frequent stretches are taken, and how many of these are broadcast.
 TABLE_DOCS, TABLE_SIZE = 2_000, 65_536
 # Stretches a worker remembers beside the table, and the longest it remembers.
-CACHE_SIZE, LONGEST = 200_000, 64
+CACHE_SIZE, LONGEST = 400_000, 64
 # Bytes of text that are cut at a time, and characters of a part of a longer text.
 GROUP, PART = 8 << 20, 1 << 20
 

@@ -2,7 +2,7 @@
 
 First tier: a broadcast hash table from frequent pre-tokens to their lengths in tokens (at most
 65,536 short strings). Second tier: each Python worker's cache of the others, kept for its later
-tasks, filled by the tokenizer and emptied when it holds 200,000. No pre-token is shuffled and no text leaves its
+tasks, filled by the tokenizer and emptied when it holds 400,000. No pre-token is shuffled and no text leaves its
 task, so the job is one scan at any size.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; texts are encoded whole, however
