@@ -31,48 +31,72 @@ def poisson_steps() -> list[int]:
     return steps
 
 
+def _parts(key: str, block: Column) -> list[Column]:
+    """Eight hex digits of the key's md5 for each replicate of a block."""
+    digest = F.md5(F.concat_ws(":", c(key).cast("string"), block.cast("string")))
+    return [F.substring(digest, _BITS // 4 * i + 1, _BITS // 4) for i in range(_PER_HASH)]
+
+
+def _weight(digits: Column) -> Column:
+    """Steps that a number reaches; hex digits of one length are ordered like their numbers."""
+    steps = [f"{step:0{_BITS // 4}x}" for step in poisson_steps() if step < 2**_BITS]
+    weight = F.when(digits < steps[0], 0)
+    for n, step in enumerate(steps[1:], 1):
+        weight = weight.when(digits < step, n)
+    return weight.otherwise(len(steps))
+
+
+def _blocks(replicates: int) -> Column:
+    if replicates % _PER_HASH:
+        raise ValueError(f"replicates come {_PER_HASH} at a time")
+    return F.sequence(F.lit(0), F.lit(replicates // _PER_HASH - 1))
+
+
 def replicate_weights(key: str, replicates: int) -> Column:
     """``replicate, weight`` of a row: how often each replicate draws it.
 
     The weights come from the key's md5, so a rerun, another partitioning or another engine
     draws the same replicates.
     """
-    if replicates % _PER_HASH:
-        raise ValueError(f"replicates come {_PER_HASH} at a time")
-    steps = F.array(*[F.lit(step) for step in poisson_steps()])
 
     def of_block(block: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", c(key).cast("string"), block.cast("string")))
         return F.array(
             *[
-                F.struct(
-                    (block * _PER_HASH + i).alias("replicate"),
-                    F.size(
-                        F.filter(steps, lambda step: step <= F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint"))  # noqa: B023
-                    ).alias("weight"),
-                )
-                for i in range(_PER_HASH)
+                F.struct((block * _PER_HASH + i).alias("replicate"), _weight(digits).alias("weight"))
+                for i, digits in enumerate(_parts(key, block))
             ]
         )
 
-    blocks = F.sequence(F.lit(0), F.lit(replicates // _PER_HASH - 1))
-    return F.flatten(F.transform(blocks, of_block))
+    return F.flatten(F.transform(_blocks(replicates), of_block))
 
 
 def bootstrap_rates(rows: DataFrame, key: str, by: Sequence[str], hit: Column, replicates: int) -> DataFrame:
     """Rate of ``hit`` per group and replicate, all replicates in one pass.
 
-    Each row becomes one per replicate inside its task and is summed there; shuffled is one row
-    per group, replicate and task.
+    The rows are dealt evenly to all tasks: they are few bytes, each with much work. There a row
+    becomes one per md5, which holds the weights of :func:`replicate_weights`, and is summed;
+    shuffled after that is one row per group, md5 and task.
     """
-    drawn = rows.select(
-        *by, F.coalesce(hit, F.lit(False)).alias("hit"), F.inline(replicate_weights(key, replicates))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*by, c(key).alias("__key"), F.coalesce(hit, F.lit(False)).alias("hit")).repartition(tasks)
+    each = dealt.select(*by, "__key", "hit", F.explode(_blocks(replicates)).alias("block"))
+    slots = range(_PER_HASH)
+    # Step by step: an md5 and a weight are made once, not wherever they are named.
+    digits = each.select(*by, "hit", "block", *[x.alias(f"digits{i}") for i, x in enumerate(_parts("__key", c("block")))])
+    weights = digits.select(*by, "hit", "block", *[_weight(c(f"digits{i}")).alias(f"weight{i}") for i in slots])
+    sums = weights.groupBy(*by, "block").agg(
+        *[F.sum(f"weight{i}").alias(f"n{i}") for i in slots],
+        *[F.sum(F.when(c("hit"), c(f"weight{i}")).otherwise(0)).alias(f"hits{i}") for i in slots],
     )
-    return (
-        drawn.groupBy(*by, "replicate")
-        .agg(F.sum("weight").alias("n"), F.sum(F.when(c("hit"), c("weight")).otherwise(0)).alias("hits"))
-        .select(*by, "replicate", ratio(c("hits"), c("n")).alias("rate"))
+    drawn = F.array(
+        *[
+            F.struct(
+                (c("block") * _PER_HASH + i).alias("replicate"), ratio(c(f"hits{i}"), c(f"n{i}")).alias("rate")
+            )
+            for i in slots
+        ]
     )
+    return sums.select(*by, F.inline(drawn))
 
 
 def percentile_interval(rate: Column, level: float = 0.95) -> Column:

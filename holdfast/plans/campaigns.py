@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from holdfast.functions import features as f
 from holdfast.operators.distinct import key_bitmaps, rolled_up, trailing
@@ -326,9 +326,9 @@ def ab_bootstrap(
     )
     # One row per variant and replicate.
     drawn = bootstrap_rates(rows, "user_id", ["variant"], churned, replicates)
-    base = drawn.filter(c("variant") == control).select("replicate", c("rate").alias("base"))
+    base = F.max(F.when(c("variant") == control, c("rate"))).over(W.partitionBy("replicate"))
     interval = (
-        drawn.join(base, "replicate", "left")
+        drawn.withColumn("base", base)
         .groupBy("variant")
         .agg(percentile_interval(c("rate")).alias("own"), percentile_interval(c("rate") - c("base")).alias("lift"))
     )

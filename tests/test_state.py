@@ -192,6 +192,19 @@ def test_weights_are_poisson_and_the_same_everywhere(spark):
         resampling.replicate_weights("id", 6)
 
 
+def test_rates_follow_the_weights_and_the_work_is_dealt_out(spark):
+    rows = spark.range(60).select("id", F.when(c("id") % 2 == 0, "a").alias("variant"), F.when(c("id") % 5 > 0, c("id") % 5 == 1).alias("hit"))
+    rows = rows.unionByName(rows.filter("id < 9")).unionByName(rows.limit(1).withColumn("id", F.lit(None).cast("long"))).coalesce(1)
+    got = resampling.bootstrap_rates(rows, "id", ["variant"], c("hit"), 8)
+    each = rows.select("variant", F.coalesce("hit", F.lit(False)).alias("hit"), F.inline(resampling.replicate_weights("id", 8)))
+    n, hits = F.sum("weight"), F.sum(F.when(c("hit"), c("weight")).otherwise(0))
+    want = each.groupBy("variant", "replicate").agg((hits / n).alias("rate"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() == 16
+    # A row's weights are made by compiled code, in as many tasks as a shuffle has.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Repartition" in plan
+
+
 def test_intervals_hold_the_rate_and_have_a_width_at_zero(spark):
     users = spark.range(600).select(c("id").alias("user_id"), F.when(c("id") % 6 == 1, later(5)).alias("churned_date"))
     enrolled = spark.range(600).select(
