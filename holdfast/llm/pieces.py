@@ -173,52 +173,76 @@ class Pieces(dict):
             return found
         return None
 
-    def _keep(self, store: dict, before: str, keys: dict[str, None], most: int) -> None:
-        """Encode ``keys`` (after ``before``); the store is emptied before it grows over ``most``."""
+    def _encoded(self, before: str, keys: list[str]) -> list:
+        """Values of pre-tokens (after ``before``), encoded together."""
+        # A line end can't stand in a line; it is a pre-token of its own.
+        if "\n".join(keys).count("\n") > max(0, len(keys) - 1):
+            plain = [x for x in keys if "\n" not in x]
+            known = dict(zip(plain, self._encoded(before, plain)))
+            return [known[x] if x in known else self.encode(before + x) for x in keys]
+        return self.pre_tokens([before + x for x in keys] if before else keys) if keys else []
+
+    def _keep(self, store: dict, keys: list[str], values: list, most: int) -> None:
+        """Remember what was encoded; the store is emptied before it grows over ``most``."""
         if len(store) + len(keys) > most:
             store.clear()
             if store is self:
                 store.update(self.table)
-        # A line end can't stand in a line; it is a pre-token of its own.
-        plain = [x for x in keys if "\n" not in x]
-        if plain:
-            store.update(zip(plain, self.pre_tokens([before + x for x in plain] if before else plain)))
-        if len(plain) < len(keys):
-            store.update((x, self.encode(before + x)) for x in keys if "\n" in x)
+        store.update(zip(keys, values))
 
     def values_of(self, words: list[str]) -> list:
         """Values of stretches, each with its space; unknown ones are encoded together."""
         found = [self.get(x) for x in words]
         # As many at a time as the caches hold.
-        step = max(1, CACHE_SIZE // 4)
+        step, lead = max(1, CACHE_SIZE // 4), self.lead
         unknown = [i for i, value in enumerate(found) if value is None]
         for low in range(0, len(unknown), step):
             whole, cut, inner = [], [], {}
             for i in unknown[low : low + step]:
-                parts = self.parts(words[i])
+                x = words[i]
+                # What ``parts`` finds, without its search: most are a word, many with marks after it,
+                # some two of these with a line end between.
+                line, end, other = x.partition("\n")
+                if len(x) <= LONGEST and (word := line.rstrip(_MARKS)).isalpha() and lead not in x:
+                    marks = line[len(word) :]
+                    if not end:
+                        if marks:
+                            cut.append((i, word, (marks,)))
+                            inner[marks] = None
+                        else:
+                            whole.append(i)
+                        continue
+                    if (second := other.rstrip(_MARKS)).isalpha():
+                        rest = [y for y in (marks, end, second, other[len(second) :]) if y]
+                        cut.append((i, word, rest))
+                        for y in rest:
+                            inner[y] = None
+                        continue
+                parts = self.parts(x)
                 if not parts:
-                    found[i] = self.encode(" " + words[i])
+                    found[i] = self.encode(" " + x)
                 elif len(parts) == 1:
                     whole.append(i)
                 else:
-                    cut.append((i, parts))
-                    for x in parts[1:]:
-                        inner[x] = None
-            # All parts of this step, known ones too: emptying a store must lose none of them.
-            first = dict.fromkeys(words[i] for i in whole)
-            first.update(dict.fromkeys(parts[0] for _, parts in cut))
-            new = {x: None for x in first if x not in self}
-            self._keep(self, " ", new if len(self) + len(new) <= CACHE_SIZE + len(self.table) else first, CACHE_SIZE + len(self.table))
-            new = {x: None for x in inner if x not in self.inner}
-            most = max(CACHE_SIZE // 4, len(inner))
-            self._keep(self.inner, "", new if len(self.inner) + len(new) <= most else inner, most)
-            for i in whole:
-                found[i] = self[words[i]]
-            for i, parts in cut:
-                value = self[parts[0]]
-                for x in parts[1:]:
-                    value = value + self.inner[x]
+                    cut.append((i, parts[0], parts[1:]))
+                    inner.update(dict.fromkeys(parts[1:]))
+            new = [words[i] for i in whole]
+            new += dict.fromkeys(word for _, word, _ in cut if word not in self)
+            values = self._encoded(" ", new)
+            for i, value in zip(whole, values):
+                found[i] = value
+            firsts = dict(zip(new[len(whole) :], values[len(whole) :]))
+            new_inner = [x for x in inner if x not in self.inner]
+            inner_values = self._encoded("", new_inner)
+            inner = {x: self.inner[x] for x in inner if x in self.inner} | dict(zip(new_inner, inner_values))
+            # All parts are at hand here: emptying a store loses none of them.
+            for i, word, rest in cut:
+                value = firsts[word] if word in firsts else self[word]
+                for x in rest:
+                    value = value + inner[x]
                 found[i] = value
+            self._keep(self, new, values, CACHE_SIZE + len(self.table))
+            self._keep(self.inner, new_inner, inner_values, max(CACHE_SIZE // 4, len(inner)))
         return found
 
     def __missing__(self, stretch: str) -> object:
@@ -255,6 +279,7 @@ class Pieces(dict):
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        del lists
         offsets -= offsets[0]
         begin = offsets[:-1]
         leading, which = np.unique(index[begin], return_inverse=True)
@@ -262,8 +287,9 @@ class Pieces(dict):
         inside = np.bincount(index, minlength=len(coded.dictionary))[: len(coded.dictionary)] > 0
         # Faster than to_pylist, which makes a scalar of each.
         words, nothing = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.value([])
-        own = iter(self.values_of([w for w, used in zip(words, inside) if used]))
-        values = [next(own) if used else nothing for used in inside.tolist()]
+        values, used = [nothing] * len(words), np.flatnonzero(inside).tolist()
+        for i, value in zip(used, self.values_of([words[i] for i in used])):
+            values[i] = value
         values += [self.first(words[i]) if words[i] else nothing for i in leading.tolist()]
         return offsets, index, values
 
@@ -306,13 +332,24 @@ class Pieces(dict):
                 yield from ((i, b"") for i in rows.tolist())
                 continue
             # Each stretch's ids stand together in ``flat``: step by one within it.
-            at = np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(ends[-1])
+            bounds, tokens = 4 * np.concatenate([[0], ends])[offsets], ends[-1]
+            shifts = starts[index] - (ends - lengths)
+            # What is done with goes at once: each of these is as long as the group has words or tokens.
+            del index, values, starts, ends
+            at = np.repeat(shifts, lengths)
+            del shifts, lengths
+            at += np.arange(tokens)
             found = flat[at].tobytes()
-            bounds = 4 * np.concatenate([[0], ends])[offsets]
+            del at, flat
             for i, low, high in zip(rows.tolist(), bounds.tolist(), bounds[1:].tolist()):
                 yield i, found[low:high]
 
 
+def give_back() -> None:
+    """Hand what Arrow holds free to the system, at a task's end: the worker stays, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+
+
 _KEPT: dict[tuple[str, str], Pieces] = {}
 
 

@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,30 @@ def test_the_cache_is_emptied(monkeypatch):
     assert len(own) <= 7 and "known" in own
 
 
+def test_plain_stretches_are_not_searched(monkeypatch):
+    """Words, words with marks, and two of these with a line end between."""
+    words = ["plainword", "marked...", "twolines.\nOther,", "one\ntwo", "éçen.\nÈme", "new.", "marked,"]
+    want = [tuple(BPE.encode(" " + w, add_special_tokens=False).ids) for w in words]
+    monkeypatch.setattr(Pieces, "parts", lambda self, stretch: pytest.fail(f"searched: {stretch!r}"))
+    own = Pieces(PATH, tuple, {})
+    assert own.values_of(words) == want
+    assert own.values_of(words[::-1]) == want[::-1] and "marked..." not in own
+
+
+def test_places_of_a_group_go_before_its_texts_are_handed_out():
+    """While texts are handed out, a worker holds a group's ids but none of the places behind them."""
+    words = [f"w{i % 50}" for i in range(200_000)]
+    found = Pieces(PATH, as_bytes, {}).ids(pa.array([" ".join(words)] * 2))
+    tracemalloc.start()
+    try:
+        n, ids = next(found)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    # Both texts' ids, the first one's again, and little else.
+    assert len(ids) > 400_000 and held < 4 * len(ids)
+
+
 ODD = st.text(st.sampled_from("ab1 \n\t .,'s!é \x1c\x85\u2003\u3000\x0b中 <|endoftext|>"), max_size=40)
 
 
