@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.pieces import frequent_stretches, frequent_table, kept_pieces
+from holdfast.llm.pieces import frequent_stretches, frequent_table, give_back, kept_pieces
 from holdfast.llm.tables import whole_text
 
 # A sequence has at most as many segments as tokens: instruction data may ask for fewer.
@@ -220,6 +220,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield flushed()
         if rows:
             yield flushed()
+        give_back()
 
     return narrow.mapInArrow(
         packed,

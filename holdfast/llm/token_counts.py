@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.pieces import frequent_stretches, frequent_table, kept_pieces, tokenizer
+from holdfast.llm.pieces import frequent_stretches, frequent_table, give_back, kept_pieces, tokenizer
 from holdfast.llm.tables import whole_text
 
 LIMIT = 512
@@ -55,6 +55,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 [batch.column(0), batch.column(1), pa.array(lengths(batch.column(2)), pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
+        give_back()
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rows = narrow.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
