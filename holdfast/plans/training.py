@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -39,10 +40,14 @@ FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 50}
 BOOSTING = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8}
 BOOSTING_COLUMN_SHARE = "0.8"
 PATIENCE = 10
+FIRST_ROUNDS = 2 * PATIENCE
 
 # Trees are grown level by level; a larger buffer means fewer passes over the data per level.
 TREE_BUFFER_MB = 512
 
+# Rows that one task of a fit may hold beyond a task per core.
+FIT_ROWS = 500_000
+
 
 def fit_encoder(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> StringIndexerModel:
     """Alphabetical integer codes. A label unseen in fitting gets the next free code."""
@@ -105,6 +110,11 @@ class Prepared:
             F.when(is_one, self.imbalance).otherwise(1.0).alias("positive"),
         )
 
+    @property
+    def fit_rows(self) -> DataFrame:
+        """The training rows as the fits read them."""
+        return gathered(self.part("train"), sum(self.class_counts.values()))
+
     @property
     def segments(self) -> DataFrame:
         """The feature table with risk and value segments."""
@@ -168,6 +178,16 @@ def prepare(features: DataFrame, columns: Sequence[str] = MODEL_FEATURES) -> Pre
     )
 
 
+def gathered(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` stored rows in no more partitions than cores, or than ``FIT_ROWS`` rows each make.
+
+    A fit passes over its rows some hundred times. In each pass every partition is a task that
+    answers the driver, and for trees one more set of all nodes' sums to send and merge.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(cores, math.ceil(n / FIT_ROWS)))
+
+
 def fit_logistic(data: Prepared) -> Transformer:
     """L2 logistic regression. Balanced weights sum to the row count, hence the penalty."""
     n = sum(data.class_counts.values())
@@ -179,7 +199,7 @@ def fit_logistic(data: Prepared) -> Transformer:
         elasticNetParam=0.0,
         standardization=False,
         tol=1e-7,
-    ).fit(data.part("train"))
+    ).fit(data.fit_rows)
 
 
 def fit_forest(data: Prepared) -> Transformer:
@@ -196,7 +216,7 @@ def fit_forest(data: Prepared) -> Transformer:
         maxMemoryInMB=TREE_BUFFER_MB,
         cacheNodeIds=True,
         **FOREST,
-    ).fit(data.part("train"))
+    ).fit(data.fit_rows)
 
 
 def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
@@ -231,21 +251,25 @@ def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel
 def fit_boosting(data: Prepared) -> Transformer:
     """Boosted trees, cut at the best validation loss.
 
-    The built-in validation rule is a tolerance, not a patience, so all rounds are trained once,
-    the losses read off, and the ensemble is cut to the kept rounds.
+    The built-in validation rule is a tolerance, not a patience, so the losses are read off the
+    fitted ensemble, and it is cut to the kept rounds. A short ensemble is fitted first: its trees
+    and losses are the first of the long one's. All rounds follow only if the patience outlasts it.
     """
-    trainer = GBTClassifier(
-        labelCol="label",
-        weightCol="positive",
-        featureSubsetStrategy=BOOSTING_COLUMN_SHARE,
-        seed=SEED,
-        maxMemoryInMB=TREE_BUFFER_MB,
-        **BOOSTING,
-    )
-    model = trainer.fit(data.part("train"))
     unweighted = data.part("val").withColumn("positive", F.lit(1.0))
-    losses = list(model.evaluateEachIteration(unweighted))
-    rounds = best_round(losses)
+    for most in (min(FIRST_ROUNDS, BOOSTING["maxIter"]), BOOSTING["maxIter"]):
+        trainer = GBTClassifier(
+            labelCol="label",
+            weightCol="positive",
+            featureSubsetStrategy=BOOSTING_COLUMN_SHARE,
+            seed=SEED,
+            maxMemoryInMB=TREE_BUFFER_MB,
+            **BOOSTING | {"maxIter": most},
+        )
+        model = trainer.fit(data.fit_rows)
+        losses = list(model.evaluateEachIteration(unweighted))
+        rounds = best_round(losses)
+        if len(losses) - rounds >= PATIENCE:
+            break
     return model if rounds == len(losses) else first_trees(model, rounds)
 
 

@@ -1,7 +1,11 @@
 """Model training on the medium tables: parity of the linear model, quality of the others."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -102,3 +106,46 @@ def test_saved_model_scores_the_wide_table(spark, models, tmp_path):
 def test_unknown_model_kind_is_refused(spark, models):
     with pytest.raises(ValueError):
         training.feature_importance(spark, models.model("logistic_regression"), models.data.features, "other")
+
+
+def boosting_data(spark, noisy):
+    """Rows whose label follows ``x``, or nothing: then every round makes the unseen rows' loss worse."""
+    rows = [(i, float((i * 37 % 101 > 50) ^ (noisy and i * i % 7 < 3)), float(i * 37 % 101), float(i * 53 % 89)) for i in range(600)]
+    table = spark.createDataFrame(rows, "i INT, label DOUBLE, x DOUBLE, y DOUBLE").repartition(3, "i")
+    if noisy:
+        table = table.withColumn("x", F.col("y"))
+    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(table)
+    ready = ready.withColumn("positive", F.lit(1.0))
+    parts = {"train": ready.filter("i % 3 > 0"), "val": ready.filter("i % 3 = 0")}
+    return SimpleNamespace(part=parts.get, fit_rows=parts["train"])
+
+
+@pytest.mark.parametrize(("noisy", "fitted"), [(True, [20]), (False, [20, 26])])
+def test_boosting_fits_no_round_past_its_patience(spark, monkeypatch, noisy, fitted):
+    monkeypatch.setitem(training.BOOSTING, "maxIter", 26)
+    data, asked = boosting_data(spark, noisy), []
+
+    class Counted(GBTClassifier):
+        def fit(self, rows):
+            asked.append(self.getMaxIter())
+            return super().fit(rows)
+
+    monkeypatch.setattr(training, "GBTClassifier", Counted)
+    kept = training.fit_boosting(data)
+    assert asked == fitted
+
+    monkeypatch.setattr(training, "FIRST_ROUNDS", 26)
+    whole = training.fit_boosting(data)
+    assert kept.getNumTrees == whole.getNumTrees
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees]
+
+
+def test_fits_read_no_more_partitions_than_cores(spark, monkeypatch):
+    rows = spark.range(400).repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    assert training.gathered(rows, 400).rdd.getNumPartitions() == cores
+    assert training.gathered(spark.range(0, 400, 1, 3), 400).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(training, "FIT_ROWS", 20)
+    few = training.gathered(rows, 400)
+    assert few.rdd.getNumPartitions() == max(cores, 20)
+    assert few.count() == 400
